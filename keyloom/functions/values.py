@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Fixed value: the characters a whitespace trim removes, U+0000 to U+0020.
-TRIM_CLASS = r"[\x00-\x20]+"
+BLANKS = "".join(chr(i) for i in range(0x21))
 
 _FIXED_WIDTH = (
     T.BooleanType,
@@ -40,7 +40,7 @@ def canonical(col: Column, dtype: T.DataType) -> Column:
 
 
 def trimmed(col: Column) -> Column:
-    return F.regexp_replace(col, rf"^{TRIM_CLASS}|{TRIM_CLASS}$", "")
+    return F.btrim(col, F.lit(BLANKS))
 
 
 def as_text(col: Column, dtype: T.DataType) -> Column:

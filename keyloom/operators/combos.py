@@ -35,7 +35,7 @@ def _distinct(df: DataFrame) -> DataFrame:
 def _grow(df: DataFrame, pool: str, times: int) -> DataFrame:
     """Extend ``cols`` by ``times`` members of ``pool``, each above the one before it."""
     for _ in range(times):
-        above = F.filter(pool, lambda x: x > F.coalesce(F.element_at("picked", -1), F.lit(-1)))
+        above = F.filter(pool, lambda x: x > F.coalesce(F.array_max("picked"), F.lit(-1)))
         df = df.select("*", F.explode(above).alias("next")).select(
             *[c for c in df.columns if c != "picked"],
             F.array_append("picked", F.col("next")).alias("picked"),

@@ -31,21 +31,27 @@ def _read(spark: SparkSession, path: str, names: Sequence[str], sep: str, header
     # positions stand in for the names, which may repeat
     slots = [f"c{i}" for i in range(len(names))]
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*slots, REJECT]])
-    lines = spark.read.csv(
-        path,
-        schema=schema,
-        sep=sep,
-        header=header,
-        quote="",
-        mode="PERMISSIVE",
-        columnNameOfCorruptRecord=REJECT,
-        # the field count of a line can only be checked when all of it is parsed
-        columnPruning=False,
+    lines = (
+        spark.read.schema(schema)
+        .options(
+            sep=sep,
+            header=header,
+            quote="",
+            mode="PERMISSIVE",
+            columnNameOfCorruptRecord=REJECT,
+            # the field count of a line can only be checked when all of it is parsed
+            columnPruning=False,
+        )
+        .csv(path)
     )
     trimmed = [F.coalesce(V.trimmed(F.col(c)), F.lit("")).alias(n) for c, n in zip(slots, names)]
+    # Spark refuses to read the reject column alone, so the condition names a field as well
+    any_field = F.coalesce(F.length(slots[0]), F.lit(0)) >= 0
     return Parsed(
         good=lines.where(F.col(REJECT).isNull()).select(*trimmed),
-        rejects=lines.where(F.col(REJECT).isNotNull()).select(F.col(REJECT).alias("line")),
+        rejects=lines.where(F.col(REJECT).isNotNull() & any_field).select(
+            F.col(REJECT).alias("line")
+        ),
     )
 
 

@@ -18,12 +18,11 @@ def key_report(keys: DataFrame) -> DataFrame:
         F.array_join("names", ", ").alias("names"),
     )
     spark = keys.sparkSession
-    message = spark.range(1).select(
+    any_key = lines.limit(1).select(F.lit(0).cast("bigint").alias("id"))
+    message = spark.range(1).join(any_key, "id", "left_anti").select(
         F.lit("").alias("combo"), F.lit(EMPTY_LINE).alias("line"), F.lit("").alias("names")
     )
-    some = lines.limit(1).select(F.lit(0).cast("bigint").alias("id"))
-    empty = spark.range(1).join(some, "id", "left_anti")
-    return lines.unionByName(message.join(empty.select(F.lit("").alias("combo")), "combo", "left_semi"))
+    return lines.unionByName(message)
 
 
 def save_report(keys: DataFrame, path: str) -> None:
