@@ -1,120 +1,163 @@
 """Screening many column sets with 128-bit fingerprints.
 
-A row sends 20 bytes per candidate (batch number and two hashes) instead of its values.
-Equal values always give equal fingerprints, so a candidate whose fingerprints are all
-different is a key for certain. A candidate that repeats is only *suspected*: the rows
-behind a few repeated fingerprints are compared, and the columns they really share (an
-"agree set") are the proof that it, and every subset of the agree set, is no key.
+A row sends 20 bytes per candidate (batch number and two hashes) and its row id, instead
+of its values. Equal values always give equal fingerprints, so a candidate whose
+fingerprints are all different is a key for certain. A candidate that repeats is only
+*suspected*: two rows behind a repeated fingerprint are compared, and the columns they
+really share (an "agree set") prove that it, and every subset of the agree set, is no key.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from keyloom.functions import colsets as cs
-from keyloom.plans.encode import Codes
+from keyloom.plans.encode import ROW_ID, Codes
+from keyloom.staging import Stage
 
 Combo = tuple[int, ...]
 
-# Witness groups kept per candidate and round. More witnesses mean fewer rounds; the
+# Witness pairs kept per candidate and round. More witnesses mean fewer rounds; the
 # verdicts do not depend on it.
 WITNESSES = 32
-SECOND_SEED = 7
+
+# Repeated fingerprints of a tested subset are broadcast to the test of its supersets only
+# up to this many in one batch (12 bytes each).
+PURGE_LIMIT = 500_000
 
 
 @dataclass
 class Screened:
-    """Outcome of one batch: which candidates repeat, and where."""
+    """Outcome of one batch: repeated groups per candidate, and row pairs behind some."""
 
-    error: dict[Combo, int]
-    groups: dict[Combo, int]
+    repeats: dict[Combo, int]
     witnesses: dict[Combo, list[tuple[int, int]]]
 
 
-def _hash_columns(codes: Codes, combos: list[Combo]) -> dict[str, Column]:
-    """Two non-null hashes per used column; wide columns feed one code to each."""
-    used = sorted({c for combo in combos for c in combo})
-    out = {}
-    for c in used:
-        fields = codes.fields[c]
-        out[f"k{c}"] = F.xxhash64(fields[0])
-        out[f"q{c}"] = F.xxhash64(fields[-1])
+@dataclass
+class Repeats:
+    """Where the fingerprints of failed candidates repeat, for the tests of their supersets.
+
+    Rows that agree on a set agree on its subsets. So a superset can only repeat among the
+    rows whose fingerprint of the failed subset repeats; all other rows are left out
+    before the shuffle.
+    """
+
+    groups: dict[Combo, int] = field(default_factory=dict)
+    tables: dict[Combo, tuple[DataFrame, int]] = field(default_factory=dict)
+
+    def add(self, batch: list[Combo], screened: Screened, dups: DataFrame) -> None:
+        for b, combo in enumerate(batch):
+            if 0 < screened.repeats[combo] <= PURGE_LIMIT:
+                self.groups[combo] = screened.repeats[combo]
+                self.tables[combo] = (dups, b)
+
+    def parents(self, batch: list[Combo]) -> dict[Combo, Combo]:
+        """For each candidate the failed subset with the fewest repeats, within the limit."""
+        best = {}
+        for combo in batch:
+            below = [p for p in self.groups if set(p) < set(combo)]
+            if below:
+                best[combo] = min(below, key=lambda p: (self.groups[p], p))
+        used, total = set(), 0
+        for p in sorted(set(best.values()), key=lambda p: (self.groups[p], p)):
+            total += self.groups[p]
+            if total > PURGE_LIMIT:
+                break
+            used.add(p)
+        return {c: p for c, p in best.items() if p in used}
+
+    def lookup(self, parents: list[Combo]) -> DataFrame:
+        """``p, ph``: repeated fingerprints of each parent, numbered as given."""
+        out = None
+        for p, combo in enumerate(parents):
+            dups, b = self.tables[combo]
+            part = dups.where(F.col("b") == b).select(F.lit(p).alias("p"), F.col("h1").alias("ph"))
+            out = part if out is None else out.unionByName(part)
+        return out.distinct()
+
+
+def _hash_columns(codes: Codes, columns) -> list[Column]:
+    """Two non-null hashes per column; a wide column feeds one of its codes to each."""
+    out = []
+    for c in columns:
+        out.append(F.xxhash64(codes.fields[c][0]).alias(f"k{c}"))
+        out.append(F.xxhash64(codes.fields[c][-1]).alias(f"q{c}"))
     return out
 
 
-def _pair(combo: Combo) -> tuple[Column, Column]:
-    return (
-        F.xxhash64(*[F.col(f"k{c}") for c in combo]),
-        F.xxhash64(F.lit(SECOND_SEED), *[F.col(f"q{c}") for c in combo]),
-    )
+def _first_hash(combo: Combo) -> str:
+    return f"xxhash64({', '.join(f'k{c}' for c in combo)})"
+
 
+def _second_hash(combo: Combo) -> str:
+    return f"xxhash64(7, {', '.join(f'q{c}' for c in combo)})"
 
-def _complete(codes: Codes, combo: Combo) -> Column:
-    """With distinct nulls, a row with a null in the combo repeats nothing."""
-    ok = F.lit(True)
-    for c in combo:
-        ok = ok & F.col(codes.fields[c][0]).isNotNull()
-    return ok
 
+def _entries(codes: Codes, batch: list[Combo], extra=lambda b, combo: "") -> Column:
+    """One record ``b, h1, h2`` (and ``extra``) per candidate of the batch.
 
-def _entries(codes: Codes, batch: list[Combo], extra=None) -> Column:
+    With distinct nulls, a row with a null in the candidate repeats nothing: its record
+    is null. Written as SQL text because a batch holds thousands of expression nodes.
+    """
     records = []
     for b, combo in enumerate(batch):
-        h1, h2 = _pair(combo)
-        record = F.struct(
-            F.lit(b).alias("b"), h1.alias("h1"), h2.alias("h2"), *(extra(b, combo) if extra else [])
+        record = (
+            f"named_struct('b', {b}, 'h1', {_first_hash(combo)}, 'h2', {_second_hash(combo)}"
+            f"{extra(b, combo)})"
         )
         if not codes.nulls_equal:
-            record = F.when(_complete(codes, combo), record)
+            whole = " AND ".join(f"{codes.fields[c][0]} IS NOT NULL" for c in combo)
+            record = f"CASE WHEN {whole} THEN {record} END"
         records.append(record)
-    return F.inline(F.array(*records))
+    return F.expr(f"inline(array({', '.join(records)}))")
 
 
-def _read(codes: Codes, batch: list[Combo], everything: bool) -> DataFrame:
-    """The code columns the batch needs, plus its per-column hashes."""
-    used = sorted({c for combo in batch for c in combo})
-    fields = [f for c in (range(codes.width) if everything else used) for f in codes.fields[c]]
-    hashes = _hash_columns(codes, batch)
-    return codes.rows.select(*fields, *[h.alias(n) for n, h in hashes.items()])
+def screen(codes: Codes, batch: list[Combo], stage: Stage, seen: Repeats, witnesses: int = WITNESSES) -> Screened:
+    """Find repeated fingerprints of each candidate; keep one row pair per bucket.
 
-
-def _exploded(codes: Codes, batch: list[Combo]) -> DataFrame:
-    rows = _read(codes, batch, False)
-    return rows.select(_entries(codes, batch)).where(F.col("b").isNotNull())
-
-
-def screen(codes: Codes, batch: list[Combo], witnesses: int = WITNESSES) -> Screened:
-    """Count repeated fingerprints of each candidate; keep one witness per bucket.
-
-    The witness buckets are part of the fingerprint, so the second aggregate is small
-    (at most ``batch * witnesses`` rows) and no group is gathered anywhere.
+    Only repeated groups are written, and the witness buckets are part of the fingerprint,
+    so what is collected has at most ``batch * witnesses`` rows and no group is gathered.
     """
-    groups = (
-        _exploded(codes, batch)
-        .groupBy("b", "h1", "h2")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where("n > 1")
+    used = sorted({c for combo in batch for c in combo})
+    nulls = [] if codes.nulls_equal else [codes.fields[c][0] for c in used]
+    rows = codes.rows.select(ROW_ID, *nulls, *_hash_columns(codes, used))
+    parent_of = seen.parents(batch)
+    parents = sorted(set(parent_of.values()))
+
+    def parent(b: int, combo: Combo) -> str:
+        if not parents:
+            return ""
+        if combo not in parent_of:
+            return ", 'p', -1, 'ph', 0L"
+        p = parent_of[combo]
+        return f", 'p', {parents.index(p)}, 'ph', {_first_hash(p)}"
+
+    entries = rows.select(ROW_ID, _entries(codes, batch, parent)).where(F.col("b").isNotNull())
+    if parents:
+        lookup = F.broadcast(seen.lookup(parents).withColumn("repeats", F.lit(True)))
+        entries = entries.join(lookup, ["p", "ph"], "left").where("p = -1 OR repeats")
+    dups = stage.put(
+        entries.groupBy("b", "h1", "h2")
+        .agg(F.min(ROW_ID).alias("lo"), F.max(ROW_ID).alias("hi"))
+        .where("lo < hi"),
+        "repeats",
     )
     found = (
-        groups.groupBy("b", F.pmod("h1", F.lit(witnesses)).alias("bucket"))
-        .agg(
-            F.sum(F.col("n") - 1).alias("error"),
-            F.count(F.lit(1)).alias("groups"),
-            F.min(F.struct("h1", "h2")).alias("w"),
-        )
+        dups.groupBy("b", F.pmod("h1", F.lit(witnesses)).alias("bucket"))
+        .agg(F.count(F.lit(1)).alias("groups"), F.min(F.struct("h2", "lo", "hi")).alias("w"))
         .collect()
     )
-    out = Screened({c: 0 for c in batch}, {c: 0 for c in batch}, {})
+    out = Screened({c: 0 for c in batch}, {})
     for r in found:
         combo = batch[r.b]
-        out.error[combo] += r.error
-        out.groups[combo] += r.groups
-        out.witnesses.setdefault(combo, []).append((r.w.h1, r.w.h2))
+        out.repeats[combo] += r.groups
+        out.witnesses.setdefault(combo, []).append((r.w.lo, r.w.hi))
+    seen.add(batch, out, dups)
     return out
 
 
@@ -123,59 +166,45 @@ def _agree_set(codes: Codes, other: dict[str, Column]) -> Column:
     return F.array_compact(F.array(*flags))
 
 
-def agree_sets(codes: Codes, screened: Screened) -> set[Combo]:
-    """Agree sets of two rows from each witness group.
-
-    The witness list is broadcast (at most ``batch * witnesses`` rows of 20 bytes), so rows
-    outside the witness groups are dropped in the scan stage and never shuffled; a huge
-    witness group folds to two rows map-side.
-    """
-    failing = list(screened.witnesses)
-    if not failing:
+def agree_sets(codes: Codes, pairs: list[tuple[int, int]]) -> set[Combo]:
+    """The columns each pair of rows shares; the short list of row ids is broadcast."""
+    if not pairs:
         return set()
-    rows = _read(codes, failing, True)
-    spark = codes.rows.sparkSession
-    wanted = [(b, h1, h2) for b, c in enumerate(failing) for h1, h2 in screened.witnesses[c]]
-    listed = spark.createDataFrame(
+    ids = [(i, side, pair[side]) for i, pair in enumerate(pairs) for side in (0, 1)]
+    listed = codes.rows.sparkSession.createDataFrame(
         pa.table(
             {
-                "b": pa.array([w[0] for w in wanted], pa.int32()),
-                "h1": pa.array([w[1] for w in wanted], pa.int64()),
-                "h2": pa.array([w[2] for w in wanted], pa.int64()),
+                "pair": pa.array([x[0] for x in ids], pa.int32()),
+                "side": pa.array([x[1] for x in ids], pa.int32()),
+                ROW_ID: pa.array([x[2] for x in ids], pa.int64()),
             }
         )
     )
     names = [f for fs in codes.fields for f in fs]
-    suspects = (
-        rows.select(F.struct(*names).alias("row"), _entries(codes, failing))
-        .join(F.broadcast(listed), ["b", "h1", "h2"], "left_semi")
+    span = F.col(ROW_ID).between(min(x[2] for x in ids), max(x[2] for x in ids))
+    rows = codes.rows.where(span).join(F.broadcast(listed), ROW_ID)
+    both = rows.groupBy("pair").agg(
+        F.min_by(F.struct(*names), "side").alias("lo"), F.max_by(F.struct(*names), "side").alias("hi")
     )
-    order = F.xxhash64(*[F.col(f"row.{f}") for f in names])
-    ends = suspects.groupBy("b", "h1", "h2").agg(
-        F.min_by("row", order).alias("lo"),
-        F.max_by("row", order).alias("hi"),
-        F.count(F.lit(1)).alias("n"),
-    ).where("n > 1")
     other = {f: F.col(f"hi.{f}") for f in names}
-    found = ends.select("lo.*", "hi").select(_agree_set(codes, other).alias("cols")).distinct()
+    found = both.select("lo.*", "hi").select(_agree_set(codes, other).alias("cols")).distinct()
     return {tuple(r.cols) for r in found.collect()}
 
 
 def neighbour_agree_sets(codes: Codes, batch: list[Combo], per_combo: int = WITNESSES) -> set[Combo]:
     """Agree sets of rows next to each other within equal fingerprints of each candidate.
 
-    Meant for a staged sample: a window partition never exceeds the sample. Rows are
+    Meant for the smallest staged sample: a window partition never exceeds it. Rows are
     ordered by their column hashes, starting at another column for each candidate, so
     neighbours share long prefixes. The largest agree sets per candidate are kept.
     """
-    everything = [(c,) for c in range(codes.width)]
-    used = _hash_columns(codes, everything)
+    columns = range(codes.width)
     names = [f for fs in codes.fields for f in fs]
-    rows = codes.rows.select(*names, *[h.alias(n) for n, h in used.items()])
+    rows = codes.rows.select(*names, *_hash_columns(codes, columns))
 
-    def order(b: int, combo: Combo):
-        turn = [(b + i) % codes.width for i in range(codes.width)]
-        return [F.array(*[F.col(f"k{c}") for c in turn]).alias("ord")]
+    def order(b: int, combo: Combo) -> str:
+        turn = [(b + i) % codes.width for i in columns]
+        return f", 'ord', array({', '.join(f'k{c}' for c in turn)})"
 
     w = W.partitionBy("b", "h1", "h2").orderBy("ord")
     previous = {f: F.lag(F.col(f)).over(w) for f in names}

@@ -18,11 +18,12 @@ from keyloom.functions import values as V
 from keyloom.staging import Stage, spread
 
 SEEDS = (42, 1013)
+ROW_ID = "rid"
 
 
 @dataclass
 class Codes:
-    """A staged table: ``fields[i]`` are the code columns of column ``i``."""
+    """A staged table: a row id and, for column ``i``, the code columns ``fields[i]``."""
 
     rows: DataFrame
     names: list[str]
@@ -85,6 +86,8 @@ def encode(df: DataFrame, stage: Stage, nulls_equal: bool = True) -> Codes:
             break
     else:
         raise RuntimeError("no collision-free codes found; check for values Spark cannot compare")
-    staged = stage.put(rows.select(*[e for col in exprs for e in col]), "codes")
+    # the ids are generated once, in the job that writes the table
+    rid = F.monotonically_increasing_id().alias(ROW_ID)
+    staged = stage.put(rows.select(rid, *[e for col in exprs for e in col]), "codes")
     fields = [[f"a{i}", f"b{i}"] if i in hashed else [f"a{i}"] for i in range(len(df.columns))]
     return Codes(staged, df.columns, fields, n_rows, nulls_equal)

@@ -31,7 +31,7 @@ from keyloom.plans.levelwise import batch_size
 from keyloom.staging import Stage, spread
 
 FIRST_SAMPLE = 10_000
-SAMPLE_STEP = 64
+SAMPLE_STEP = 8
 BATCH = 64
 
 
@@ -47,13 +47,11 @@ def _rungs(codes: Codes, stage: Stage, first_sample: int) -> list[tuple[str, Cod
     """Growing samples of the staged table, each a small part of the next, then all of it."""
     out = []
     size = first_sample
-    while size * 2 < codes.n_rows:
+    while size * SAMPLE_STEP // 2 <= codes.n_rows:
         part = codes.rows.sample(fraction=size / codes.n_rows, seed=size)
         staged = stage.put(spread(part, size), "sample")
-        out.append(("sample" if not out else "larger sample", codes.over(staged, size)))
+        out.append(("sample" if not out else f"sample {len(out) + 1}", codes.over(staged, size)))
         size *= SAMPLE_STEP
-        if size * 8 > codes.n_rows:
-            break
     if not out:
         out.append(("sample", codes))
     return [*out, ("table", codes)]
@@ -87,23 +85,23 @@ class _State:
         )
 
 
-def _refute_on_sample(codes: Codes, batch: list[P.Combo]) -> tuple[set[P.Combo], list[P.Combo]]:
+def _refute(codes: Codes, batch: list[P.Combo]) -> tuple[set[P.Combo], list[P.Combo]]:
+    """Quick test on the smallest sample: a candidate passes when no evidence was met."""
     agree = P.neighbour_agree_sets(codes, batch)
     passed = [c for c in batch if not any(set(c) <= set(a) for a in agree)]
     return agree, passed
 
 
-def _test_on_all(codes: Codes, batch: list[P.Combo]) -> tuple[set[P.Combo], list[P.Combo]]:
-    screened = P.screen(codes, batch)
-    passed = [c for c in batch if not screened.error[c]]
-    agree = P.agree_sets(codes, screened)
-    # A fingerprint collision leaves no two rows that agree: count that combo by its codes.
-    open_cases = [
-        c for c in screened.witnesses if not any(set(c) <= set(a) for a in agree)
-    ]
-    if open_cases:
-        counted = K.count_errors(codes.rows, codes.fields, open_cases, codes.nulls_equal).collect()
-        for r in counted:
+def _test(codes: Codes, batch: list[P.Combo], stage: Stage, seen: P.Repeats) -> tuple[set[P.Combo], list[P.Combo]]:
+    """Exact test over all rows of ``codes``."""
+    screened = P.screen(codes, batch, stage, seen)
+    passed = [c for c in batch if not screened.repeats[c]]
+    agree = P.agree_sets(codes, [w for c in screened.witnesses for w in screened.witnesses[c]])
+    # Where hashes collide no two rows agree on the candidate: count it by its codes.
+    unproven = [c for c in screened.witnesses if not any(set(c) <= set(a) for a in agree)]
+    if unproven:
+        counted = K.count_errors(codes.rows, codes.fields, unproven, codes.nulls_equal)
+        for r in counted.collect():
             combo = tuple(int(x) for x in r.combo.split(","))
             if r.key_error:
                 agree.add(combo)
@@ -119,7 +117,7 @@ def run(codes: Codes, stage: Stage, max_size: int | None = None, exclude: Column
     tested: dict[str, int] = {}
     rounds = 0
     for name, rung in _rungs(codes, stage, first_sample):
-        refute = _refute_on_sample if name == "sample" else _test_on_all
+        seen = P.Repeats()
         at_once = batch_size(rung.n_rows, BATCH)
         passed_path = stage.path("passed")
         stage.append(state.candidates.limit(0).select("combo"), passed_path)
@@ -131,7 +129,10 @@ def run(codes: Codes, stage: Stage, max_size: int | None = None, exclude: Column
                 break
             rounds += 1
             tested[name] = tested.get(name, 0) + len(batch)
-            agree, passed = refute(rung, batch)
+            if name == "sample":
+                agree, passed = _refute(rung, batch)
+            else:
+                agree, passed = _test(rung, batch, stage, seen)
             if log:
                 log(f"{name}: tested {len(batch)}, passed {len(passed)}, agree sets {len(agree)}")
             if passed:

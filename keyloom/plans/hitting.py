@@ -73,19 +73,17 @@ def _needed(sets: DataFrame, nonkeys: DataFrame) -> DataFrame:
 
 def grow(start: DataFrame, nonkeys: DataFrame, width: int, stage: Stage, max_size: int | None = None) -> DataFrame:
     """All minimal hitting sets that contain a set of ``start`` (``combo, cols``)."""
+    is_open = F.col("hole").isNotNull()
+    if max_size is not None:
+        is_open = is_open & (F.size("cols") < max_size)
     finished = []
-    level = stage.put(_with_open_hole(start, nonkeys, width), "grow")
-    size = 0
+    level, n_open = stage.put_counted(_with_open_hole(start, nonkeys, width), "grow", is_open)
     while True:
         finished.append(level.where(F.col("hole").isNull()).select("combo", "cols"))
-        still_open = level.where(F.col("hole").isNotNull())
-        size = size or 1
-        if max_size is not None:
-            still_open = still_open.where(F.size("cols") < max_size)
-        if still_open.isEmpty():
+        if not n_open:
             break
-        following = _needed(_extend(still_open), nonkeys)
-        level = stage.put(_with_open_hole(following, nonkeys, width), "grow")
+        following = _needed(_extend(level.where(is_open)), nonkeys)
+        level, n_open = stage.put_counted(_with_open_hole(following, nonkeys, width), "grow", is_open)
     out = finished[0]
     for f in finished[1:]:
         out = out.unionByName(f)

@@ -11,7 +11,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
 
@@ -50,6 +51,12 @@ class Stage:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def put_counted(self, df: DataFrame, name: str, counted: Column) -> tuple[DataFrame, int]:
+        """Like :meth:`put`; also the number of rows where ``counted`` holds, in the same job."""
+        seen = Observation()
+        staged = self.put(df.observe(seen, F.count_if(counted).alias("n")), name)
+        return staged, seen.get["n"]
+
     def append(self, df: DataFrame, path: str) -> None:
         df.write.mode("append").parquet(path)
 
