@@ -87,7 +87,7 @@ def _orders_with_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _errors(spark, sf_dir, name, sizes=None) -> DataFrame:
     df = table(spark, sf_dir, name)
-    return K.key_errors(df, all_sets(len(df.columns), sizes))
+    return K.key_errors(df, all_sets(len(df.columns), sizes), n_rows=df.count())
 
 
 def _pairs(spark, sf_dir, name, keys: bool) -> DataFrame:

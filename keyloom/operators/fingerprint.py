@@ -25,6 +25,10 @@ Combo = tuple[int, ...]
 # verdicts do not depend on it.
 WITNESSES = 32
 
+# Candidates per generated loop: a wider one outgrows what the JVM compiles (64 in one
+# loop ran 15 times slower per record than 32), so a batch is a union of slices.
+SLICE = 16
+
 # Repeated fingerprints of a tested subset are broadcast to the test of its supersets only
 # up to this many in one batch (12 bytes each).
 PURGE_LIMIT = 500_000
@@ -98,23 +102,35 @@ def _second_hash(combo: Combo) -> str:
     return f"xxhash64(7, {', '.join(f'q{c}' for c in combo)})"
 
 
-def _entries(codes: Codes, batch: list[Combo], extra=lambda b, combo: "") -> Column:
-    """One record ``b, h1, h2`` (and ``extra``) per candidate of the batch.
+def _entries(codes: Codes, batch: list[Combo], carry: list[str], columns=None, extra=lambda b, combo: "") -> DataFrame:
+    """One record ``b, h1, h2`` (and ``extra``) per row and candidate, beside ``carry``.
 
-    With distinct nulls, a row with a null in the candidate repeats nothing: its record
-    is null. Written as SQL text because a batch holds thousands of expression nodes.
+    Each slice reads the code columns of its own candidates (or of ``columns``). With
+    distinct nulls, a row with a null in the candidate repeats nothing and has no record.
+    Written as SQL text because a batch holds thousands of expression nodes.
     """
-    records = []
-    for b, combo in enumerate(batch):
-        record = (
-            f"named_struct('b', {b}, 'h1', {_first_hash(combo)}, 'h2', {_second_hash(combo)}"
-            f"{extra(b, combo)})"
+    out = None
+    for start in range(0, len(batch), SLICE):
+        records, used = [], set(columns or [])
+        for b, combo in list(enumerate(batch))[start : start + SLICE]:
+            used.update(combo)
+            record = (
+                f"named_struct('b', {b}, 'h1', {_first_hash(combo)}, 'h2', {_second_hash(combo)}"
+                f"{extra(b, combo)})"
+            )
+            if not codes.nulls_equal:
+                whole = " AND ".join(f"{codes.fields[c][0]} IS NOT NULL" for c in combo)
+                record = f"CASE WHEN {whole} THEN {record} END"
+            records.append(record)
+        nulls = [] if codes.nulls_equal else [codes.fields[c][0] for c in sorted(used)]
+        kept = list(dict.fromkeys([*carry, *nulls]))
+        part = codes.rows.select(*kept, *_hash_columns(codes, sorted(used))).select(
+            *carry, F.expr(f"inline(array({', '.join(records)}))")
         )
         if not codes.nulls_equal:
-            whole = " AND ".join(f"{codes.fields[c][0]} IS NOT NULL" for c in combo)
-            record = f"CASE WHEN {whole} THEN {record} END"
-        records.append(record)
-    return F.expr(f"inline(array({', '.join(records)}))")
+            part = part.where(F.col("b").isNotNull())
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def screen(codes: Codes, batch: list[Combo], stage: Stage, seen: Repeats, witnesses: int = WITNESSES) -> Screened:
@@ -123,9 +139,6 @@ def screen(codes: Codes, batch: list[Combo], stage: Stage, seen: Repeats, witnes
     Only repeated groups are written, and the witness buckets are part of the fingerprint,
     so what is collected has at most ``batch * witnesses`` rows and no group is gathered.
     """
-    used = sorted({c for combo in batch for c in combo})
-    nulls = [] if codes.nulls_equal else [codes.fields[c][0] for c in used]
-    rows = codes.rows.select(ROW_ID, *nulls, *_hash_columns(codes, used))
     parent_of = seen.parents(batch)
     parents = sorted(set(parent_of.values()))
 
@@ -137,7 +150,7 @@ def screen(codes: Codes, batch: list[Combo], stage: Stage, seen: Repeats, witnes
         p = parent_of[combo]
         return f", 'p', {parents.index(p)}, 'ph', {_first_hash(p)}"
 
-    entries = rows.select(ROW_ID, _entries(codes, batch, parent)).where(F.col("b").isNotNull())
+    entries = _entries(codes, batch, [ROW_ID], extra=parent)
     if parents:
         lookup = F.broadcast(seen.lookup(parents).withColumn("repeats", F.lit(True)))
         entries = entries.join(lookup, ["p", "ph"], "left").where("p = -1 OR repeats")
@@ -200,7 +213,6 @@ def neighbour_agree_sets(codes: Codes, batch: list[Combo], per_combo: int = WITN
     """
     columns = range(codes.width)
     names = [f for fs in codes.fields for f in fs]
-    rows = codes.rows.select(*names, *_hash_columns(codes, columns))
 
     def order(b: int, combo: Combo) -> str:
         turn = [(b + i) % codes.width for i in columns]
@@ -210,8 +222,7 @@ def neighbour_agree_sets(codes: Codes, batch: list[Combo], per_combo: int = WITN
     previous = {f: F.lag(F.col(f)).over(w) for f in names}
     first = F.row_number().over(w) == 1
     agreed = (
-        rows.select(*names, _entries(codes, batch, order))
-        .where(F.col("b").isNotNull())
+        _entries(codes, batch, names, columns, order)
         .select("b", F.when(~first, _agree_set(codes, previous)).alias("cols"))
         .where(F.col("cols").isNotNull())
         .distinct()

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from keyloom.functions import colsets as cs
 from keyloom.functions import values as V
 from keyloom.operators.combos import combo_frame
+from keyloom.staging import spread
 
 # grouping_id() is a BIGINT with one bit per grouped expression.
 GROUPING_BITS = 62
@@ -101,9 +102,15 @@ def count_errors(rows: DataFrame, fields: list[list[str]], combos: Sequence[Comb
 
 
 def key_errors(df: DataFrame, combos: Sequence[Iterable[int | str]], nulls_equal: bool = True,
-               batch: int = BATCH) -> DataFrame:
-    """``combo, cols, mask, size, n_clusters, key_error`` for each combo, exact."""
+               batch: int = BATCH, n_rows: int | None = None) -> DataFrame:
+    """``combo, cols, mask, size, n_clusters, key_error`` for each combo, exact.
+
+    With ``n_rows`` known, a small table is spread over the cores before its rows are
+    multiplied by the combos.
+    """
     rows, fields = plain_fields(df)
+    if n_rows is not None:
+        rows = spread(rows, n_rows)
     wanted = list(dict.fromkeys(positions(df, c) for c in combos))
     counted = count_errors(rows, fields, wanted, nulls_equal, batch)
     return cs.describe(

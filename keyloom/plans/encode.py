@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from keyloom.functions import values as V
 from keyloom.staging import Stage, spread
@@ -20,6 +21,9 @@ from keyloom.staging import Stage, spread
 SEEDS = (42, 1013)
 ROW_ID = "rid"
 
+# A staged table of at most this many rows is left in the few files it came in.
+SPREAD_ABOVE = 5_000
+
 
 @dataclass
 class Codes:
@@ -57,37 +61,52 @@ def _codes(col: Column, dtype, i: int, shift: int) -> list[Column]:
 
 
 def _collides(df: DataFrame, coded: dict[int, list[Column]]) -> bool:
-    """Whether some code of a hashed column stands for two values (one job, all columns)."""
+    """Whether some code of a hashed column stands for two values.
+
+    One job, and one scan for all string columns together. Equal values fold map-side, so a
+    frequent value travels once per split.
+    """
+    types = [f.dataType for f in df.schema.fields]
+    value = {i: F.col(f"`{df.columns[i]}`") for i in coded}
+    text = [i for i in coded if type(types[i]) is T.StringType]
+
+    def distinct_codes(rows: DataFrame) -> DataFrame:
+        # grouping, unlike distinct(), also takes maps
+        return rows.groupBy("col_idx", "a", "b", "v").count().select("col_idx", "a", "b")
+
     parts = []
-    for i, codes in coded.items():
-        names = [f"a{i}", f"b{i}"]
-        values = df.select(*codes, F.col(f"`{df.columns[i]}`").alias("v"))
-        parts.append(
-            values.groupBy(*names, "v").count()
-            .groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
-            .where("n > 1").select(F.lit(i).alias("col_idx"))
-        )
+    if text:
+        record = [
+            F.struct(F.lit(i).alias("col_idx"), coded[i][0].alias("a"), coded[i][1].alias("b"), value[i].alias("v"))
+            for i in text
+        ]
+        parts.append(distinct_codes(df.select(F.inline(F.array(*record)))))
+    for i in sorted(set(coded) - set(text)):
+        rows = df.select(F.lit(i).alias("col_idx"), coded[i][0].alias("a"), coded[i][1].alias("b"), value[i].alias("v"))
+        parts.append(distinct_codes(rows))
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
-    return not found.isEmpty()
+    return not found.groupBy("col_idx", "a", "b").count().where("count > 1").isEmpty()
 
 
 def encode(df: DataFrame, stage: Stage, nulls_equal: bool = True) -> Codes:
-    n_rows = df.count()
-    rows = spread(df, n_rows)
-    hashed = [i for i, f in enumerate(df.schema.fields) if not V.is_fixed_width(f.dataType)]
+    """Write ``df`` as codes. The source is read once to prove the codes of its wide columns
+    and once to write; the rows are counted while they are written."""
+    types = [f.dataType for f in df.schema.fields]
+    hashed = [i for i, t in enumerate(types) if not V.is_fixed_width(t)]
     for shift in range(3):
-        exprs = [
-            _codes(F.col(f"`{f.name}`"), f.dataType, i, shift)
-            for i, f in enumerate(df.schema.fields)
-        ]
-        if not hashed or not _collides(df, {i: exprs[i] for i in hashed}):
+        coded = [_codes(F.col(f"`{c}`"), t, i, shift) for i, (c, t) in enumerate(zip(df.columns, types))]
+        if not hashed or not _collides(df, {i: coded[i] for i in hashed}):
             break
     else:
         raise RuntimeError("no collision-free codes found; check for values Spark cannot compare")
     # the ids are generated once, in the job that writes the table
     rid = F.monotonically_increasing_id().alias(ROW_ID)
-    staged = stage.put(rows.select(rid, *[e for col in exprs for e in col]), "codes")
+    columns = df.select(rid, *[e for col in coded for e in col])
+    rows, n_rows = stage.put_counted(columns, "codes", F.lit(True))
+    if SPREAD_ABOVE < n_rows and len(rows.inputFiles()) < rows.sparkSession.sparkContext.defaultParallelism:
+        even = spread(rows, n_rows)
+        rows = rows if even is rows else stage.put(even, "codes")
     fields = [[f"a{i}", f"b{i}"] if i in hashed else [f"a{i}"] for i in range(len(df.columns))]
-    return Codes(staged, df.columns, fields, n_rows, nulls_equal)
+    return Codes(rows, df.columns, fields, n_rows, nulls_equal)

@@ -118,7 +118,7 @@ def run(codes: Codes, stage: Stage, max_size: int | None = None, exclude: Column
     rounds = 0
     for name, rung in _rungs(codes, stage, first_sample):
         seen = P.Repeats()
-        at_once = batch_size(rung.n_rows, BATCH)
+        at_once = batch_size(rung, BATCH)
         passed_path = stage.path("passed")
         stage.append(state.candidates.limit(0).select("combo"), passed_path)
         while True:

@@ -17,17 +17,21 @@ from keyloom.operators import combos as C
 from keyloom.operators import keyerror as K
 from keyloom.plans.encode import Codes
 from keyloom.plans.hitting import single_sets
-from keyloom.staging import Stage
+from keyloom.staging import Stage, spread
 
-# A batch multiplies the rows it reads by its number of combos; keep that product near
-# this many records per job, whatever the table's size.
-EXPANDED_ROWS = 20_000_000_000
+# A batch multiplies the rows it reads by its number of combos; the product is kept near
+# this many records per core and job, whatever the table's size.
+RECORDS_PER_CORE = 50_000_000
+
+# Rows of the sample that rules combos out before the whole table is counted.
+SAMPLE = 100_000
 
 VERDICTS = "combo string, cols array<int>, key_error bigint, is_key boolean, how string"
 
 
-def batch_size(n_rows: int, most: int) -> int:
-    return max(1, min(most, EXPANDED_ROWS // max(n_rows, 1)))
+def batch_size(codes: Codes, most: int) -> int:
+    cores = codes.rows.sparkSession.sparkContext.defaultParallelism
+    return max(1, min(most, RECORDS_PER_CORE * cores // max(codes.n_rows, 1)))
 
 
 def next_level(nonkeys: DataFrame, width: int) -> DataFrame:
@@ -58,29 +62,39 @@ def _verdict_rows(counted: DataFrame, tolerance: int) -> DataFrame:
     )
 
 
-def _ruled_out(level: DataFrame) -> DataFrame:
+def _ruled_out(level: DataFrame, how: str) -> DataFrame:
     return level.select(
         "combo",
         "cols",
         F.lit(None).cast("bigint").alias("key_error"),
         F.lit(False).alias("is_key"),
-        F.lit("bound").alias("how"),
+        F.lit(how).alias("how"),
     )
 
 
+def _sample(codes: Codes, stage: Stage, n_rows: int) -> Codes | None:
+    if codes.n_rows < 8 * n_rows:
+        return None
+    part = codes.rows.sample(fraction=n_rows / codes.n_rows, seed=n_rows)
+    return codes.over(stage.put(spread(part, n_rows), "sample"), n_rows)
+
+
 def run(codes: Codes, stage: Stage, tolerance: int = 0, max_size: int | None = None,
-        use_bounds: bool = True, exclude: Column | None = None) -> DataFrame:
+        use_bounds: bool = True, exclude: Column | None = None, sample: int = SAMPLE) -> DataFrame:
     """Verdicts (``combo, cols, key_error, is_key, how``) for every set that had to be decided.
 
-    ``how`` is ``counted`` or, for non-keys that the distinct counts already rule out,
-    ``bound`` (their error is not counted and stays null).
+    ``how`` is ``counted``, or, for non-keys settled without counting the table (their
+    error stays null): ``bound`` when the distinct counts leave too few tuples, ``sample``
+    when a part of the rows already has more than ``tolerance`` repeats. Errors only grow
+    with rows, so both hold for the whole table; keys are always counted over all rows.
     """
     spark = codes.rows.sparkSession
-    at_once = batch_size(codes.n_rows, K.BATCH)
+    at_once = batch_size(codes, K.BATCH)
     out = stage.path("verdicts")
     verdicts = spark.read.schema(VERDICTS)
     level = single_sets(spark, codes.width)
-    stage.append(_ruled_out(level.limit(0)), out)
+    stage.append(_ruled_out(level.limit(0), "bound"), out)
+    part = _sample(codes, stage, sample) if use_bounds else None
     bounds: Column | None = None
     for size in range(1, min(codes.width, max_size or codes.width) + 1):
         if exclude is not None:
@@ -89,10 +103,18 @@ def run(codes: Codes, stage: Stage, tolerance: int = 0, max_size: int | None = N
         if level.isEmpty():
             break
         if bounds is not None:
-            stage.append(_ruled_out(level.where(bounds)), out)
+            stage.append(_ruled_out(level.where(bounds), "bound"), out)
             level = level.where(~bounds)
         stream = (tuple(r.cols) for r in level.orderBy("cols").toLocalIterator())
         while chunk := list(islice(stream, at_once)):
+            if part is not None and size > 1:
+                seen = K.count_errors(part.rows, codes.fields, chunk, codes.nulls_equal, at_once)
+                failed = seen.where(F.col("key_error") > tolerance).select("combo")
+                failed = {tuple(int(x) for x in r.combo.split(",")) for r in failed.collect()}
+                stage.append(_ruled_out(C.combo_frame(spark, failed), "sample"), out)
+                chunk = [c for c in chunk if c not in failed]
+                if not chunk:
+                    continue
             counted = K.count_errors(codes.rows, codes.fields, chunk, codes.nulls_equal, at_once)
             stage.append(_verdict_rows(counted, tolerance), out)
         done = verdicts.parquet(out).where(F.size("cols") == size)

@@ -45,10 +45,10 @@ def _read(spark: SparkSession, path: str, names: Sequence[str], sep: str, header
         .csv(path)
     )
     trimmed = [F.coalesce(V.trimmed(F.col(c)), F.lit("")).alias(n) for c, n in zip(slots, names)]
-    # Spark refuses to read the reject column alone, so the condition names a field as well
+    # Spark refuses to read the reject column alone, so both conditions name a field as well
     any_field = F.coalesce(F.length(slots[0]), F.lit(0)) >= 0
     return Parsed(
-        good=lines.where(F.col(REJECT).isNull()).select(*trimmed),
+        good=lines.where(F.col(REJECT).isNull() & any_field).select(*trimmed),
         rejects=lines.where(F.col(REJECT).isNotNull() & any_field).select(
             F.col(REJECT).alias("line")
         ),

@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
 
-# Below this many rows a table is spread over the cores before it is staged, because
-# a small source is often one file with one row group, which Spark reads in one task.
-# Larger tables keep the splits of their source: no shuffle is added.
+# Below this many rows a table is spread over the cores, because a small source is often
+# one file with one row group, which Spark reads in one task. Larger tables keep the splits
+# of their source: no shuffle is added.
 SPREAD_BELOW = 20_000_000
 
 
@@ -55,7 +55,7 @@ class Stage:
         """Like :meth:`put`; also the number of rows where ``counted`` holds, in the same job."""
         seen = Observation()
         staged = self.put(df.observe(seen, F.count_if(counted).alias("n")), name)
-        return staged, seen.get["n"]
+        return staged, seen.get.get("n", 0)
 
     def append(self, df: DataFrame, path: str) -> None:
         df.write.mode("append").parquet(path)
