@@ -30,8 +30,10 @@ WITNESSES = 32
 SLICE = 16
 
 # Repeated fingerprints of a tested subset are broadcast to the test of its supersets only
-# up to this many in one batch (12 bytes each).
+# up to this many in one batch (12 bytes each), and only where the table has so many rows
+# that the extra pass pays.
 PURGE_LIMIT = 500_000
+PURGE_ABOVE = 200_000
 
 
 @dataclass
@@ -76,13 +78,13 @@ class Repeats:
         return {c: p for c, p in best.items() if p in used}
 
     def lookup(self, parents: list[Combo]) -> DataFrame:
-        """``p, ph``: repeated fingerprints of each parent, numbered as given."""
+        """``b, h1``: repeated fingerprints of each parent, numbered as given."""
         out = None
         for p, combo in enumerate(parents):
             dups, b = self.tables[combo]
-            part = dups.where(F.col("b") == b).select(F.lit(p).alias("p"), F.col("h1").alias("ph"))
+            part = dups.where(F.col("b") == b).select(F.lit(p).alias("b"), "h1")
             out = part if out is None else out.unionByName(part)
-        return out.distinct()
+        return out
 
 
 def _hash_columns(codes: Codes, columns) -> list[Column]:
@@ -102,17 +104,18 @@ def _second_hash(combo: Combo) -> str:
     return f"xxhash64(7, {', '.join(f'q{c}' for c in combo)})"
 
 
-def _entries(codes: Codes, batch: list[Combo], carry: list[str], columns=None, extra=lambda b, combo: "") -> DataFrame:
-    """One record ``b, h1, h2`` (and ``extra``) per row and candidate, beside ``carry``.
+def _entries(codes: Codes, numbered: list[tuple[int, Combo]], carry: list[str], columns=None,
+             extra=lambda b, combo: "") -> DataFrame:
+    """One record ``b, h1, h2`` (and ``extra``) per row and numbered candidate, beside ``carry``.
 
     Each slice reads the code columns of its own candidates (or of ``columns``). With
     distinct nulls, a row with a null in the candidate repeats nothing and has no record.
     Written as SQL text because a batch holds thousands of expression nodes.
     """
     out = None
-    for start in range(0, len(batch), SLICE):
+    for start in range(0, len(numbered), SLICE):
         records, used = [], set(columns or [])
-        for b, combo in list(enumerate(batch))[start : start + SLICE]:
+        for b, combo in numbered[start : start + SLICE]:
             used.update(combo)
             record = (
                 f"named_struct('b', {b}, 'h1', {_first_hash(combo)}, 'h2', {_second_hash(combo)}"
@@ -133,27 +136,42 @@ def _entries(codes: Codes, batch: list[Combo], carry: list[str], columns=None, e
     return out
 
 
+def _surviving_rows(codes: Codes, parents: list[Combo], stage: Stage, seen: Repeats) -> Codes:
+    """Rows whose fingerprint of a parent repeats, once per such parent ``p``, staged.
+
+    One pass over the table with one record per row and *parent*; the broadcast list of
+    repeats drops nearly all of them on the spot.
+    """
+    records = _entries(codes, list(enumerate(parents)), [ROW_ID])
+    kept = records.join(F.broadcast(seen.lookup(parents)), ["b", "h1"], "left_semi")
+    ids, n_ids = stage.put_counted(kept.select(F.col("b").alias("p"), ROW_ID), "surviving", F.lit(True))
+    ids = F.broadcast(ids) if n_ids <= PURGE_LIMIT else ids
+    return codes.over(stage.put(codes.rows.join(ids, ROW_ID), "surviving"), n_ids)
+
+
 def screen(codes: Codes, batch: list[Combo], stage: Stage, seen: Repeats, witnesses: int = WITNESSES) -> Screened:
     """Find repeated fingerprints of each candidate; keep one row pair per bucket.
 
-    Only repeated groups are written, and the witness buckets are part of the fingerprint,
-    so what is collected has at most ``batch * witnesses`` rows and no group is gathered.
+    Candidates above an already failed set are tested on the rows that repeat there, the
+    others on all rows. Only repeated groups are written, and the witness buckets are part
+    of the fingerprint, so what is collected has at most ``batch * witnesses`` rows and no
+    group is gathered.
     """
-    parent_of = seen.parents(batch)
-    parents = sorted(set(parent_of.values()))
-
-    def parent(b: int, combo: Combo) -> str:
-        if not parents:
-            return ""
-        if combo not in parent_of:
-            return ", 'p', -1, 'ph', 0L"
-        p = parent_of[combo]
-        return f", 'p', {parents.index(p)}, 'ph', {_first_hash(p)}"
-
-    entries = _entries(codes, batch, [ROW_ID], extra=parent)
-    if parents:
-        lookup = F.broadcast(seen.lookup(parents).withColumn("repeats", F.lit(True)))
-        entries = entries.join(lookup, ["p", "ph"], "left").where("p = -1 OR repeats")
+    parent_of = seen.parents(batch) if codes.n_rows > PURGE_ABOVE else {}
+    numbered = list(enumerate(batch))
+    records = []
+    if parent_of:
+        parents = sorted(set(parent_of.values()))
+        few = _surviving_rows(codes, parents, stage, seen)
+        part = _entries(
+            few, [(b, c) for b, c in numbered if c in parent_of], [ROW_ID, "p"],
+            extra=lambda b, combo: f", 'want', {parents.index(parent_of[combo])}",
+        )
+        records.append(part.where("p = want").select(ROW_ID, "b", "h1", "h2"))
+    rest = [(b, c) for b, c in numbered if c not in parent_of]
+    if rest:
+        records.append(_entries(codes, rest, [ROW_ID]))
+    entries = records[0] if len(records) == 1 else records[0].unionByName(records[1])
     dups = stage.put(
         entries.groupBy("b", "h1", "h2")
         .agg(F.min(ROW_ID).alias("lo"), F.max(ROW_ID).alias("hi"))
@@ -222,7 +240,7 @@ def neighbour_agree_sets(codes: Codes, batch: list[Combo], per_combo: int = WITN
     previous = {f: F.lag(F.col(f)).over(w) for f in names}
     first = F.row_number().over(w) == 1
     agreed = (
-        _entries(codes, batch, names, columns, order)
+        _entries(codes, list(enumerate(batch)), names, columns, order)
         .select("b", F.when(~first, _agree_set(codes, previous)).alias("cols"))
         .where(F.col("cols").isNotNull())
         .distinct()

@@ -44,17 +44,22 @@ class Found:
 
 
 def _rungs(codes: Codes, stage: Stage, first_sample: int) -> list[tuple[str, Codes]]:
-    """Growing samples of the staged table, each a small part of the next, then all of it."""
-    out = []
+    """Growing samples of the staged table, then all of it.
+
+    Each sample is drawn from the next larger one, so the table is read once for them all.
+    """
+    sizes = []
     size = first_sample
     while size * SAMPLE_STEP // 2 <= codes.n_rows:
-        part = codes.rows.sample(fraction=size / codes.n_rows, seed=size)
-        staged = stage.put(spread(part, size), "sample")
-        out.append(("sample" if not out else f"sample {len(out) + 1}", codes.over(staged, size)))
+        sizes.append(size)
         size *= SAMPLE_STEP
-    if not out:
-        out.append(("sample", codes))
-    return [*out, ("table", codes)]
+    larger, samples = codes, []
+    for size in reversed(sizes):
+        part = larger.rows.sample(fraction=size / larger.n_rows, seed=size)
+        larger = codes.over(stage.put(spread(part, size), "sample"), size)
+        samples.insert(0, larger)
+    samples = samples or [codes]
+    return [(f"sample {i + 1}", s) for i, s in enumerate(samples)] + [("table", codes)]
 
 
 class _State:
@@ -129,7 +134,7 @@ def run(codes: Codes, stage: Stage, max_size: int | None = None, exclude: Column
                 break
             rounds += 1
             tested[name] = tested.get(name, 0) + len(batch)
-            if name == "sample":
+            if name == "sample 1":
                 agree, passed = _refute(rung, batch)
             else:
                 agree, passed = _test(rung, batch, stage, seen)

@@ -169,6 +169,7 @@ def test_small_batches(spark, monkeypatch):
 def test_hash_collisions_do_not_change_the_result(spark, monkeypatch):
     rows = random_rows(10, 90, 5, 5)
     want = brute.minimal_keys(rows, 5), brute.maximal_nonkeys(rows, 5)
+    monkeypatch.setattr(P, "PURGE_ABOVE", 0)
     first, second = P._first_hash, P._second_hash
     monkeypatch.setattr(P, "_first_hash", lambda c: f"pmod({first(c)}, 5)")
     monkeypatch.setattr(P, "_second_hash", lambda c: f"pmod({second(c)}, 2)")
@@ -187,8 +188,10 @@ def test_colliding_codes_are_replaced(spark, monkeypatch):
 
 def test_purge_by_repeats_of_subsets(spark, monkeypatch):
     """The filter leaves the repeats of a superset exactly as they are without it."""
+    monkeypatch.setattr(P, "PURGE_ABOVE", 0)
     rows = random_rows(11, 400, 5, 9)
     df = frame(spark, rows)
+    assert sets_of(small(spark, df, first_sample=16).keys) == brute.minimal_keys(rows, 5)
     stage = Stage(spark)
     codes = encode(df, stage)
     singles, seen = [(c,) for c in range(5)], P.Repeats()
