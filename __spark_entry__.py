@@ -272,6 +272,14 @@ def _minimal_keys_levels(spark, sf_dir):
     return _keys(D.minimal_keys(table(spark, sf_dir, "part"), method="levels"))
 
 
+def _minimal_keys_evidence(spark, sf_dir):
+    return _keys(D.minimal_keys(table(spark, sf_dir, "orders"), method="evidence"))
+
+
+def _maximal_nonkeys_evidence(spark, sf_dir):
+    return _sets(D.maximal_nonkeys(table(spark, sf_dir, "part"), method="evidence"))
+
+
 def _minimal_keys_first_n(spark, sf_dir):
     first = delimited.first_n_columns(table(spark, sf_dir, "lineitem"), 6)
     return _keys(D.minimal_keys(first))
@@ -426,6 +434,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "minimal_keys": _minimal_keys("orders"),
         **found,
         "minimal_keys_levels": _minimal_keys_levels,
+        "minimal_keys_evidence": _minimal_keys_evidence,
+        "maximal_nonkeys_evidence": _maximal_nonkeys_evidence,
         "minimal_keys_tolerant": _minimal_keys_tolerant,
         "minimal_keys_first_n": _minimal_keys_first_n,
         "minimal_keys_filtered": _minimal_keys_filtered,
@@ -708,6 +718,8 @@ def oracle_sql() -> dict[str, str]:
         "minimal_keys": _sql_keys("orders", orders),
         **found,
         "minimal_keys_levels": _sql_keys("part", part),
+        "minimal_keys_evidence": _sql_keys("orders", orders),
+        "maximal_nonkeys_evidence": _sql_nonkeys("part", part),
         "minimal_keys_tolerant": _sql_keys("orders", orders, TOLERANCE),
         "minimal_keys_first_n": _sql_keys("lineitem", lineitem[:6]),
         "minimal_keys_filtered": _sql_keys("part", part, extra="AND (mask & 1) = 0"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from keyloom.functions import colsets as cs
 from keyloom.operators import combos as C
 from keyloom.plans import evidence, levelwise
-from keyloom.plans.encode import encode
+from keyloom.plans.encode import Codes, encode
 from keyloom.staging import Stage
 
 
@@ -24,6 +24,16 @@ def _columns(df: DataFrame, columns: Sequence[str] | None) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in columns]) if columns else df
 
 
+# Up to this size counting all undecided sets takes fewer jobs than gathering evidence.
+FEW_COLUMNS = 8
+FEW_ROWS = 1_000_000
+
+
+def _method(codes: Codes, tolerance: int) -> str:
+    few = codes.width <= FEW_COLUMNS and codes.n_rows <= FEW_ROWS
+    return "levels" if tolerance or few else "evidence"
+
+
 def verdicts(df: DataFrame, tolerance: int = 0, nulls_equal: bool = True,
              columns: Sequence[str] | None = None, max_size: int | None = None,
              use_bounds: bool = False, exclude: Column | None = None) -> DataFrame:
@@ -46,15 +56,16 @@ def minimal_keys(df: DataFrame, tolerance: int = 0, nulls_equal: bool = True,
 
     ``combo, cols, mask, size, names, key_error``. ``exclude`` is a condition on
     ``combo, cols, mask, size`` for sets not to consider; it must also hold for every
-    superset of a set it holds for. ``method`` is ``"evidence"`` (default for exact keys)
-    or ``"levels"`` (the only one for a tolerance); both give the same keys.
+    superset of a set it holds for. ``method`` is ``"evidence"`` or ``"levels"`` (the only
+    one for a tolerance); both give the same keys, and without a choice small tables with
+    few columns take the second.
     """
     df = _columns(df, columns)
-    method = method or ("levels" if tolerance else "evidence")
     if method == "evidence" and tolerance:
         raise ValueError("a tolerance needs method='levels'")
     stage = Stage(df.sparkSession)
     codes = encode(df, stage, nulls_equal)
+    method = method or _method(codes, tolerance)
     if method == "evidence":
         if not codes.n_rows:
             return _named(C.combo_frame(df.sparkSession, []), df.columns,
@@ -69,9 +80,9 @@ def maximal_nonkeys(df: DataFrame, tolerance: int = 0, nulls_equal: bool = True,
                     columns: Sequence[str] | None = None, method: str | None = None) -> DataFrame:
     """Largest sets of columns that still leave more than ``tolerance`` rows unidentified."""
     df = _columns(df, columns)
-    method = method or ("levels" if tolerance else "evidence")
     stage = Stage(df.sparkSession)
     codes = encode(df, stage, nulls_equal)
+    method = method or _method(codes, tolerance)
     if method == "evidence" and codes.n_rows:
         found = evidence.run(codes, stage).nonkeys
     else:

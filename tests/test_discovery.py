@@ -146,7 +146,9 @@ def test_layout_does_not_matter(spark):
     rows = random_rows(8, 120, 5, 4)
     want = brute.minimal_keys(rows, 5)
     df = frame(spark, rows)
-    assert sets_of(keyloom.minimal_keys(df.orderBy(F.rand(1)).repartition(5))) == want
+    mixed = df.orderBy(F.rand(1)).repartition(5)
+    assert sets_of(keyloom.minimal_keys(mixed, method="evidence")) == want
+    assert sets_of(keyloom.minimal_keys(mixed, method="levels")) == want
     turned = df.select("e", "d", "c", "b", "a")
     assert {tuple(sorted(4 - c for c in k)) for k in sets_of(keyloom.minimal_keys(turned))} == want
     assert sets_of(keyloom.minimal_keys(df, columns=["a", "c"])) == brute.minimal_keys(
@@ -237,8 +239,9 @@ def test_value_types(spark):
         (1.0D, 2.0D, array(), map('k', 2), named_struct('x', 2, 'y', 2), X'02')
         AS t(zero, nan, list, dict, pair, bytes)"""
     )
-    assert sets_of(keyloom.minimal_keys(df)) == {(2,), (4,), (5,)}
-    assert sets_of(keyloom.maximal_nonkeys(df)) == {(0, 1, 3)}
+    for method in ("evidence", "levels"):
+        assert sets_of(keyloom.minimal_keys(df, method=method)) == {(2,), (4,), (5,)}
+        assert sets_of(keyloom.maximal_nonkeys(df, method=method)) == {(0, 1, 3)}
 
 
 def test_wide_table(spark):
