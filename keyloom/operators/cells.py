@@ -57,7 +57,8 @@ def _label_rows(rows: DataFrame, groups: DataFrame, keys: list[str], scope: list
     groups = groups.withColumn("fp", F.xxhash64(*keys))
     totals = groups.groupBy(*scope).agg((F.sum("n") / HEAVY_SHARE).alias("floor"))
     if scope:
-        heavy = groups.select(*scope, "fp", "n").join(totals, scope).where("n >= floor")
+        # one total per column; the clusters themselves must not be shuffled by column
+        heavy = groups.select(*scope, "fp", "n").join(F.broadcast(totals), scope).where("n >= floor")
     else:
         floor = F.lit(totals.scalar())
         heavy = groups.select("fp", "n").where(F.col("n") >= floor)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from keyloom.functions import values as V
 from keyloom.staging import Stage
@@ -45,14 +46,10 @@ def with_row_id(df: DataFrame, name: str = "row_id", dense: bool = False, stage:
         ),
         "rows",
     )
-    # one number per input split
-    sizes = {r["_split"]: r["n"] for r in staged.groupBy("_split").agg(F.count(F.lit(1)).alias("n")).collect()}
-    shift, before = [], 0
-    for s in sorted(sizes):
-        shift += [F.lit(s), F.lit(before).cast("bigint")]
-        before += sizes[s]
-    if not shift:
-        return staged.select(*df.columns, F.col("_id").alias(name))
-    shifts = F.create_map(*shift)
+    # one row per input split: its size and the rows before it
+    sizes = staged.groupBy("_split").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select(
+        "_split", (F.sum("_n").over(W.orderBy("_split")) - F.col("_n")).alias("_before")
+    )
     within = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    return staged.select(*df.columns, (shifts[F.col("_split")] + within).alias(name))
+    return staged.join(before, "_split").select(*df.columns, (F.col("_before") + within).alias(name))

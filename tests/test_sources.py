@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import keyloom
+from keyloom.__main__ import main
 from keyloom.sources import delimited, prepare, report
 
 
@@ -118,3 +119,16 @@ def test_first_n_reads_only_those_columns(spark):
     plan = few._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint>" in plan
     assert delimited.first_n_columns(df, -1).columns == df.columns
+
+
+def test_command_line(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    source = write(tmp_path / "in", "id,x,y\n1,a,p\n2,a,q\n3,b,p\n")
+
+    def run(name, *options):
+        main([source, str(tmp_path / name), *options], spark)
+        return [r.value for r in spark.read.text(str(tmp_path / name)).collect()]
+
+    assert run("all") == ["ColumnCombinationBitset {0}", "ColumnCombinationBitset {1, 2}"]
+    assert run("first", "2") == ["ColumnCombinationBitset {0}"]
+    assert run("near", "--tolerance", "1") == [f"ColumnCombinationBitset {{{i}}}" for i in range(3)]
