@@ -7,6 +7,7 @@ GROUPING SETS and reads keys, non-keys and their borders off the counts.
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib.util import find_spec
 from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,13 @@ from keyloom.plans.hitting import hitting_sets
 from keyloom.sources import delimited, prepare, report
 from keyloom.staging import Stage
 
+# The training-data operators may be taken away as a whole (subpackage llm and the pipeline).
+if find_spec("keyloom.llm") and find_spec("keyloom.llm.queries"):
+    from keyloom.llm import queries as llm
+else:
+    llm = None
+pipeline = __import__("corpus_pipeline") if llm and find_spec("corpus_pipeline") else None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 # Columns of the tables whose keys are searched, in table order.
@@ -388,6 +396,24 @@ def _trim_cells(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    found = own_queries()
+    if llm:
+        found |= llm.queries()
+    if pipeline:
+        found["pipeline"] = pipeline.run
+    return found
+
+
+def oracle_sql() -> dict[str, str]:
+    found = own_sql()
+    if llm:
+        found |= llm.oracle_sql()
+    if pipeline and pipeline.ORACLE_SQL:
+        found["pipeline"] = pipeline.ORACLE_SQL
+    return found
+
+
+def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {f"minimal_keys_{t}": _minimal_keys(t) for t in COLUMNS if t != "orders"}
     found |= {f"maximal_nonkeys_{t}": _maximal_nonkeys(t) for t in ("part", "events", "lineitem")}
     return {
@@ -560,7 +586,7 @@ def _sql_nulls_distinct() -> str:
     return f"t AS {_NULL_ORDERS}, e AS ({' UNION ALL '.join(parts)})"
 
 
-def oracle_sql() -> dict[str, str]:
+def own_sql() -> dict[str, str]:
     part, orders, customer, lineitem = (
         COLUMNS[t] for t in ("part", "orders", "customer", "lineitem")
     )

@@ -8,7 +8,6 @@ pruning and size statistics for the jobs that read the table back.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -23,14 +22,14 @@ SPREAD_BELOW = 20_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``. Where none is set, as in tests on one machine, a
+    folder in the session's warehouse; a cluster must name one. The session is not changed."""
     folder = spark.conf.get(SETTING, None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local["):
         raise RuntimeError(f"set {SETTING} to a folder that every executor can reach")
-    folder = tempfile.mkdtemp(prefix="keyloom-")
-    spark.conf.set(SETTING, folder)
-    return folder
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_keyloom"
 
 
 class Stage:
@@ -57,6 +56,12 @@ class Stage:
         staged = self.put(df.observe(seen, F.count_if(counted).alias("n")), name)
         return staged, seen.get.get("n", 0)
 
+    def drop(self, path: str) -> None:
+        """Delete what was written to ``path``; nothing may read it afterwards."""
+        context = self.spark.sparkContext
+        target = context._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+
     def append(self, df: DataFrame, path: str) -> None:
         df.write.mode("append").parquet(path)
 

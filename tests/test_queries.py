@@ -6,7 +6,7 @@ import __spark_entry__ as entry
 from tests.check_queries import compare, duck
 
 SF_DIR = "/root/testdata/sf0.001"
-FOUND, SQL = entry.queries(), entry.oracle_sql()
+FOUND, SQL = entry.own_queries(), entry.own_sql()
 
 
 @pytest.fixture(scope="module")
