@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm import decontaminate, licenses, quality
+from keyloom.llm import decontaminate, licenses, line_dedup, mixing, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,15 +24,25 @@ def op3_quality_rules(spark, sf_dir):
     return judged.drop("char_distance", "word_distance")
 
 
+def op6_mixing(spark, sf_dir):
+    return mixing.taken(table(spark, sf_dir, "documents"))
+
+
 def op9_license_scan(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup(spark, sf_dir):
+    return line_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_decontaminate": op2_decontaminate,
         "op3_quality_rules": op3_quality_rules,
+        "op6_mixing": op6_mixing,
         "op9_license_scan": op9_license_scan,
+        "op10_line_dedup": op10_line_dedup,
     }
 
 
@@ -167,9 +177,24 @@ SELECT doc_id, CAST(len(l) AS BIGINT) AS n_lines, CAST(coalesce(n, 0) AS BIGINT)
     coalesce(names, '') AS licenses FROM lines LEFT JOIN listed USING (doc_id)"""
 
 
+def sql_line_dedup() -> str:
+    blank = r"[\x20\x09-\x0D]+"
+    key = _LOWER.format(f"regexp_replace(line, '^{blank}|{blank}$', '', 'g')")
+    return f"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+lines AS (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS i FROM d),
+keyed AS MATERIALIZED (SELECT doc_id, i, line, {key} AS k FROM lines),
+frequent AS (SELECT k FROM keyed WHERE k <> '' GROUP BY k
+    HAVING count(DISTINCT doc_id) >= {line_dedup.MIN_DOCS})
+SELECT doc_id, count(*) AS n_lines, count(f.k) AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (f.k IS NULL), '')) AS kept_sha256
+FROM keyed LEFT JOIN frequent f ON f.k = keyed.k GROUP BY doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_decontaminate": f"WITH {_ctes(sql_decontaminate())}\nSELECT * FROM d_rows",
         "op3_quality_rules": f"WITH {_ctes(sql_quality())}\nSELECT * FROM q_rows",
         "op9_license_scan": sql_licenses(),
+        "op10_line_dedup": sql_line_dedup(),
     }
