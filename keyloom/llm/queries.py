@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm import decontaminate, licenses, line_dedup, mixing, quality
+from keyloom.llm import decontaminate, licenses, line_dedup, mixing, near_dedup, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op6_mixing(spark, sf_dir):
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 
+def op7_near_dedup(spark, sf_dir):
+    return near_dedup.groups(table(spark, sf_dir, "documents"))
+
+
 def op9_license_scan(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -41,6 +45,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_decontaminate": op2_decontaminate,
         "op3_quality_rules": op3_quality_rules,
         "op6_mixing": op6_mixing,
+        "op7_near_dedup": op7_near_dedup,
         "op9_license_scan": op9_license_scan,
         "op10_line_dedup": op10_line_dedup,
     }
