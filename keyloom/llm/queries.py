@@ -7,7 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm import decontaminate, licenses, line_dedup, mixing, near_dedup, quality
+from keyloom.llm import (
+    decontaminate,
+    licenses,
+    line_dedup,
+    mixing,
+    near_dedup,
+    quality,
+    token_counts,
+    token_store,
+)
+from keyloom.staging import Stage
+
+VOCABULARY = "word_bpe_49k.json"  # of the public tokenizers
+
+
+def vocabulary(name: str = VOCABULARY) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +43,10 @@ def op3_quality_rules(spark, sf_dir):
     return judged.drop("char_distance", "word_distance")
 
 
+def op4_token_counts(spark, sf_dir):
+    return token_counts.counts(table(spark, sf_dir, "documents"), vocabulary())
+
+
 def op6_mixing(spark, sf_dir):
     return mixing.taken(table(spark, sf_dir, "documents"))
 
@@ -32,6 +55,11 @@ def op7_near_dedup(spark, sf_dir):
     return near_dedup.groups(table(spark, sf_dir, "documents"))
 
 
+def op8_token_store(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return token_store.read_documents(token_store.write_shards(docs, Stage(spark), vocabulary()))
+
+
 def op9_license_scan(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -44,8 +72,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_decontaminate": op2_decontaminate,
         "op3_quality_rules": op3_quality_rules,
+        "op4_token_counts": op4_token_counts,
         "op6_mixing": op6_mixing,
         "op7_near_dedup": op7_near_dedup,
+        "op8_token_store": op8_token_store,
         "op9_license_scan": op9_license_scan,
         "op10_line_dedup": op10_line_dedup,
     }
