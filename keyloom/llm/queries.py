@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from keyloom.llm import (
     decontaminate,
+    html_text,
     licenses,
     line_dedup,
     mixing,
@@ -47,6 +48,10 @@ def op4_token_counts(spark, sf_dir):
     return token_counts.counts(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op5_html_text(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_mixing(spark, sf_dir):
     return mixing.taken(table(spark, sf_dir, "documents"))
 
@@ -73,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_decontaminate": op2_decontaminate,
         "op3_quality_rules": op3_quality_rules,
         "op4_token_counts": op4_token_counts,
+        "op5_html_text": op5_html_text,
         "op6_mixing": op6_mixing,
         "op7_near_dedup": op7_near_dedup,
         "op8_token_store": op8_token_store,
