@@ -1,20 +1,26 @@
 """Token ids of many texts by a tokenizers file, each distinct chunk encoded once per worker.
 
 For tokenizers that drop white space and lower-case (word-end BPE), a text's ids are those of its
-chunks between ASCII white space, one after the other. Chunks are looked up in a table; only new
-ones go to the library, cut before a run of closing marks after a letter, where such tokenizers
-always part. The table is emptied when it holds ``MAX_CHUNKS``.
+chunks between ASCII white space, one after the other, and a mark after a letter at the end of a
+chunk is a chunk of its own. Chunks are looked up in a table; new ones go to the library, plain
+words many in one string, because every one of them ends with a word-end token. The table is
+emptied when it holds ``MAX_CHUNKS``.
 """
 
 from __future__ import annotations
 
+import os
+import re
 import sys
 import types
 
 import numpy as np
 
-MAX_CHUNKS = 400_000
-MARKS = b".,;:!?"
+MAX_CHUNKS = 1_000_000
+JOINED = 500  # plain words of one string
+# Words of a-z and the letters of U+00C0 to U+00FF: one piece for every splitter by letters.
+_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+_MARK = re.compile(rb"(?<=[a-z])([.,])(?=[ \t-\r]|\Z)")
 
 
 class _Numbers(dict):
@@ -29,36 +35,56 @@ class _Numbers(dict):
 
 class Encoder:
     def __init__(self, path: str, special_as_text: bool = False):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
         self.specials = not special_as_text
+        vocabulary = self.tokenizer.get_vocab()
+        self.word_end = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.word_end[[i for name, i in vocabulary.items() if name.endswith("</w>")]] = True
         self._empty()
 
     def _empty(self) -> None:
         self.numbers = _Numbers()
-        self.known: dict[bytes, list[int]] = {}
         self.starts, self.lengths = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.flat, self.n_flat = np.zeros(4096, np.uint32), 0
 
-    def _learn(self) -> None:
-        parts = [_cut(c) for c in self.numbers.fresh]
-        new = list({p for both in parts for p in both if p not in self.known})
-        texts = [p.decode("utf-8", "replace") for p in new]
-        for p, e in zip(new, self.tokenizer.encode_batch(texts, add_special_tokens=False)):
-            self.known[p] = e.ids
-        ids = [[i for p in both for i in self.known[p]] for both in parts]
-        n, first = len(self.numbers), len(self.numbers) - len(parts)
-        lengths = np.array([len(x) for x in ids], np.int64)
-        total = int(lengths.sum())
-        self.starts, self.lengths = _room(self.starts, n), _room(self.lengths, n)
+    def _call(self, texts: list[bytes]) -> list[list[int]]:
+        decoded = [t.decode("utf-8", "replace") for t in texts]
+        return [
+            e.ids for e in self.tokenizer.encode_batch_fast(decoded, add_special_tokens=False)
+        ]
+
+    def _add(self, places: np.ndarray, ids: np.ndarray, ends: np.ndarray) -> None:
+        total = len(ids)
         self.flat = _room(self.flat, self.n_flat + total)
-        self.lengths[first:n] = lengths
-        self.starts[first:n] = self.n_flat + np.cumsum(lengths) - lengths
-        self.flat[self.n_flat : self.n_flat + total] = [i for x in ids for i in x]
+        self.flat[self.n_flat : self.n_flat + total] = ids
+        first = np.concatenate([[0], ends[:-1]])
+        self.starts[places], self.lengths[places] = self.n_flat + first, ends - first
         self.n_flat += total
-        self.numbers.fresh.clear()
+
+    def _learn(self) -> None:
+        fresh, n = self.numbers.fresh, len(self.numbers)
+        self.starts, self.lengths = _room(self.starts, n), _room(self.lengths, n)
+        base = n - len(fresh)
+        plain = np.fromiter((_PLAIN.fullmatch(c) is not None for c in fresh), bool, len(fresh))
+        words = [fresh[i] for i in np.flatnonzero(plain).tolist()]
+        if words:
+            joined = [b" ".join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)]
+            ids = np.array([i for part in self._call(joined) for i in part], np.uint32)
+            ends = np.flatnonzero(self.word_end[ids]) + 1
+            if len(ends) == len(words):
+                self._add(base + np.flatnonzero(plain), ids, ends)
+            else:
+                plain[:] = False
+        rest = np.flatnonzero(~plain)
+        if len(rest):
+            parts = self._call([fresh[i] for i in rest.tolist()])
+            ends = np.cumsum([len(p) for p in parts])
+            self._add(base + rest, np.array([i for p in parts for i in p], np.uint32), ends)
+        fresh.clear()
 
     def encode(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ends): the ids of all texts, each followed by ``end``, and where each ends."""
@@ -69,7 +95,8 @@ class Encoder:
         borders[0] = 0
         for k, text in enumerate(texts):
             # Lower-casing is the tokenizer's own; special strings must keep their case.
-            chunks += (text if self.specials and b"<|" in text else text.lower()).split()
+            own = text if self.specials and b"<|" in text else text.lower()
+            chunks += _MARK.sub(rb" \1", own).split()
             borders[k + 1] = len(chunks)
         found = np.fromiter(map(self.numbers.__getitem__, chunks), np.int64, len(chunks))
         if self.numbers.fresh:
@@ -85,16 +112,6 @@ class Encoder:
         return ids, ends
 
 
-def _cut(chunk: bytes) -> tuple[bytes, ...]:
-    core = chunk.rstrip(MARKS)
-    if len(core) == len(chunk) or not core:
-        return (chunk,)
-    last = core[-2:].decode("utf-8", "ignore")[-1:]
-    if last.isalpha() and last < "ɐ":
-        return (core, chunk[len(core) :])
-    return (chunk,)
-
-
 def _room(array: np.ndarray, n: int) -> np.ndarray:
     if n <= len(array):
         return array

@@ -25,12 +25,12 @@ class WaveletMatrix:
         x = ids.astype(np.uint16 if top <= 16 else np.uint32)
         planes = []
         for p in range(top - 1, -1, -1):
-            bit = (x >> x.dtype.type(p)) & x.dtype.type(1) > 0
+            bit = (x & x.dtype.type(1 << p)).astype(bool)
             packed = np.packbits(bit, bitorder="little")
             room = np.zeros(-(-len(packed) // 8) * 8, np.uint8)
             room[: len(packed)] = packed
             planes.append(room.view("<u8"))
-            x = np.concatenate([x[~bit], x[bit]])
+            x = np.concatenate([np.compress(~bit, x), np.compress(bit, x)])
         return cls(len(ids), planes)
 
     @classmethod
@@ -114,7 +114,9 @@ class WaveletMatrix:
             bit = np.unpackbits(words.view(np.uint8), count=self.n, bitorder="little") > 0
             zeros = self.zeros[top - 1 - p]
             y = np.empty(self.n, kind)
-            y[~bit] = x[:zeros]
-            y[bit] = x[zeros:] | kind(1 << p)
+            if zeros:
+                np.place(y, ~bit, x[:zeros])
+            if zeros < self.n:
+                np.place(y, bit, x[zeros:] | kind(1 << p))
             x = y
         return x
