@@ -20,7 +20,7 @@ MAX_CHUNKS = 1_000_000
 JOINED = 500  # plain words of one string
 # Words of a-z and the letters of U+00C0 to U+00FF: one piece for every splitter by letters.
 _PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
-_MARK = re.compile(rb"(?<=[a-z])([.,])(?=[ \t-\r]|\Z)")
+_MARK = re.compile(rb"[.,](?<=[a-z].)(?![^ \t-\r])")
 
 
 class _Numbers(dict):
@@ -96,7 +96,7 @@ class Encoder:
         for k, text in enumerate(texts):
             # Lower-casing is the tokenizer's own; special strings must keep their case.
             own = text if self.specials and b"<|" in text else text.lower()
-            chunks += _MARK.sub(rb" \1", own).split()
+            chunks += _MARK.sub(rb" \g<0>", own).split()
             borders[k + 1] = len(chunks)
         found = np.fromiter(map(self.numbers.__getitem__, chunks), np.int64, len(chunks))
         if self.numbers.fresh:

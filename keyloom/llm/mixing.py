@@ -296,3 +296,12 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
         & (mark == F.col("_m"))
     )
     return kept.join(copies, same).drop("_id", "_s", "_m")
+
+
+def shuffled(docs: DataFrame, **options) -> DataFrame:
+    """The mix with the columns of ``docs``: shards one after the other in the partitions, rows in
+    the order of their place."""
+    mix = mixed(docs, **options)
+    return mix.repartition("shard").sortWithinPartitions("shard", "place").select(
+        *[F.col(f"`{c}`") for c in docs.columns]
+    )

@@ -80,12 +80,14 @@ def repeat_words(words: Column, width: int = WINDOW) -> Column:
     return let(F.transform(words, lambda w: F.xxhash64(w)), windows)
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """doc_id, lang_key, counts and the two histograms; one row per row of ``docs``."""
+def features(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """row (doc_id, or all columns of ``docs``), lang_key, counts and the two histograms; one row
+    per row of ``docs``."""
+    row = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if whole else ["doc_id"])])
     text = F.coalesce(F.col("text"), F.lit(""))
     kind = F.when(F.col("lang").isin(*COMMON), F.col("lang")).otherwise(REST)
     d = docs.select(
-        F.col("doc_id"), kind.alias("lang_key"), text.alias("text"), words_of(text).alias("w")
+        row.alias("row"), kind.alias("lang_key"), text.alias("text"), words_of(text).alias("w")
     )
     listed = F.lit(None).cast("array<string>")
     for lang, words in COMMON.items():
@@ -95,7 +97,7 @@ def features(docs: DataFrame) -> DataFrame:
     d = d.withColumn("listed", listed)
     spoken = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     d = d.select(
-        "doc_id",
+        "row",
         "lang_key",
         F.size("w").cast("bigint").alias("n_words"),
         F.aggregate("w", F.lit(0).cast("bigint"), lambda a, x: a + F.length(x)).alias(
@@ -130,7 +132,7 @@ def features(docs: DataFrame) -> DataFrame:
         ),
     )
     return d.select(
-        "doc_id",
+        "row",
         "lang_key",
         "n_words",
         "word_chars",
@@ -193,11 +195,24 @@ def judge(
 ) -> DataFrame:
     """doc_id, base counts, ``char_distance``, ``word_distance``, ``base_failed``, ``kept``."""
     feats = Stage(docs.sparkSession).put(features(docs), "features")
-    return verdicts(feats, max_char_distance, max_word_distance, min_chars, min_words)
+    limits = (max_char_distance, max_word_distance, min_chars, min_words)
+    return _verdicts(feats, references(feats), *limits).select("row.*", *COUNTS, *JUDGED)
 
 
-def verdicts(feats, max_char_distance, max_word_distance, min_chars, min_words) -> DataFrame:
-    d = feats.join(F.broadcast(references(feats)), "lang_key", "left")
+def keep(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns. The texts are read twice, for
+    the references and for the verdicts, and never shuffled."""
+    refs = Stage(docs.sparkSession).put(references(features(docs)), "references")
+    limits = (MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE, MIN_CHARS, MIN_WORDS)
+    return _verdicts(features(docs, whole=True), refs, *limits).where("kept").select("row.*")
+
+
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+JUDGED = ["char_distance", "word_distance", "base_failed", "kept"]
+
+
+def _verdicts(feats, refs, max_char_distance, max_word_distance, min_chars, min_words) -> DataFrame:
+    d = feats.join(F.broadcast(refs), "lang_key", "left")
     d = d.withColumns(
         {
             "char_distance": F.when(
@@ -215,14 +230,5 @@ def verdicts(feats, max_char_distance, max_word_distance, min_chars, min_words)
         F.col("word_distance") > max_word_distance, F.lit(False)
     )
     return d.select(
-        "doc_id",
-        "n_words",
-        "word_chars",
-        "n_symbols",
-        "n_dup_lines",
-        "n_repeat_words",
-        "char_distance",
-        "word_distance",
-        "base_failed",
-        (~F.col("base_failed") & ~far).alias("kept"),
+        "row", *COUNTS, *JUDGED[:-1], (~F.col("base_failed") & ~far).alias("kept")
     )
