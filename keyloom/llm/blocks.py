@@ -1,7 +1,7 @@
 """Texts in blocks, for operators that ask many small questions about parts of texts.
 
 A block is a row with some thousand documents: ``doc_id`` (list), ``ends`` (int64 ends of the
-UTF-8 texts) and ``body`` (the texts, joined). A partition is cut into blocks of about
+UTF-8 texts) and ``body`` (the texts, joined and compressed). A partition is cut into blocks of about
 ``block_bytes``, so a task holds one block at a time; a longer text is a block of its own. Blocks
 are written once, without a shuffle, and their numbers are part of what is written, so a job that
 is run again after a lost executor meets the same blocks.
@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -63,7 +64,7 @@ def write_blocks(docs: DataFrame, stage: Stage, block_bytes: int = BLOCK_BYTES)
                     pa.array([number], pa.int64()),
                     pa.array([[i for part in ids for i in part]], pa.list_(pa.int64())),
                     pa.array([np.cumsum(lengths).astype("<i8").tobytes()], pa.binary()),
-                    pa.array([body], pa.binary()),
+                    pa.array([zstandard.compress(body, 1)], pa.binary()),
                 ],
                 names=["block", "doc_id", "ends", "body"],
             )
@@ -87,10 +88,8 @@ def write_blocks(docs: DataFrame, stage: Stage, block_bytes: int = BLOCK_BYTES)
     return stage.put(rows.mapInArrow(pack, BLOCK_SCHEMA), "blocks")
 
 
-def unpack(ends: bytes, body: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and the n + 1 borders of a block."""
-    ends = np.frombuffer(ends, dtype="<i8")
-    return np.frombuffer(body, dtype=np.uint8), np.concatenate([[0], ends])
+def body_of(row: dict) -> bytes:
+    return zstandard.decompress(row["body"])
 
 
 def shard_of(keys: np.ndarray, n_shards: int) -> np.ndarray:

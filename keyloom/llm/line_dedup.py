@@ -46,7 +46,7 @@ def line_hashes(text: bytes) -> list[int]:
 
 
 def _line_keys(row: dict) -> tuple[np.ndarray, np.ndarray]:
-    body, start = row["body"], 0
+    body, start = B.body_of(row), 0
     seen: list[int] = []
     for end in np.frombuffer(row["ends"], "<i8").tolist():
         seen += set(line_hashes(body[start:end])) - {0}
@@ -207,7 +207,7 @@ def _rewritten(docs, min_docs, block_bytes, kept, schema) -> DataFrame:
 
     def finish(row: dict, keys: np.ndarray, flags: np.ndarray) -> pa.Table:
         frequent = set(keys[flags].tolist())
-        body, start, out = row["body"], 0, ([], [], [])
+        body, start, out = B.body_of(row), 0, ([], [], [])
         for end in np.frombuffer(row["ends"], "<i8").tolist():
             text, start = body[start:end], end
             lines = text.split(b"\n")

@@ -15,6 +15,7 @@ from keyloom.llm import (
     mixing,
     near_dedup,
     quality,
+    suffix_dedup,
     token_counts,
     token_store,
 )
@@ -34,6 +35,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op2_decontaminate(spark, sf_dir):
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return decontaminate.digest(docs, items)
@@ -75,6 +80,7 @@ def op10_line_dedup(spark, sf_dir):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_suffix_dedup": op1_suffix_dedup,
         "op2_decontaminate": op2_decontaminate,
         "op3_quality_rules": op3_quality_rules,
         "op4_token_counts": op4_token_counts,
