@@ -8,15 +8,15 @@ import numpy as np
 def _names(s: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, int]:
     """Ranks from 1 of the triples that start at ``at``, and how many differ."""
     m = int(s.max()) + 1
-    first = s[at].astype(np.uint64) * np.uint64(m) + s[at + 1]
+    first = s[at] * m + s[at + 1]
     if m**3 >= 2**63:
-        first = np.unique(first, return_inverse=True)[1].astype(np.uint64)
-    found, names = np.unique(first * np.uint64(m) + s[at + 2], return_inverse=True)
-    return names.astype(np.int64) + 1, len(found)
+        first = np.unique(first, return_inverse=True)[1]
+    found, names = np.unique(first * m + s[at + 2], return_inverse=True)
+    return names + 1, len(found)
 
 
 def suffix_order(s: np.ndarray) -> np.ndarray:
-    """The starts of the suffixes of ``s`` (numbers above 0) in order.
+    """The starts of the suffixes of ``s`` (int64 above 0) in order.
 
     Triples at positions 1 and 2 modulo 3 are sorted and named. While names are not unique, the
     string of names is sorted in the same way. The suffixes at positions 0 modulo 3 are sorted by
@@ -39,14 +39,13 @@ def suffix_order(s: np.ndarray) -> np.ndarray:
     rank = np.zeros(n + 3, np.int64)
     rank[sample[order]] = np.arange(1, len(sample) + 1)
 
-    top, size = np.uint64(len(sample) + 2), np.uint64(int(s.max()) + 1)
+    top, size = len(sample) + 2, int(s.max()) + 1
 
     def key(at: np.ndarray) -> np.ndarray:
-        return s[at].astype(np.uint64) * top + rank[at + 1].astype(np.uint64)
+        return s[at] * top + rank[at + 1]
 
     def long_key(at: np.ndarray) -> np.ndarray:
-        pair = s[at].astype(np.uint64) * size + s[at + 1].astype(np.uint64)
-        return pair * top + rank[at + 2].astype(np.uint64)
+        return (s[at] * size + s[at + 1]) * top + rank[at + 2]
 
     rest = np.arange(0, n, 3)
     own = key(rest)
@@ -55,10 +54,10 @@ def suffix_order(s: np.ndarray) -> np.ndarray:
     ordered = sample[order]
     ones, twos = ordered[ordered % 3 == 1], ordered[ordered % 3 == 2]
     place = np.searchsorted(key(ones), own)  # ones and twos are in order, so their keys are
-    if int(size) ** 2 * int(top) < 2**63:
+    if size**2 * top < 2**63:
         place += np.searchsorted(long_key(twos), long_key(rest))
     else:
-        place += _by_pairs(s, rank, twos, rest, int(size))
+        place += _by_pairs(s, rank, twos, rest, size)
     out = np.empty(n, np.int64)
     spots = place + np.arange(len(rest))
     taken = np.zeros(n, bool)
@@ -71,8 +70,6 @@ def suffix_order(s: np.ndarray) -> np.ndarray:
 def _by_pairs(s, rank, twos, rest, size) -> np.ndarray:
     """As the search by long keys, for numbers too large to pack: pairs are named first."""
     both = np.concatenate([twos, rest])
-    pairs = s[both].astype(np.uint64) * np.uint64(size) + s[both + 1].astype(np.uint64)
-    named = np.unique(pairs, return_inverse=True)[1].astype(np.uint64)
-    top = np.uint64(int(rank.max()) + 2)
-    keys = named * top + rank[both + 2].astype(np.uint64)
+    named = np.unique(s[both] * size + s[both + 1], return_inverse=True)[1]
+    keys = named * (int(rank.max()) + 2) + rank[both + 2]
     return np.searchsorted(keys[: len(twos)], keys[len(twos) :])
