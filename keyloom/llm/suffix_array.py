@@ -5,14 +5,40 @@ from __future__ import annotations
 import numpy as np
 
 
+TABLE = 2**25  # values below it are named by a table
+
+
+def _order(values: np.ndarray) -> np.ndarray:
+    """A sorting order of numbers from 0; value and place are sorted in one word if they fit."""
+    bits = max(len(values) - 1, 1).bit_length()
+    if len(values) and int(values.max()).bit_length() + bits <= 63:
+        return np.sort((values << bits) | np.arange(len(values))) & ((1 << bits) - 1)
+    return np.argsort(values, kind="stable")
+
+
+def _ranks(values: np.ndarray, below: int) -> tuple[np.ndarray, int]:
+    """Ranks from 0 of numbers under ``below``, and how many differ."""
+    if below <= TABLE:
+        seen = np.zeros(below, bool)
+        seen[values] = True
+        dense = np.cumsum(seen, dtype=np.int32)
+        return dense[values].astype(np.int64) - 1, int(dense[-1])
+    order = _order(values)
+    ordered = values[order]
+    new = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
+    out = np.empty(len(values), np.int64)
+    out[order] = new
+    return out, int(new[-1]) + 1
+
+
 def _names(s: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, int]:
     """Ranks from 1 of the triples that start at ``at``, and how many differ."""
     m = int(s.max()) + 1
-    first = s[at] * m + s[at + 1]
-    if m**3 >= 2**63:
-        first = np.unique(first, return_inverse=True)[1]
-    found, names = np.unique(first * m + s[at + 2], return_inverse=True)
-    return names + 1, len(found)
+    first, below = s[at] * m + s[at + 1], m * m
+    if m**3 >= 2**62:
+        first, below = _ranks(first, below)
+    names, different = _ranks(first * m + s[at + 2], below * m)
+    return names + 1, different
 
 
 def suffix_order(s: np.ndarray) -> np.ndarray:
@@ -30,7 +56,8 @@ def suffix_order(s: np.ndarray) -> np.ndarray:
     sample = np.concatenate([one, two])
     names, different = _names(s, sample)
     if different == len(sample):
-        order = np.argsort(names, kind="stable")
+        order = np.empty(len(sample), np.int64)
+        order[names - 1] = np.arange(len(sample))
     else:
         joined = np.concatenate([names[: len(one)] + 1, [1], names[len(one) :] + 1])
         order = suffix_order(joined)
@@ -49,7 +76,7 @@ def suffix_order(s: np.ndarray) -> np.ndarray:
 
     rest = np.arange(0, n, 3)
     own = key(rest)
-    by_key = np.argsort(own, kind="stable")
+    by_key = _order(own)
     rest, own = rest[by_key], own[by_key]
     ordered = sample[order]
     ones, twos = ordered[ordered % 3 == 1], ordered[ordered % 3 == 2]
@@ -70,6 +97,6 @@ def suffix_order(s: np.ndarray) -> np.ndarray:
 def _by_pairs(s, rank, twos, rest, size) -> np.ndarray:
     """As the search by long keys, for numbers too large to pack: pairs are named first."""
     both = np.concatenate([twos, rest])
-    named = np.unique(s[both] * size + s[both + 1], return_inverse=True)[1]
+    named = _ranks(s[both] * size + s[both + 1], size * size)[0]
     keys = named * (int(rank.max()) + 2) + rank[both + 2]
     return np.searchsorted(keys[: len(twos)], keys[len(twos) :])

@@ -22,11 +22,14 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import hashlib
+import time
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +42,8 @@ LENGTH = 50
 PIECE = 16  # bytes of an anchor
 SPAN = LENGTH - PIECE + 1  # places of an anchor in a string
 HOT = 5_000
-SLICE_BYTES = 1_000_000
+SLICE_BYTES = 500_000
+BLOCK_BYTES = 4_000_000
 NO_ID = 2**63 - 1
 RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 _A, _B, _C, _D = numbers(4, 401) | np.uint64(1)
@@ -146,12 +150,16 @@ def _ask_anchors(blocks: DataFrame, n_shards: int) -> DataFrame:
     return B.by_shard(blocks, n_shards, _anchor_keys).mapInArrow(short, schema)
 
 
-def _pieces_of(row: dict, kinds: np.ndarray, n_shards: int) -> dict[str, np.ndarray]:
-    """The contexts of a block that are sent, hot ones cut into single strings."""
+def _pieces_of(row: dict, n_shards: int) -> dict[str, np.ndarray]:
+    """The contexts of a block with a shared anchor by shard and id, hot ones cut into strings."""
     body, _ = _block(row)
     first, end, rows, least = _runs(row)
-    keys = np.unique(least)
-    kind = kinds[np.searchsorted(keys, least)] if len(keys) else np.zeros(0, np.uint8)
+    keys, place = np.unique(least, return_inverse=True)
+    replies = {x["shard"]: x["answers"] for x in row["kinds"] or ()}
+    order = np.argsort(B.shard_of(keys, n_shards), kind="stable")
+    kinds = np.zeros(len(keys), np.uint8)
+    kinds[order] = np.frombuffer(b"".join(replies[s] for s in sorted(replies)), np.uint8)
+    kind = kinds[place]
     one, many = kind == 1, kind == 2
     count = (end - first)[many]
     begins = np.repeat(first[many] - (np.cumsum(count) - count), count) + np.arange(count.sum())
@@ -165,39 +173,62 @@ def _pieces_of(row: dict, kinds: np.ndarray, n_shards: int) -> dict[str, np.ndar
     shard = B.shard_of(np.concatenate([least[one], own]), n_shards)
     ids = np.array([NO_ID if i is None else i for i in row["doc_id"]], np.int64)
     order = np.lexsort((ids[rows], shard))
-    return {"first": first[order], "end": end[order], "rows": rows[order], "shard": shard[order], "ids": ids, "body": body}
+    first, end, shard, owner = first[order], end[order], shard[order], ids[rows[order]]
+    same, copied = _distinct(body.tobytes(), first, end, shard, owner)
+    return {"first": first, "size": end - first, "shard": shard, "same": same, "copied": copied, "owner": owner}
 
 
-def _distinct(found: dict) -> tuple[np.ndarray, np.ndarray]:
+def _distinct(body: bytes, first, end, shard, owner) -> tuple[np.ndarray, np.ndarray]:
     """For each piece the number of the first equal one (smallest id first), and whether it is a
     later document's copy."""
-    body, ids = found["body"].tobytes(), found["ids"]
     seen: dict[tuple[int, bytes], int] = {}
-    same = np.arange(len(found["first"]))
-    listed = zip(found["first"].tolist(), found["end"].tolist(), found["shard"].tolist())
-    for k, (a, b, s) in enumerate(listed):
+    same = np.arange(len(first))
+    for k, (a, b, s) in enumerate(zip(first.tolist(), end.tolist(), shard.tolist())):
         same[k] = seen.setdefault((s, body[a : b + LENGTH - 1]), k)
-    owner = ids[found["rows"]]
     return same, owner > owner[same]
 
 
-CONTEXTS = "shard bigint, block bigint, ids binary, sizes binary, body binary"
+# What is kept of the pieces next to their block.
+PIECES = {"first": "<i4", "size": "<i4", "shard": "<i4", "same": "<i4", "copied": "?", "owner": "<i8"}
 
 
-def _sent(found: dict, same: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(same == np.arange(len(same)))
+def _pieces(row: dict) -> dict[str, np.ndarray]:
+    return {c: np.frombuffer(row[c], kind).astype(np.int64) for c, kind in PIECES.items()}
+
+
+CONTEXTS = "shard bigint, block bigint, ids binary, sizes binary, body binary"
 
 
 def _mark(group: pa.Table) -> pa.Table:
     """A bit per string of each block: it starts in a document with a smaller id too."""
-    cols = [group.column(c).to_pylist() for c in ("ids", "sizes", "body")]
-    ids = np.concatenate([np.frombuffer(x, "<i8") for x in cols[0]])
-    sizes = [np.frombuffer(x, "<i8") for x in cols[1]]  # strings of each context
-    n = np.concatenate(sizes)
-    text = np.frombuffer(b"".join(cols[2]), np.uint8)
-    begin = np.concatenate([[0], np.cumsum(n + LENGTH - 1)])[:-1]
+    ids = [np.frombuffer(x, "<i8") for x in group.column("ids").to_pylist()]
+    sizes = [np.frombuffer(x, "<i4").astype(np.int64) for x in group.column("sizes").to_pylist()]
+    owner, n = np.concatenate(ids), np.concatenate(sizes)
+    body = b"".join(map(zstandard.decompress, group.column("body").to_pylist()))
+    end = np.cumsum(n + LENGTH - 1)
+    # Equal contexts of different blocks are sorted once, as the one with the smallest id.
+    by_owner = np.argsort(owner, kind="stable")
+    seen: dict[bytes, int] = {}
+    same = np.empty(len(n), np.int64)
+    spans = zip((end - n - LENGTH + 1)[by_owner].tolist(), end[by_owner].tolist())
+    for k, (a, b) in zip(by_owner.tolist(), spans):
+        same[k] = seen.setdefault(body[a:b], k)
+    chosen = np.fromiter(seen.values(), np.int64, len(seen))
+    marked = _marked(np.frombuffer(b"".join(seen), np.uint8), n[chosen], owner[chosen])
+    offset = np.zeros(len(n), np.int64)
+    offset[chosen] = np.cumsum(n[chosen]) - n[chosen]
+    spot = np.repeat(offset[same] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    marks = marked[spot] | np.repeat(owner > owner[same], n)
+    cuts = np.cumsum([0, *(int(x.sum()) for x in sizes)]).tolist()
+    return _answers(group, [np.packbits(marks[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:])])
+
+
+def _marked(text: np.ndarray, n: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For each string of distinct contexts of n strings each, by the suffix array of their text:
+    whether a run of equal 50-byte prefixes has a smaller id."""
+    begin = np.cumsum(n + LENGTH - 1) - (n + LENGTH - 1)
     starts = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    number = np.full(len(text), -1, np.int64)
+    number = np.full(len(text), -1, np.int32)
     number[starts] = np.arange(len(starts))
     owner = np.repeat(ids, n)
     order = number[suffix_order(text.astype(np.int64) + 1)]
@@ -213,48 +244,71 @@ def _mark(group: pa.Table) -> pa.Table:
     smallest = np.minimum.reduceat(owner[order], heads)
     marked = np.zeros(len(order), bool)
     marked[order] = owner[order] > np.repeat(smallest, np.diff(np.append(heads, len(order))))
-    cuts = np.cumsum([0, *(int(x.sum()) for x in sizes)]).tolist()
-    bits = [np.packbits(marked[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
-    return _answers(group, bits)
+    return marked
 
 
-def _kinds(row: dict, replies: dict[int, bytes], n_shards: int) -> np.ndarray:
-    """The answers to a block's anchors, in the order of the keys."""
-    keys = np.unique(_runs(row)[3])
-    shard = B.shard_of(keys, n_shards)
-    order = np.argsort(shard, kind="stable")
-    out = np.zeros(len(keys), np.uint8)
-    out[order] = np.frombuffer(b"".join(replies[s] for s in sorted(replies)), np.uint8)
-    return out
+def _release(spark) -> None:
+    """Let Spark's cleaner see that the rounds so far are written and their shuffles are unused."""
+    for _ in range(2):
+        spark.range(1).count()
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
 
 
-def removed(docs: DataFrame, kept, schema: str, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
-    """``kept(doc_id, text, gone)`` for each document, where gone marks its removed bytes."""
-    stage = Stage(docs.sparkSession)
+def _cut_blocks(docs: DataFrame, stage: Stage, block_bytes: int) -> tuple[DataFrame, int]:
+    """Blocks with their pieces, written, and the number of shards."""
     blocks = B.write_blocks(docs, stage, block_bytes)
     n_shards = max(16, 2 * blocks.count())
     asked = _ask_anchors(blocks, n_shards)
     kinds = asked.groupBy("shard").applyInArrow(_count_documents, B.ANSWERS)
-    # Answers and blocks meet once: what a block learnt is written next to it.
     grouped = kinds.groupBy("block").agg(
         F.sort_array(F.collect_list(F.struct("shard", "answers"))).alias("kinds")
     )
-    blocks = stage.put(blocks.join(grouped, "block", "left"), "screened")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                found = _pieces_of(row, n_shards)
+                packed = [found[c].astype(kind).tobytes() for c, kind in PIECES.items()]
+                yield pa.record_batch(
+                    [
+                        pa.array([row["block"]], pa.int64()),
+                        pa.array([row["doc_id"]], pa.list_(pa.int64())),
+                        *(pa.array([x], pa.binary()) for x in (row["ends"], row["body"], *packed)),
+                    ],
+                    names=["block", "doc_id", "ends", "body", *PIECES],
+                )
+
+    # Answers and blocks meet here; what comes of it is written next to the block.
+    schema_cut = B.BLOCK_SCHEMA + "".join(f", {c} binary" for c in PIECES)
+    pieces = stage.put(blocks.join(grouped, "block", "left").mapInArrow(cut, schema_cut), "pieces")
+    for path in {f.rsplit("/", 1)[0] for f in blocks.limit(1).inputFiles()}:
+        stage.drop(path)
+    return pieces, n_shards
+
+
+def removed(docs: DataFrame, kept, schema: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``kept(doc_id, text, gone)`` for each document, where gone marks its removed bytes."""
+    stage = Stage(docs.sparkSession)
+    blocks, n_shards = _cut_blocks(docs, stage, block_bytes)
+    _release(docs.sparkSession)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                found, same, _ = _of_row(row, n_shards)
-                chosen = _sent(found, same)
+                found, body = _pieces(row), B.body_of(row)
+                chosen = _first_ones(found)
                 cuts = np.searchsorted(found["shard"][chosen], np.arange(n_shards + 1))
-                body, used = found["body"].tobytes(), np.flatnonzero(np.diff(cuts))
+                used = np.flatnonzero(np.diff(cuts))
                 ids, sizes, texts = [], [], []
                 for s in used.tolist():
                     k = chosen[cuts[s] : cuts[s + 1]]
-                    a, b = found["first"][k], found["end"][k]
-                    ids.append(found["ids"][found["rows"][k]].astype("<i8").tobytes())
-                    sizes.append((b - a).astype("<i8").tobytes())
-                    texts.append(b"".join(body[x : y + LENGTH - 1] for x, y in zip(a.tolist(), b.tolist())))
+                    ids.append(found["owner"][k].astype("<i8").tobytes())
+                    sizes.append(found["size"][k].astype("<i4").tobytes())
+                    spans = zip(found["first"][k].tolist(), found["size"][k].tolist())
+                    text = b"".join(body[x : x + n + LENGTH - 1] for x, n in spans)
+                    texts.append(zstandard.compress(text, 9))
                 yield pa.record_batch(
                     [
                         pa.array(used, pa.int64()),
@@ -275,8 +329,8 @@ def removed(docs: DataFrame, kept, schema: str, block_bytes: int = B.BLOCK_BYTES
         types = pa.schema([("doc_id", pa.int64())])
         for batch in batches:
             for row in batch.to_pylist():
-                gone = _gone(row, n_shards)
                 body, borders = _block(row)
+                gone = _gone(row, len(body), n_shards)
                 rows = []
                 for k, i in enumerate(row["doc_id"]):
                     a, b = int(borders[k]), int(borders[k + 1])
@@ -288,17 +342,15 @@ def removed(docs: DataFrame, kept, schema: str, block_bytes: int = B.BLOCK_BYTES
     return blocks.join(listed, "block", "left").mapInArrow(finish, schema)
 
 
-def _of_row(row: dict, n_shards: int) -> tuple[dict, np.ndarray, np.ndarray]:
-    replies = {x["shard"]: x["answers"] for x in row["kinds"] or ()}
-    found = _pieces_of(row, _kinds(row, replies, n_shards), n_shards)
-    return found, *_distinct(found)
+def _first_ones(found: dict) -> np.ndarray:
+    return np.flatnonzero(found["same"] == np.arange(len(found["same"])))
 
 
-def _gone(row: dict, n_shards: int) -> np.ndarray:
+def _gone(row: dict, n_bytes: int, n_shards: int) -> np.ndarray:
     """Which bytes of a block are removed."""
-    found, same, copied = _of_row(row, n_shards)
-    chosen = _sent(found, same)
-    n = (found["end"] - found["first"]).astype(np.int64)
+    found = _pieces(row)
+    same, copied, n = found["same"], found["copied"] > 0, found["size"]
+    chosen = _first_ones(found)
     marked = np.zeros(int(n[chosen].sum()), bool)
     at, cuts = 0, np.searchsorted(found["shard"][chosen], np.arange(n_shards + 1))
     for x in row["marks"] or ():
@@ -312,13 +364,12 @@ def _gone(row: dict, n_shards: int) -> np.ndarray:
     spot = np.repeat(offset[same] - (np.cumsum(n) - n), n) + np.arange(n.sum())
     start = np.repeat(found["first"] - (np.cumsum(n) - n), n) + np.arange(n.sum())
     hit = start[marked[spot] | np.repeat(copied, n)] if len(spot) else start
-    edge = np.zeros(len(found["body"]) + LENGTH + 1, np.int32)
-    np.add.at(edge, hit, 1)
-    np.add.at(edge, hit + LENGTH, -1)
-    return np.cumsum(edge)[: len(found["body"])] > 0
+    edge = np.bincount(hit, minlength=n_bytes + 1)
+    edge[LENGTH:] -= np.bincount(hit, minlength=n_bytes + 1)[:-LENGTH]
+    return np.cumsum(edge)[:n_bytes] > 0
 
 
-def digest(docs: DataFrame, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
+def digest(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
 
     def kept(text: np.ndarray, gone: np.ndarray) -> tuple:
@@ -329,7 +380,7 @@ def digest(docs: DataFrame, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
     return removed(docs, kept, RESULT, block_bytes)
 
 
-def dedup(docs: DataFrame, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
+def dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, text: what is left, cut characters replaced."""
 
     def kept(text: np.ndarray, gone: np.ndarray) -> tuple:
