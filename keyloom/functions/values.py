@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -76,3 +76,10 @@ def seeded_hash(col: Column, dtype: T.DataType, seed: int) -> Column:
         )
         return F.xxhash64(head, F.size(col), pairs)
     return F.xxhash64(head, col)
+
+
+def without_nulls(df: DataFrame, names: list[str]) -> DataFrame:
+    """Rows without a null in the named columns; NaN is a value and stays."""
+    for name in names:
+        df = df.where(F.col(f"`{name}`").isNotNull())
+    return df

@@ -101,7 +101,7 @@ def membership(cell_rows: DataFrame, nulls_equal: bool = True) -> DataFrame:
 
 def clusters_of_combo(df: DataFrame, row_id: str, combo: list[str], nulls_equal: bool = True) -> DataFrame:
     """Clusters of a column set: one aggregate over all its columns, native types kept."""
-    rows = df if nulls_equal else df.dropna(subset=combo)
+    rows = df if nulls_equal else V.without_nulls(df, combo)
     return (
         rows.groupBy(*[F.col(f"`{c}`") for c in combo])
         .agg(F.min(f"`{row_id}`").alias("cluster_id"), F.count(F.lit(1)).alias("n"))
@@ -111,7 +111,7 @@ def clusters_of_combo(df: DataFrame, row_id: str, combo: list[str], nulls_equal:
 
 def membership_of_combo(df: DataFrame, row_id: str, combo: list[str], nulls_equal: bool = True) -> DataFrame:
     """``row_id, cluster_id`` for a column set."""
-    rows = df if nulls_equal else df.dropna(subset=combo)
+    rows = df if nulls_equal else V.without_nulls(df, combo)
     rows = rows.select(
         F.col(f"`{row_id}`").alias("row_id"),
         *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(combo)],

@@ -58,7 +58,7 @@ def _batch_groups(rows: DataFrame, fields: list[list[str]], batch: list[Combo],
     used = sorted({c for combo in batch for c in combo})
     names = [f for c in used for f in fields[c]]
     if len(names) > GROUPING_BITS:  # a single very wide combo
-        wide = rows if nulls_equal else rows.dropna(subset=names)
+        wide = rows if nulls_equal else V.without_nulls(rows, names)
         return wide.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).select(
             F.lit(",".join(map(str, batch[0]))).alias("combo"), "n"
         )
@@ -94,8 +94,8 @@ def count_errors(rows: DataFrame, fields: list[list[str]], combos: Sequence[Comb
     counted = parts[0]
     for p in parts[1:]:
         counted = counted.unionByName(p)
-    if not nulls_equal:
-        # a combo that is null in every row has no group left
+    if not nulls_equal and not rows.isEmpty():
+        # a combo that is null in every row has no group left; without rows no combo is counted
         asked = combo_frame(rows.sparkSession, combos).select("combo")
         counted = asked.join(counted, "combo", "left").fillna(0)
     return counted

@@ -21,7 +21,11 @@ def _named(sets: DataFrame, names: Sequence[str], *extra) -> DataFrame:
 
 
 def _columns(df: DataFrame, columns: Sequence[str] | None) -> DataFrame:
-    return df.select(*[F.col(f"`{c}`") for c in columns]) if columns else df
+    if columns is None:
+        return df
+    if not columns:
+        raise ValueError("columns must name at least one column")
+    return df.select(*[F.col(f"`{c}`") for c in columns])
 
 
 # Up to this size counting all undecided sets takes fewer jobs than gathering evidence.
@@ -29,6 +33,13 @@ FEW_COLUMNS = 8
 FEW_ROWS = 1_000_000
 
 
+def _check_method(method: str | None, tolerance: int) -> None:
+    if method not in (None, "evidence", "levels"):
+        raise ValueError(f"unknown method {method!r}")
+    if method == "evidence" and tolerance:
+        raise ValueError("a tolerance needs method='levels'")
+
+
 def _method(codes: Codes, tolerance: int) -> str:
     few = codes.width <= FEW_COLUMNS and codes.n_rows <= FEW_ROWS
     return "levels" if tolerance or few else "evidence"
@@ -61,8 +72,7 @@ def minimal_keys(df: DataFrame, tolerance: int = 0, nulls_equal: bool = True,
     few columns take the second.
     """
     df = _columns(df, columns)
-    if method == "evidence" and tolerance:
-        raise ValueError("a tolerance needs method='levels'")
+    _check_method(method, tolerance)
     stage = Stage(df.sparkSession)
     codes = encode(df, stage, nulls_equal)
     method = method or _method(codes, tolerance)
@@ -79,6 +89,7 @@ def minimal_keys(df: DataFrame, tolerance: int = 0, nulls_equal: bool = True,
 def maximal_nonkeys(df: DataFrame, tolerance: int = 0, nulls_equal: bool = True,
                     columns: Sequence[str] | None = None, method: str | None = None) -> DataFrame:
     """Largest sets of columns that still leave more than ``tolerance`` rows unidentified."""
+    _check_method(method, tolerance)
     df = _columns(df, columns)
     stage = Stage(df.sparkSession)
     codes = encode(df, stage, nulls_equal)

@@ -26,9 +26,10 @@ def key_report(keys: DataFrame) -> DataFrame:
 
 
 def save_report(keys: DataFrame, path: str) -> None:
-    """Write the report as one text file.
+    """Write the report as text files, in the canonical order of the column sets across files.
 
-    The lines are the minimal keys, not table rows; they are ordered by size and columns.
+    The sort is by ranges, so a large result is written by many tasks.
     """
-    report = key_report(keys)
-    report.orderBy(F.length("combo"), "combo").select("line").coalesce(1).write.text(path)
+    positions = F.transform(F.split("combo", ","), lambda x: x.try_cast("int"))
+    report = key_report(keys).withColumn("positions", positions)
+    report.orderBy(F.size("positions"), "positions").select("line").write.text(path)

@@ -99,3 +99,18 @@ def test_single_column_profile(spark):
     assert (row.combo, row.mask) == ("1", 2)
     assert K.row_count(df).collect()[0].n_rows == 3
     assert K.with_verdict(K.key_errors(df, [["v"]]), 1).select(F.bool_and("is_key")).collect()[0][0]
+
+
+def test_nan_is_a_value_and_empty_tables_have_no_errors(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(0, nan, 1), (1, nan, 1), (2, None, 1)], "id int, a double, b int")
+    assert [(r.cluster_id, r.n) for r in L.clusters_of_combo(df, "id", ["a"], nulls_equal=False).collect()] == [(0, 2)]
+    assert L.membership_of_combo(df, "id", ["a", "b"], nulls_equal=False).count() == 2
+    assert K.key_errors(df.select("a", "b"), [[0]], nulls_equal=False).first().key_error == 1
+    for equal in (True, False):
+        assert K.key_errors(df.select("a", "b").limit(0), [[0]], nulls_equal=equal).collect() == []
+
+
+def test_wide_null_distinct_combo_ends(spark):
+    wide = spark.createDataFrame([tuple(range(64)), tuple(range(64))], [f"c{i}" for i in range(64)])
+    assert K.key_errors(wide, [list(range(64))], nulls_equal=False).first().key_error == 1
