@@ -1,6 +1,6 @@
 """License scan: lines and whole texts against licence templates by the Dice coefficient.
 
-Texts are normalised (A-Z lower-cased, other ASCII than letters and digits separates words) and turned into their set of word bigrams; a single word is its own bigram.
+Texts are normalised (A-Z lower-cased, other ASCII than letters and digits separates words) and turned into their set of word bigrams (64-bit hashes); a single word is its own bigram.
 Two sets of sizes a and b can only reach a Dice coefficient t if ``a * t / (2 - t) <= b <=
 a * (2 - t) / t``, so a unit is compared only with the templates whose size bounds hold its own:
 an equi-join on the size with a table that has one row per template and size. That table is as
@@ -64,17 +64,16 @@ TEMPLATES = {
 
 
 def bigrams(text: Column) -> Column:
-    """The set of word bigrams; ``array("x ")`` for the one word x; empty without words."""
+    """The set of word bigrams as hashes; of one word, that word's; empty without words."""
 
-    def pairs(w: Column) -> Column:
-        n = F.size(w)
-        at = F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0)))
-        both = F.transform(
-            at, lambda i: F.concat_ws(" ", F.get(w, i), F.coalesce(F.get(w, i + 1), F.lit("")))
-        )
-        return F.when(n > 0, F.array_distinct(both)).otherwise(F.array().cast("array<string>"))
+    def pairs(h: Column) -> Column:
+        at = F.sequence(F.lit(0), F.greatest(F.size(h) - 2, F.lit(0)))
+        both = F.transform(at, lambda i: F.xxhash64(F.get(h, i), F.coalesce(F.get(h, i + 1), F.lit(0))))
+        none = F.array().cast("array<bigint>")
+        return F.when(F.size(h) > 0, F.array_distinct(both)).otherwise(none)
 
-    return let(F.filter(F.split(lowered(text), GAPS), lambda x: x != ""), pairs)
+    words = F.filter(F.split(lowered(text), GAPS), lambda x: x != "")
+    return let(F.transform(words, lambda x: F.xxhash64(x)), pairs)
 
 
 def template_sizes(spark: SparkSession, templates: dict, threshold: float) -> DataFrame:
