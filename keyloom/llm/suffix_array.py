@@ -34,15 +34,20 @@ def _ranks(values: np.ndarray, below: int) -> tuple[np.ndarray, int]:
 def _names(s: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, int]:
     """Ranks from 1 of the triples that start at ``at``, and how many differ."""
     m = int(s.max()) + 1
-    first, below = s[at] * m + s[at + 1], m * m
+    first, below = s[at].astype(np.int64) * m + s[at + 1], m * m
     if m**3 >= 2**62:
         first, below = _ranks(first, below)
     names, different = _ranks(first * m + s[at + 2], below * m)
     return names + 1, different
 
 
+def letters(data: np.ndarray) -> np.ndarray:
+    """Bytes as numbers from 1 without gaps, in the order of the bytes."""
+    return np.cumsum(np.bincount(data, minlength=256) > 0, dtype=np.int32)[data]
+
+
 def suffix_order(s: np.ndarray) -> np.ndarray:
-    """The starts of the suffixes of ``s`` (int64 above 0) in order.
+    """The starts of the suffixes of ``s`` (numbers above 0) in order.
 
     Triples at positions 1 and 2 modulo 3 are sorted and named. While names are not unique, the
     string of names is sorted in the same way. The suffixes at positions 0 modulo 3 are sorted by
@@ -51,28 +56,29 @@ def suffix_order(s: np.ndarray) -> np.ndarray:
     n = len(s)
     if n < 3:
         return np.array(sorted(range(n), key=lambda i: s[i:].tolist()), np.int64)
-    s = np.concatenate([s, np.zeros(3, s.dtype)])
-    one, two = np.arange(1, n, 3), np.arange(2, n, 3)
-    sample = np.concatenate([one, two])
+    s = np.concatenate([s, np.zeros(3, s.dtype)]).astype(np.int32)  # names are fewer than places
+    sample = np.concatenate([np.arange(1, n, 3), np.arange(2, n, 3)])
+    n_one = len(range(1, n, 3))
     names, different = _names(s, sample)
     if different == len(sample):
         order = np.empty(len(sample), np.int64)
         order[names - 1] = np.arange(len(sample))
     else:
-        joined = np.concatenate([names[: len(one)] + 1, [1], names[len(one) :] + 1])
-        order = suffix_order(joined)
-        order = order[order != len(one)]
-        order = order - (order > len(one))
-    rank = np.zeros(n + 3, np.int64)
+        joined = [np.concatenate([names[:n_one] + 1, [1], names[n_one:] + 1]).astype(np.int32)]
+        del names  # rounds below hold their own numbers only
+        order = suffix_order(joined.pop())
+        order = order[order != n_one]
+        order = order - (order > n_one)
+    rank = np.zeros(n + 3, np.int32)
     rank[sample[order]] = np.arange(1, len(sample) + 1)
 
     top, size = len(sample) + 2, int(s.max()) + 1
 
     def key(at: np.ndarray) -> np.ndarray:
-        return s[at] * top + rank[at + 1]
+        return s[at].astype(np.int64) * top + rank[at + 1]
 
     def long_key(at: np.ndarray) -> np.ndarray:
-        return (s[at] * size + s[at + 1]) * top + rank[at + 2]
+        return (s[at].astype(np.int64) * size + s[at + 1]) * top + rank[at + 2]
 
     rest = np.arange(0, n, 3)
     own = key(rest)
@@ -97,6 +103,6 @@ def suffix_order(s: np.ndarray) -> np.ndarray:
 def _by_pairs(s, rank, twos, rest, size) -> np.ndarray:
     """As the search by long keys, for numbers too large to pack: pairs are named first."""
     both = np.concatenate([twos, rest])
-    named = _ranks(s[both] * size + s[both + 1], size * size)[0]
+    named = _ranks(s[both].astype(np.int64) * size + s[both + 1], size * size)[0]
     keys = named * (int(rank.max()) + 2) + rank[both + 2]
     return np.searchsorted(keys[: len(twos)], keys[len(twos) :])

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.llm import blocks as B
-from keyloom.llm.suffix_array import suffix_order
+from keyloom.llm.suffix_array import letters, suffix_order
 from keyloom.llm.word_hashes import mixed, numbers
 from keyloom.staging import Stage
 
@@ -231,7 +231,7 @@ def _marked(text: np.ndarray, n: np.ndarray, ids: np.ndarray) -> np.ndarray:
     number = np.full(len(text), -1, np.int32)
     number[starts] = np.arange(len(starts))
     owner = np.repeat(ids, n)
-    order = number[suffix_order(text.astype(np.int64) + 1)]
+    order = number[suffix_order(letters(text))]
     order = order[order >= 0]
     at = starts[order]
     padded = np.concatenate([text, np.zeros(16, np.uint8)])
@@ -364,9 +364,12 @@ def _gone(row: dict, n_bytes: int, n_shards: int) -> np.ndarray:
     spot = np.repeat(offset[same] - (np.cumsum(n) - n), n) + np.arange(n.sum())
     start = np.repeat(found["first"] - (np.cumsum(n) - n), n) + np.arange(n.sum())
     hit = start[marked[spot] | np.repeat(copied, n)] if len(spot) else start
-    edge = np.bincount(hit, minlength=n_bytes + 1)
-    edge[LENGTH:] -= np.bincount(hit, minlength=n_bytes + 1)[:-LENGTH]
-    return np.cumsum(edge)[:n_bytes] > 0
+    before = np.zeros(n_bytes + 1, np.int32)  # marked starts before each place
+    before[hit + 1] = 1
+    np.cumsum(before, out=before)
+    near = before[1:].copy()
+    near[LENGTH:] -= before[1 : max(1, n_bytes - LENGTH + 1)]
+    return near > 0
 
 
 def digest(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
