@@ -42,8 +42,8 @@ LENGTH = 50
 PIECE = 16  # bytes of an anchor
 SPAN = LENGTH - PIECE + 1  # places of an anchor in a string
 HOT = 5_000
-SLICE_BYTES = 500_000
-BLOCK_BYTES = 4_000_000
+SLICE_BYTES = 200_000
+BLOCK_BYTES = 2_000_000
 NO_ID = 2**63 - 1
 RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 _A, _B, _C, _D = numbers(4, 401) | np.uint64(1)
@@ -259,7 +259,7 @@ def _release(spark) -> None:
 def _cut_blocks(docs: DataFrame, stage: Stage, block_bytes: int) -> tuple[DataFrame, int]:
     """Blocks with their pieces, written, and the number of shards."""
     blocks = B.write_blocks(docs, stage, block_bytes)
-    n_shards = max(16, 2 * blocks.count())
+    n_shards = max(16, blocks.count())
     asked = _ask_anchors(blocks, n_shards)
     kinds = asked.groupBy("shard").applyInArrow(_count_documents, B.ANSWERS)
     grouped = kinds.groupBy("block").agg(
