@@ -2,7 +2,8 @@
 
 A token file is a run of little-endian uint32 ids, every document closed by the end-of-document
 id, cut into blocks of ``BLOCK_IDS`` ids wherever they fall; nothing says where documents begin.
-:func:`write_files` makes such files from a table, one per range of ``doc_id``.
+:func:`write_files` makes such files from a table where its rows are, without a shuffle: each split
+of the table becomes files of about ``FILE_BYTES``, which hold whole documents.
 
 :func:`scan` looks for the end id in each block at once and keeps the positions. What a block
 cannot know, how many ids and documents came before it and where the document began that is open
@@ -10,9 +11,9 @@ at its start, comes from a prefix scan over the blocks of the file (one small ro
 may span any number of blocks.
 
 Defined results: a null or empty text is a document of one id; ids without a closing end id at the
-end of a file are a last document with ``closed`` false; null ids come first; rows that repeat an
-id are neighbours in the order of their texts; an empty table gives no rows; other columns are
-ignored. Texts that spell the end token are encoded as ordinary text.
+end of a file are a last document with ``closed`` false; null ids stay; rows that repeat an id are
+documents of their own; documents have the order of the table's splits; an empty table gives no
+rows; other columns are ignored. Texts that spell the end token are encoded as ordinary text.
 """
 
 from __future__ import annotations
@@ -25,11 +26,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyloom.llm.token_store import SHARD_BYTES, encoded, in_order
+from keyloom.llm.token_store import encoded
 from keyloom.staging import Stage
 
 END_ID = 49407
 BLOCK_IDS = 65_536
+FILE_BYTES = 16_000_000  # of ids; the file ends with the texts that are being encoded
 FILES = "file bigint, block bigint, ids binary, doc_id array<bigint>"
 
 
@@ -38,13 +40,13 @@ def write_files(
     stage: Stage,
     path: str,
     end: int = END_ID,
-    file_bytes: int = SHARD_BYTES,
+    file_bytes: int = FILE_BYTES,
     block_ids: int = BLOCK_IDS,
 ) -> tuple[DataFrame, DataFrame]:
     """(files, names): file, block, ids; and file, doc_id (the list of its documents)."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        file, block, names = TaskContext.get().partitionId(), 0, []
+        file, block, names = TaskContext.get().partitionId() << 24, 0, []
         rest = np.zeros(0, "<u4")
 
         def rows(ids, blocks, listed):
@@ -58,6 +60,11 @@ def write_files(
                 names=["file", "block", "ids", "doc_id"],
             )
 
+        def close(rest):
+            if len(rest):
+                yield rows([rest.tobytes()], [block], [None])
+            yield rows([None], [-1], [names])
+
         for known, more, _ in encoded(batches, path, end, special_as_text=True):
             names += known
             rest = np.concatenate([rest, more.astype("<u4")])
@@ -66,12 +73,14 @@ def write_files(
             if cut:
                 yield rows(cut, range(block, block + full), [None] * full)
             block, rest = block + full, rest[full * block_ids :]
-        if len(rest):
-            yield rows([rest.tobytes()], [block], [None])
+            if 4 * (block * block_ids + len(rest)) >= file_bytes:
+                yield from close(rest)
+                file, block, names, rest = file + 1, 0, [], rest[:0]
         if names:
-            yield rows([None], [-1], [names])
+            yield from close(rest)
 
-    written = stage.put(in_order(docs, file_bytes).mapInArrow(pack, FILES), "token-files")
+    texts = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string").alias("text"))
+    written = stage.put(texts.mapInArrow(pack, FILES), "token-files")
     files = written.where("block >= 0").select("file", "block", "ids")
     return files, written.where("block < 0").select("file", "doc_id")
 
