@@ -31,6 +31,7 @@ from keyloom.staging import Stage
 
 END_ID = 49407
 BLOCK_IDS = 65_536
+PIECE_BYTES = 1_000_000  # of text that are encoded at a time
 FILE_BYTES = 16_000_000  # of ids; the file ends with the texts that are being encoded
 FILES = "file bigint, block bigint, ids binary, doc_id array<bigint>"
 
@@ -65,7 +66,7 @@ def write_files(
                 yield rows([rest.tobytes()], [block], [None])
             yield rows([None], [-1], [names])
 
-        for known, more, _ in encoded(batches, path, end, special_as_text=True):
+        for known, more, _ in encoded(batches, path, end, True, PIECE_BYTES):
             names += known
             rest = np.concatenate([rest, more.astype("<u4")])
             full = len(rest) // block_ids

@@ -45,15 +45,20 @@ def in_order(docs: DataFrame, shard_bytes: int) -> DataFrame:
 
 
 def encoded(
-    batches: Iterator[pa.RecordBatch], path: str, end: int, special_as_text: bool = False
+    batches: Iterator[pa.RecordBatch],
+    path: str,
+    end: int,
+    special_as_text: bool = False,
+    piece_bytes: int = PIECE_BYTES,
 ) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
     """(doc_ids, ids, ends) of a few megabytes of text at a time."""
     coder = encoder.of_worker(path, special_as_text)
     for batch in batches:
         data, borders = text_bytes(batch.column(1))
-        known, body = batch.column(0).to_pylist(), data.tobytes()
-        for a, b in pieces(borders, PIECE_BYTES):
-            cuts = borders[a : b + 1].tolist()
+        known = batch.column(0).to_pylist()
+        for a, b in pieces(borders, piece_bytes):
+            body = data[borders[a] : borders[b]].tobytes()
+            cuts = (borders[a : b + 1] - borders[a]).tolist()
             texts = [body[x:y] for x, y in zip(cuts[:-1], cuts[1:])]
             yield known[a:b], *coder.encode(texts, end)
 
