@@ -293,6 +293,32 @@ def test_licenses(spark, empty):
     assert licenses.scan(empty).collect() == []
 
 
+def test_licenses_wrapped_and_embedded(spark):
+    words = [f"word{i}" for i in range(3000)]
+    before, after = " ".join(words[:1500]), "\n".join(words[1500:])
+    notices = {name: list(texts) for name, texts in licenses.TEMPLATES.items()}
+    texts, want = [], {}
+    for name, own in licenses.with_full_texts(notices).items():
+        for text in own:
+            cut = text.split()
+            wrapped = "\n".join(" * " + " ".join(cut[k : k + 9]) for k in range(0, len(cut), 9))
+            texts.append((len(texts), f"{before}\n{wrapped}\n{after}"))  # a header in a long document
+            want[len(texts) - 1] = (1, name)
+            texts.append((len(texts), f"{before} {' '.join(cut)} {before}"))  # inside a line
+            want[len(texts) - 1] = (0, name)
+    texts.append((9000, "Copyright 2020 X. Licensed under CC BY 4.0."))
+    texts.append((9001, f"{before} {licenses.TEMPLATES['MIT'][2]} x {licenses.TEMPLATES['ISC'][0]}\n" * 2))
+    texts.append((9002, "Permission is hereby granted\nunder the terms of the software\n" + before))
+    want.update({9000: (0, "CC-BY-4.0"), 9001: (0, "ISC,MIT"), 9002: (None, "")})
+    frame = spark.createDataFrame(rows_of(texts), SCHEMA)
+    got = {r.doc_id: (r.n_matches, r.licenses) for r in licenses.scan(frame).collect()}
+    for i, (line, names) in want.items():
+        assert set(names.split(",")) <= set(got[i][1].split(",")), (i, got[i], names)
+    assert got[9000] == (1, "CC-BY-4.0") and got[9001] == (2, "ISC,MIT") and got[9002] == (0, "")
+    spots = {(r.doc_id, r.license): r.dice for r in licenses.matches(frame).collect() if r.unit == want[r.doc_id][0]}
+    assert all(spots[i, name] >= 0.99 for i, (line, names) in want.items() if names for name in names.split(","))
+
+
 def test_line_dedup(spark, awkward, empty):
     texts = [(i, f" Common Line \nown {i}\n\ncommon line") for i in range(12)]
     rows = line_dedup.digest(spark.createDataFrame(rows_of(texts), SCHEMA), block_bytes=60).collect()
