@@ -1,19 +1,22 @@
 """Main text of web pages by two-pass block rules.
 
 A page is cut into blocks at block-level tags. Each block has its text, the share of its characters
-in links (link density), the share of its words that are frequent words of any supported language
-(stop-word density), and the region it stands in.
+in links (link density), the share of its words that are function words of English, German, French
+or Spanish (stop-word density; marks around a word do not count), and the region it stands in.
 
 Pass 1 decides what can be decided from the block alone. Regions that are not text (menus, page
 headers and footers, sidebars, notices, adverts, forms, scripts, reader comments, by tag, role, class
 or id) are bad. Mostly linked blocks are bad, but in an article only as list items. Else a long
-block or one dense in stop words is good, a middling one near good, and a short block is ambiguous.
+block dense in stop words is good, any other long one with few links near good, and a short block is
+ambiguous. Where the long blocks of a page are poor in stop words altogether, its language is taken
+as unknown and length and links decide alone. Wide (East Asian) characters count three times.
 If the page marks an article or main part, blocks outside it are bad and what is inside needs no
 stop words.
 
 Pass 2 gives ambiguous blocks the label of their nearest decided neighbours in their region. A near
-good block, or any in an article, is bad only between two bad ones; a short block outside needs a
-good neighbour and no bad one.
+good block, or any in an article, is bad only between two bad ones, and outside an article only if
+the near good blocks between these are little text; a short block outside needs a good neighbour and
+no bad one. If nothing is good, the near good blocks are.
 
 Pages are handled one by one inside a task; nothing is shuffled.
 
@@ -32,8 +35,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.quality import COMMON
-
 RESULT = "page_id bigint, url string, text string, n_chars bigint"
 
 # Element names and the words that name regions in classes and ids.
@@ -66,6 +67,43 @@ LONG = 70  # characters: shorter blocks are ambiguous
 SURE = 200  # characters: longer blocks rich in stop words are good
 STOP_LOW, STOP_HIGH = 0.30, 0.32
 MAX_LINKED = 0.5
+FEW_LINKED = 0.2
+
+# Function words, without marks; elided ones (l', don't) as the parts they fall into.
+STOP_WORDS = {
+    "en": "a about above after again against all also although am an and any are as at be because"
+    " been before being below between both but by can cannot could did do does doing don down during"
+    " each either else even ever every few for from further had has have having he her here hers"
+    " herself him himself his how however i if in into is it its itself just ll may me might more"
+    " most much must my myself neither no nor not now of off often on once one only or other our"
+    " ours out over own re same shall she should since so some such t than that the their theirs"
+    " them themselves then there these they this those though through thus to too under unless until"
+    " up upon us ve very was we were what when where whether which while who whom whose why will"
+    " with within without would yet you your yours yourself",
+    "de": "ab aber alle allem allen aller alles als also am an andere anderen anderer auch auf aus"
+    " bei beim bin bis da dabei dadurch dafür damit dann daran das dass dein dem den denn der des"
+    " deshalb die dies diese diesem diesen dieser dieses doch dort du durch ein eine einem einen einer"
+    " eines einige er es etwa etwas euch für gegen habe haben hat hatte hatten hier hin hinter ich"
+    " ihm ihn ihnen ihr ihre ihrem ihren ihrer im in indem ins ist ja jede jedem jeden jeder jedes"
+    " jedoch kann kein keine keinen können könnte man mehr mein meine mich mir mit muss müssen nach"
+    " nicht nichts noch nun nur ob oder ohne schon sehr sein seine seinem seinen seiner seit sich sie"
+    " sind so sollte soll sondern sonst über um und uns unser unter viel vom von vor war waren was weil"
+    " wenn wer werden wie wieder will wir wird wurde wurden zu zum zur zwar zwischen während worden",
+    "fr": "a ai ainsi alors après au aucun aucune aussi autre autres aux avait avant avec avoir c ça"
+    " car ce ceci cela celle celui ces cet cette ceux chaque chez comme contre d dans de depuis des"
+    " donc dont du elle elles en encore entre es est et étaient était été être eu eux fait fois font"
+    " ici il ils j je jusqu l la le les leur leurs lors lui m ma mais me même mes moi moins mon n ne ni"
+    " non nos notre nous on ont ou où par parce pas peu peut plus pour pourquoi puis qu quand que quel"
+    " quelle quelles quels qui quoi s sa sans se selon sera ses si son sont sous sur t ta tandis te"
+    " tes toi ton tous tout toute toutes très tu un une vers vos votre vous y",
+    "es": "a al algo algún alguna algunos además ahora ante antes aquel aquella así aún aunque bajo"
+    " bien cada como cómo con contra cual cuales cuando de del desde después donde dos durante e el él"
+    " ella ellas ellos en entre era eran es esa esas ese eso esos esta está estaba estado están estar"
+    " este esto estos fue fueron ha había han has hasta hay la las le les lo los más me mi mientras mis"
+    " mucho muchos muy nada ni no nos nosotros o otra otras otro otros para pero poco por porque puede"
+    " pueden pues que qué quien quienes se sea según ser si sí sido sin sino sobre son su sus también"
+    " tan tanto te tenía tiene tienen toda todas todo todos tras tu un una unas uno unos usted y ya yo",
+}
 
 _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*(?:>|\Z)"
@@ -76,7 +114,9 @@ _TOKEN = re.compile(
 _NAMED = re.compile(r"""\b(class|id|role|hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _PARTS = re.compile(r"[^a-z0-9]+")
-_STOP = frozenset(w for words in COMMON.values() for w in words)
+_WORD = re.compile(r"[^\W\d_]+")
+_WIDE = re.compile("[\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff]")
+_STOP = frozenset(w for words in STOP_WORDS.values() for w in words.split())
 
 
 class _Block:
@@ -206,31 +246,63 @@ def blocks_of(html: str) -> list[_Block]:
     return out
 
 
-def _first_pass(block: _Block, has_article: bool) -> str:
+def _length(text: str) -> int:
+    return len(text) if text.isascii() else len(text) + 2 * len(_WIDE.findall(text))
+
+
+def _stop_words(text: str) -> tuple[int, int]:
+    """(stop words, words)."""
+    words = _WORD.findall(text.lower())
+    return sum(w in _STOP for w in words), len(words)
+
+
+def _linked(block: _Block) -> float:
+    return block.linked / max(block.size, 1)
+
+
+def _knows_language(blocks: list[_Block]) -> bool:
+    """Whether the long blocks with few links are dense in stop words altogether."""
+    stop = total = 0
+    for b in blocks:
+        if not b.out and _linked(b) <= FEW_LINKED and _length(b.text) >= LONG:
+            s, n = _stop_words(b.text)
+            stop, total = stop + s, total + n
+    return stop >= STOP_LOW * max(total, 1)
+
+
+def _first_pass(block: _Block, has_article: bool, known: bool) -> str:
     if block.out or has_article and not block.region:
         return "bad"
-    size = max(block.size, 1)
-    if block.linked / size > MAX_LINKED and (block.item or not block.region):
+    linked, length = _linked(block), _length(block.text)
+    if linked > MAX_LINKED and (block.item or not block.region):
         return "bad"
-    words = block.text.split()
-    stop = sum(w.lower() in _STOP for w in words) / max(len(words), 1)
-    if block.region:
-        return "good" if len(block.text) >= LONG or stop >= STOP_LOW else "short"
-    if len(block.text) < LONG:
+    if block.region and length >= LONG:
+        return "good"
+    if not block.region and length < LONG:
         return "bad" if block.linked else "short"
-    if stop >= STOP_HIGH:
-        return "good" if len(block.text) > SURE else "near"
-    return "near" if stop >= STOP_LOW else "bad"
+    n, total = _stop_words(block.text)
+    stop = n / max(total, 1)
+    if block.region:
+        return "good" if stop >= STOP_LOW else "short"
+    few = linked <= FEW_LINKED
+    if stop >= STOP_HIGH or few and not known:
+        return "good" if length > SURE else "near"
+    return "near" if stop >= STOP_LOW or few else "bad"
 
 
 def _second_pass(blocks: list[_Block]) -> None:
     """Labels of one region: ambiguous blocks follow their nearest decided neighbours."""
     first = [b.label for b in blocks]
     before, after = [""] * len(blocks), [""] * len(blocks)
-    seen = ""
+    seen, run = "", 0
+    runs, near = [0] * len(blocks), [0]  # run of each block; text of the near good blocks of each
     for i, label in enumerate(first):
-        before[i] = seen
-        seen = label if label in ("good", "bad") else seen
+        before[i], runs[i] = seen, run
+        if label in ("good", "bad"):
+            seen, run = label, run + 1
+            near.append(0)
+        elif label == "near":
+            near[run] += _length(blocks[i].text)
     seen = ""
     for i in range(len(first) - 1, -1, -1):
         after[i] = seen
@@ -239,7 +311,9 @@ def _second_pass(blocks: list[_Block]) -> None:
         if b.label not in ("short", "near"):
             continue
         sides = {before[i], after[i]}
-        if b.region or b.label == "near":
+        if b.label == "near":
+            b.label = "bad" if sides == {"bad"} and near[runs[i]] <= SURE else "good"
+        elif b.region:
             b.label = "bad" if sides == {"bad"} else "good"
         else:
             b.label = "good" if "good" in sides and "bad" not in sides else "bad"
@@ -248,10 +322,15 @@ def _second_pass(blocks: list[_Block]) -> None:
 def main_text(html: str | None) -> str:
     found = blocks_of(html or "")
     has_article = any(b.region and not b.out for b in found)
+    known = has_article or _knows_language(found)
     for b in found:
-        b.label = _first_pass(b, has_article)
+        b.label = _first_pass(b, has_article, known)
+    near = [b for b in found if b.label == "near"]
     for region in sorted({b.region for b in found}):
         _second_pass([b for b in found if b.region == region and not b.out])
+    if not any(b.label == "good" for b in found):
+        for b in near:
+            b.label = "good"
     return "\n".join(b.text for b in found if b.label == "good")
 
 

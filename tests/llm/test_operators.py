@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import defaultdict
+from html import escape
 
 import numpy as np
 import pytest
@@ -189,6 +190,29 @@ def test_html(spark):
     assert html_text.extract(frame.limit(0)).collect() == []
 
 
+def paragraphs(path):
+    return [" ".join(p.split()) for p in open(path).read().split("\n\n") if len(" ".join(p.split())) >= 70]
+
+
+@pytest.mark.parametrize("shell", ["<body>{}", "<body><div><a href=x>Home</a></div>{}<div><a href=y>Next page</a></div>"])
+def test_html_without_article(shell):
+    def kept(texts):
+        page = shell.format("".join(f"<p>{t if '<a href' in t else escape(t)}</p>" for t in texts))
+        return html_text.main_text(page).split("\n")
+
+    text = paragraphs("/usr/share/common-licenses/GPL-3")
+    assert len(text) > 90 and kept(text) == text
+    chinese = "这是一个没有文章标记的网页，它的段落很长，但是没有任何一个已知语言的常用词，所以必须由长度和链接来决定。"
+    czech = "Každý odstavec této stránky je dlouhý a neobsahuje žádné odkazy, přesto v něm nejsou slova známých jazyků. "
+    for own in ([chinese] * 3, [chinese], [czech * 3, czech.strip()] * 2, [czech.strip()]):
+        assert kept([t.strip() for t in own]) == [t.strip() for t in own]
+    # Lists of links stay out, with text in any language around them.
+    links = "".join(f"<a href=x{i}>some headline of the day</a> " for i in range(9))
+    for own in ([t for t in text if len(t) > 200], [czech * 3] * 3):
+        own = [t.strip() for t in own]
+        assert kept([own[0], links, *own[1:]]) == own
+
+
 def brute_targets(sizes, weights=(5, 2, 1), most=3):
     names = sorted(sizes, key=lambda s: (s is None, s))
     w = {s: weights[i % 3] for i, s in enumerate(names)}
