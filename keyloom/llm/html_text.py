@@ -4,6 +4,12 @@ A page is cut into blocks at block-level tags. Each block has its text, the shar
 in links (link density), the share of its words that are function words of English, German, French
 or Spanish (stop-word density; marks around a word do not count), and the region it stands in.
 
+Names in classes and ids only leave out what the page can spare. A name after a modifier word (has-,
+no-, category-, ...) says nothing. A named element stays if it holds more than half of the page's
+text, or if it is or holds an article or main part, unless a larger one stands beside it (reader
+comments and teasers are often marked as articles). An ambiguous name (related, discussion, ...)
+counts only where the element is mostly links, or short with a link.
+
 Pass 1 decides what can be decided from the block alone. Regions that are not text (menus, page
 headers and footers, sidebars, notices, adverts, forms, scripts, reader comments, by tag, role, class
 or id) are bad. Mostly linked blocks are bad, but in an article only as list items. Else a long
@@ -54,13 +60,17 @@ OUT_ROLES = frozenset(
     " toolbar".split()
 )
 OUT_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense adbox adslot banner sponsor"
-    " sponsored sponsors promo promotion cookie cookies consent gdpr notice notices notification"
-    " popup modal overlay newsletter subscribe subscription signup login sidebar sidebars sidenav"
-    " widget widgets menu menus nav navbar navigation topnav breadcrumb breadcrumbs masthead footer"
-    " comment comments commentlist disqus replies reply respond discussion share sharing social"
-    " related recommended recommendations pagination pager toolbar search skip".split()
+    "ad ads adv advert adverts advertisement advertising adsense adbox adslot sponsor sponsored"
+    " sponsors promo cookie cookies gdpr popup modal newsletter subscribe signup login sidebar sidebars"
+    " sidenav nav navbar navigation topnav breadcrumb breadcrumbs masthead footer comment comments"
+    " commentlist disqus pagination pager toolbar".split()
+)
+UNSURE_NAMES = frozenset(
+    "banner promotion consent notice notices notification overlay subscription widget widgets menu"
+    " menus replies reply respond discussion share sharing social related recommended"
+    " recommendations search skip".split()
 )
+MODIFIERS = frozenset("has have no not non with without category cat tag type format".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 LONG = 70  # characters: shorter blocks are ambiguous
@@ -120,14 +130,27 @@ _STOP = frozenset(w for words in STOP_WORDS.values() for w in words.split())
 
 
 class _Block:
-    __slots__ = ("texts", "linked", "size", "region", "out", "item", "label", "text")
+    __slots__ = ("texts", "linked", "size", "region", "out", "item", "label", "text", "named", "home")
 
-    def __init__(self, region: int, out: bool, item: bool):
+    def __init__(self, region: int, out: bool, item: bool, named: int, home: int):
         self.texts: list[str] = []
         self.linked = 0
         self.size = 0
         self.region, self.out, self.item = region, out, item
         self.label, self.text = "", ""
+        self.named, self.home = named, home  # named elements around it and around its article
+
+
+class _Named:
+    """An element whose name may leave it out; the first of a page stands for the page."""
+
+    __slots__ = ("parent", "sure", "size", "linked", "articles", "beside", "out")
+
+    def __init__(self, parent: int, sure: bool):
+        self.parent, self.sure, self.out = parent, sure, False
+        self.size = self.linked = 0  # of its text
+        self.articles = 0  # size of the text of articles opened in it
+        self.beside = 0  # size of the text in an article and in none or the named elements around only
 
 
 def _names(attributes: str) -> dict[str, str]:
@@ -137,31 +160,61 @@ def _names(attributes: str) -> dict[str, str]:
     return found
 
 
-def _leaves_out(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element opens a region that is no text."""
+def _leaves_out(tag: str, attributes: str, in_article: bool) -> str:
+    """Whether an element opens a region that is no text: "yes", or by its name "named" or "unsure"."""
     if tag in OUT_TAGS or tag == "header" and not in_article:
-        return True
+        return "yes"
     if not attributes or tag in ("html", "body", "main"):
-        return False
+        return ""
     named = _names(attributes)
     if not named:
-        return False
+        return ""
     if named.get("role", "").lower() in OUT_ROLES or "hidden" in named:
-        return True
+        return "yes"
     if "display:none" in named.get("style", "").replace(" ", "").lower():
-        return True
-    label = _CAMEL.sub("-", f"{named.get('class', '')} {named.get('id', '')}").lower()
-    words = set(_PARTS.split(label))
-    return bool(words & OUT_NAMES) or "header" in words and not in_article and tag not in HEADINGS
+        return "yes"
+    found = ""
+    for name in f"{named.get('class', '')} {named.get('id', '')}".split():
+        for word in _PARTS.split(_CAMEL.sub("-", name).lower()):
+            if word in MODIFIERS:
+                break
+            if word in OUT_NAMES or word == "header" and not in_article and tag not in HEADINGS:
+                return "named"
+            if word in UNSURE_NAMES:
+                found = "unsure"
+    return found
+
+
+def _leave_out_named(blocks: list[_Block], named: list[_Named]) -> None:
+    """Decides which named elements are left out, and their blocks with them."""
+    for b in blocks:
+        if not b.out:
+            named[b.named].size += b.size
+            named[b.named].linked += b.linked
+            if b.region:
+                named[b.named].beside += b.size
+                named[b.home].articles += b.size
+    for e in reversed(named[1:]):
+        up = named[e.parent]
+        up.size, up.linked, up.articles = up.size + e.size, up.linked + e.linked, up.articles + e.articles
+    for e in named[1:]:
+        up = named[e.parent]
+        linked = e.linked > MAX_LINKED * e.size or e.linked > 0 and e.size < LONG
+        spared = e.articles <= up.beside and 2 * e.size <= named[0].size
+        e.out = up.out or spared and (e.sure or linked)
+        e.beside += up.beside
+    for b in blocks:
+        b.out = b.out or named[b.named].out
 
 
 def blocks_of(html: str) -> list[_Block]:
     """The non-empty blocks of a page in order; region 0 is outside of any article."""
     out: list[_Block] = []
-    # Open elements: (tag, opened a left-out region, opened an article).
-    stack: list[tuple[str, bool, bool]] = []
+    # Open elements: (tag, opened a left-out region, opened an article, opened a named element).
+    stack: list[tuple[str, bool, bool, bool]] = []
     n_out, articles, regions, links = 0, [], 0, 0
-    now = _Block(0, False, False)
+    named, inside, homes = [_Named(0, False)], [0], []
+    now = _Block(0, False, False, 0, 0)
 
     def close() -> None:
         nonlocal now
@@ -169,8 +222,8 @@ def blocks_of(html: str) -> list[_Block]:
             now.text = " ".join("".join(now.texts).split())
             if now.text:
                 out.append(now)
-        left_out = n_out > 0
-        now = _Block(articles[-1] if articles else 0, left_out, any(t[0] == "li" for t in stack[-6:]))
+        item = any(t[0] == "li" for t in stack[-6:])
+        now = _Block(articles[-1] if articles else 0, n_out > 0, item, inside[-1], homes[-1] if homes else 0)
 
     def say(text: str) -> None:
         if not text:
@@ -183,11 +236,14 @@ def blocks_of(html: str) -> list[_Block]:
 
     def pop(k: int) -> None:
         nonlocal n_out, links
-        for tag, left, article in reversed(stack[k:]):
+        for tag, left, article, is_named in reversed(stack[k:]):
             n_out -= left
             links -= tag == "a"
             if article:
                 articles.pop()
+                homes.pop()
+            if is_named:
+                inside.pop()
         del stack[k:]
 
     at, n = 0, len(html)
@@ -230,19 +286,25 @@ def blocks_of(html: str) -> list[_Block]:
                     break
                 if stack[k][0] in BLOCKS:
                     break
-        left = _leaves_out(tag, attributes, bool(articles))
+        leaves = _leaves_out(tag, attributes, bool(articles))
+        left, is_named = leaves == "yes", leaves in ("named", "unsure")
+        if is_named:
+            named.append(_Named(inside[-1], leaves == "named"))
+            inside.append(len(named) - 1)
         article = not left and not n_out and (
             tag in ("article", "main") or bool(attributes) and _names(attributes).get("role") == "main"
         )
         if article:
             regions += 1
             articles.append(articles[0] if articles else regions)
+            homes.append(inside[-1])
         n_out += left
         links += tag == "a"
-        stack.append((tag, left, article))
+        stack.append((tag, left, article, is_named))
         if tag in BLOCKS:
             close()
     close()
+    _leave_out_named(out, named)
     return out
 
 

@@ -213,6 +213,37 @@ def test_html_without_article(shell):
         assert kept([own[0], links, *own[1:]]) == own
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div class='layout has-sidebar'><article>{}</article><div class=sidebar><p>side</p></div></div>",
+        "<div class='layout sidebar'><article>{}</article></div>",
+        "<div id='page' class='no-sidebar'><main>{}</main></div>",
+        "<div class='noticeboard comments'><div role=main>{}<div class=ad>buy</div></div></div>",
+        "<article class='post category-notices tag-ads'>{}</article>",
+        "<article class='comments'>{}</article>",
+        "<div class='sidebar-wrapper'>{}</div><div class=ad>buy</div>",
+        "<section id='discussion'>{}</section>",
+        "<article><div id='related-work'>{}</div><div class=related><a href=x>More of this</a></div></article>",
+        "<div class='elementor-widget'>{}</div><div class=widget><a href=x>Last posts</a></div>",
+        "<div class=layoutHasSidebar><article>{}<ol class=comments><article>nice</article></ol></article></div>",
+        "<div class=sidebar-layout><article>{}</article><div id=comments><article class=comment>nice</article></div></div>",
+        "<article>{}</article><article class=sponsored>Buy this</article>",
+    ],
+)
+def test_html_names(page):
+    text = paragraphs("/usr/share/common-licenses/GPL-3")[1:20]
+    html = page.format("".join(f"<p>{escape(t)}</p>" for t in text))
+    assert html_text.main_text(f"<html><body>{html}</body></html>").split("\n") == text
+
+
+def test_html_name_of_a_part():
+    text = paragraphs("/usr/share/common-licenses/GPL-3")[1:20]
+    parts = [f"<section id=discussion><p>{text[0]}</p></section>", f"<div id=related-work><p>{text[1]}</p></div>"]
+    page = "<body>" + "".join(f"<p>{t}</p>" for t in text[2:]) + "".join(parts) + "<div class=comments><p>{}</p></div>"
+    assert html_text.main_text(page.format(text[3])).split("\n") == text[2:] + text[:2]
+
+
 def brute_targets(sizes, weights=(5, 2, 1), most=3):
     names = sorted(sizes, key=lambda s: (s is None, s))
     w = {s: weights[i % 3] for i, s in enumerate(names)}
