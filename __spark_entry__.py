@@ -51,6 +51,7 @@ COLUMNS = {
 }
 COLUMNS = {t: c.split() for t, c in COLUMNS.items()}
 ORDERS_CELLS = ["o_custkey", "o_orderstatus", "o_orderpriority"]
+ORDERS_ALL_CELLS = COLUMNS["orders"][1:]
 TOLERANCE = 20
 
 
@@ -105,8 +106,8 @@ def _pairs(spark, sf_dir, name, keys: bool) -> DataFrame:
     return _errors(spark, sf_dir, name, [2]).where((F.col("key_error") == 0) == F.lit(keys))
 
 
-def _cells(spark, sf_dir) -> DataFrame:
-    return L.cells(table(spark, sf_dir, "orders"), "o_orderkey", ORDERS_CELLS)
+def _cells(spark, sf_dir, columns=ORDERS_CELLS) -> DataFrame:
+    return L.cells(table(spark, sf_dir, "orders"), "o_orderkey", columns)
 
 
 def _member(spark, sf_dir, combo) -> DataFrame:
@@ -134,6 +135,25 @@ def _cluster_rows(spark, sf_dir):
     )
 
 
+def _cells_all_columns(spark, sf_dir):
+    return _cells(spark, sf_dir, ORDERS_ALL_CELLS)
+
+
+def _cluster_members(spark, sf_dir):
+    return L.cluster_members(L.membership(_cells_all_columns(spark, sf_dir)))
+
+
+def _intersect_all_columns(spark, sf_dir):
+    """Each column with the next one, the last with the first."""
+    m = L.membership(_cells_all_columns(spark, sf_dir))
+    out, n = None, len(ORDERS_ALL_CELLS)
+    for i in range(n):
+        both = L.intersect(m.where(F.col("col_idx") == i), m.where(F.col("col_idx") == (i + 1) % n))
+        both = both.withColumn("col_idx", F.lit(i))
+        out = both if out is None else out.unionByName(both)
+    return out
+
+
 def _intersect(spark, sf_dir):
     m = L.membership(_cells(spark, sf_dir))
     return L.intersect(m.where("col_idx = 1"), m.where("col_idx = 2"))
@@ -308,6 +328,10 @@ def _minimal_keys_text(spark, sf_dir):
     return _keys(D.minimal_keys(prepare.as_text(df)))
 
 
+def _minimal_keys_text_all_columns(spark, sf_dir):
+    return _keys(D.minimal_keys(prepare.as_text(table(spark, sf_dir, "customer"))))
+
+
 def _verdicts(spark, sf_dir):
     return D.verdicts(table(spark, sf_dir, "orders")).select("combo", "size", "key_error", "is_key")
 
@@ -432,6 +456,10 @@ def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "cluster_rows": _cluster_rows,
         "cluster_intersect": _intersect,
         "cluster_intersect_three": _intersect_three,
+        "cells_all_columns": _cells_all_columns,
+        "clusters_all_columns": lambda s, d: L.clusters(_cells_all_columns(s, d)),
+        "cluster_members": _cluster_members,
+        "cluster_intersect_all_columns": _intersect_all_columns,
         "clusters_of_combo": lambda s, d: L.clusters_of_combo(
             table(s, d, "orders"), "o_orderkey", ["o_custkey", "o_orderpriority"]
         ),
@@ -469,6 +497,7 @@ def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "minimal_keys_filtered": _minimal_keys_filtered,
         "minimal_keys_nulls_distinct": _minimal_keys_nulls_distinct,
         "minimal_keys_text": _minimal_keys_text,
+        "minimal_keys_text_all_columns": _minimal_keys_text_all_columns,
         "maximal_nonkeys": _maximal_nonkeys("orders"),
         "maximal_nonkeys_tolerant": _maximal_nonkeys_tolerant,
         "verdicts": _verdicts,
@@ -562,6 +591,22 @@ membership AS (
   SELECT c.col_idx, c.col_name, c.row_id, k.cluster_id
   FROM cells c JOIN clusters k ON c.col_idx = k.col_idx AND c.value IS NOT DISTINCT FROM k.value)"""
 
+_ALL_CELLS_SQL = (
+    "all_cells AS ("
+    + " UNION ALL ".join(
+        f"SELECT o_orderkey AS row_id, CAST({i} AS INTEGER) AS col_idx, '{c}' AS col_name, "
+        f"CAST({c} AS VARCHAR) AS value FROM orders"
+        for i, c in enumerate(ORDERS_ALL_CELLS)
+    )
+    + """),
+all_clusters AS (
+  SELECT col_idx, col_name, value, min(row_id) AS cluster_id, count(*) AS n
+  FROM all_cells GROUP BY ALL HAVING count(*) > 1),
+all_members AS (
+  SELECT c.col_idx, c.col_name, c.row_id, k.cluster_id FROM all_cells c
+  JOIN all_clusters k ON c.col_idx = k.col_idx AND c.value IS NOT DISTINCT FROM k.value)"""
+)
+
 _GOOD = "o_custkey % 10 <> 3 AND o_custkey % 10 <> 7"
 
 _NULL_ORDERS = """(SELECT CASE WHEN o_orderstatus <> 'O' THEN o_custkey END AS custkey,
@@ -629,6 +674,17 @@ def own_sql() -> dict[str, str]:
         ),
         "cluster_intersect_three": "SELECT min(o_orderkey) AS cluster_id, count(*) AS n FROM orders "
         "GROUP BY o_custkey, o_orderstatus, o_orderpriority HAVING count(*) > 1",
+        "cells_all_columns": _with(_ALL_CELLS_SQL, "SELECT * FROM all_cells"),
+        "clusters_all_columns": _with(_ALL_CELLS_SQL, "SELECT * FROM all_clusters"),
+        "cluster_members": _with(
+            _ALL_CELLS_SQL, "SELECT col_idx, col_name, cluster_id, row_id FROM all_members"
+        ),
+        "cluster_intersect_all_columns": _with(
+            _ALL_CELLS_SQL,
+            "SELECT a.cluster_id AS cluster_a, b.cluster_id AS cluster_b, min(a.row_id) AS cluster_id, "
+            "count(*) AS n, a.col_idx FROM all_members a JOIN all_members b ON a.row_id = b.row_id "
+            f"AND b.col_idx = (a.col_idx + 1) % {len(ORDERS_ALL_CELLS)} GROUP BY 1, 2, 5 HAVING count(*) > 1",
+        ),
         "clusters_of_combo": "SELECT o_custkey, o_orderpriority, min(o_orderkey) AS cluster_id, "
         "count(*) AS n FROM orders GROUP BY 1, 2 HAVING count(*) > 1",
         "membership_of_combo": "SELECT row_id, cluster_id FROM (SELECT o_orderkey AS row_id, "
@@ -757,6 +813,7 @@ def own_sql() -> dict[str, str]:
             f"WHERE {_minimal_where()}",
         ),
         "minimal_keys_text": _sql_keys("customer", customer_text),
+        "minimal_keys_text_all_columns": _sql_keys("customer", customer),
         "maximal_nonkeys": _sql_nonkeys("orders", orders),
         "maximal_nonkeys_tolerant": _sql_nonkeys("orders", orders, TOLERANCE),
         "verdicts": _with(

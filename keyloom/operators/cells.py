@@ -145,14 +145,28 @@ def intersect_membership(a: DataFrame, b: DataFrame) -> DataFrame:
     return joined.select("r.row_id", "g.cluster_id")
 
 
-def cluster_rows(member_rows: DataFrame, show: int = 20) -> DataFrame:
-    """Report: each cluster with its first ``show`` row ids.
+def _scope(member_rows: DataFrame) -> list[str]:
+    return [c for c in ("col_idx", "col_name", "cluster_id") if c in member_rows.columns]
+
+
+def cluster_members(member_rows: DataFrame) -> DataFrame:
+    """Report of whole clusters in long form, one row per member, in order.
+
+    Rows are dealt out by ranges that end in the row id, so a hot cluster spreads over many tasks.
+    """
+    order = [*_scope(member_rows), "row_id"]
+    return member_rows.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
+
+
+def cluster_rows(member_rows: DataFrame, show: int | None = None) -> DataFrame:
+    """Report: each cluster with its row ids, or with its first ``show`` ones if asked for.
 
     The rank limit is applied before the shuffle (Spark's window group limit), so a
-    cluster of any size sends at most ``show`` rows per input split.
+    cluster of any size sends at most ``show`` rows per input split. Without a limit a cluster is
+    one row, however large; ``cluster_members`` has the same in long form.
     """
-    scope = [c for c in ("col_idx", "col_name", "cluster_id") if c in member_rows.columns]
-    ranked = member_rows.withColumn(
-        "rank", F.row_number().over(W.partitionBy(*scope).orderBy("row_id"))
-    ).where(F.col("rank") <= show)
-    return ranked.groupBy(*scope).agg(F.sort_array(F.collect_list("row_id")).alias("rows"))
+    scope = _scope(member_rows)
+    if show is not None:
+        ranked = F.row_number().over(W.partitionBy(*scope).orderBy("row_id"))
+        member_rows = member_rows.withColumn("rank", ranked).where(F.col("rank") <= show)
+    return member_rows.groupBy(*scope).agg(F.sort_array(F.collect_list("row_id")).alias("rows"))

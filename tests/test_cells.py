@@ -114,3 +114,12 @@ def test_nan_is_a_value_and_empty_tables_have_no_errors(spark):
 def test_wide_null_distinct_combo_ends(spark):
     wide = spark.createDataFrame([tuple(range(64)), tuple(range(64))], [f"c{i}" for i in range(64)])
     assert K.key_errors(wide, [list(range(64))], nulls_equal=False).first().key_error == 1
+
+
+def test_whole_clusters(spark):
+    df = spark.range(1000).select("id", F.lit("hot").alias("v"), (F.col("id") % 500).alias("w"))
+    members = L.membership(L.cells(df, "id"))
+    rows = {(r.col_idx, r.cluster_id): r.rows for r in L.cluster_rows(members).collect()}
+    assert rows[0, 0] == list(range(1000)) and rows[1, 7] == [7, 507]
+    long = [(r.col_idx, r.cluster_id, r.row_id) for r in L.cluster_members(members).collect()]
+    assert long == sorted((i, c, r) for (i, c), own in rows.items() for r in own)
