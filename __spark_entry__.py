@@ -412,6 +412,39 @@ def _read_fixed(spark, sf_dir):
     return delimited.read_fixed(spark, path).good
 
 
+def _read_all_columns(spark, sf_dir):
+    """All columns of ``orders``, written and read."""
+    o = table(spark, sf_dir, "orders")
+    path = Stage(spark).path("lines")
+    line = F.concat_ws(",", *[F.concat(F.lit(" "), F.col(c).cast("string")) for c in o.columns])
+    o.select(line.alias(",".join(o.columns))).write.csv(
+        path, header=True, quote="", sep="\u0001", ignoreLeadingWhiteSpace=False
+    )
+    return delimited.read_comma(spark, path).good
+
+
+def _as_blank_lines(spark, sf_dir) -> str:
+    """The customers of ``orders`` as lines, those of open orders blank."""
+    path = Stage(spark).path("lines")
+    customer = F.col("o_custkey").cast("string")
+    table(spark, sf_dir, "orders").select(
+        F.when(F.col("o_orderstatus") == "O", "").otherwise(customer).alias("value")
+    ).write.text(path)
+    return path
+
+
+def _read_blank_lines(spark, sf_dir):
+    """Blank lines of a one-column text are rows."""
+    path = _as_blank_lines(spark, sf_dir)
+    return delimited.read_fixed(spark, path, ["custkey"]).good
+
+
+def _read_blank_rejects(spark, sf_dir):
+    """Read with two columns, every such line is a reject, blank ones too."""
+    path = _as_blank_lines(spark, sf_dir)
+    return delimited.read_fixed(spark, path, ["custkey", "more"]).rejects
+
+
 def _trim_cells(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(
         "doc_id", F.concat(F.lit(" \t"), "text", F.lit("\n \r")).alias("text")
@@ -449,6 +482,9 @@ def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "read_rejects": _read_rejects,
         "read_tab": _read_tab,
         "read_fixed": _read_fixed,
+        "read_all_columns": _read_all_columns,
+        "read_blank_lines": _read_blank_lines,
+        "read_blank_rejects": _read_blank_rejects,
         "row_count": lambda s, d: K.row_count(table(s, d, "lineitem")),
         "cells": _cells,
         "clusters": lambda s, d: L.clusters(_cells(s, d)),
@@ -656,6 +692,11 @@ def own_sql() -> dict[str, str]:
         "read_tab": f"SELECT {text_columns} FROM orders WHERE {_GOOD}",
         "read_fixed": "SELECT CAST(o_orderkey AS VARCHAR) AS Age, CAST(o_custkey AS VARCHAR) AS Name, "
         f'o_orderstatus AS Job, o_orderpriority AS Country FROM orders WHERE {_GOOD}',
+        "read_all_columns": "SELECT " + ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in orders) + " FROM orders",
+        "read_blank_lines": "SELECT CASE WHEN o_orderstatus = 'O' THEN '' ELSE CAST(o_custkey AS VARCHAR) END "
+        "AS custkey FROM orders",
+        "read_blank_rejects": "SELECT CASE WHEN o_orderstatus = 'O' THEN '' ELSE CAST(o_custkey AS VARCHAR) END "
+        "AS line FROM orders",
         "row_count": "SELECT count(*) AS n_rows FROM lineitem",
         "cells": _with(_CELLS_SQL, "SELECT * FROM cells"),
         "clusters": _with(_CELLS_SQL, "SELECT * FROM clusters"),

@@ -1,23 +1,27 @@
-"""Readers for delimited text, all on Spark's CSV source.
+"""Readers for delimited text, on Spark's text source.
 
 Every field is a trimmed string and quotes have no meaning. Rows with too few or too many
 fields are set apart as rejects; blanks around a value go, an empty value stays (as the
-empty string, also at the end of a line). Files may be many: each has its own header line.
+empty string, also at the end of a line). A blank line is a line like any other: one empty field
+without a separator in it, so a row of a one-column table and a reject elsewhere. Lines may have
+any number of fields.
+
+Files may be many: each has its own header line, its first. Headers that name other columns, or the
+same in another order, are an error. Equal lines cannot be told apart in what is returned, so of the
+lines that are equal to a header line as many are left out as there are files that begin with it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from keyloom.functions import values as V
 
-REJECT = "_reject"
-
 
 @dataclass
 class Parsed:
@@ -27,31 +31,35 @@ class Parsed:
     rejects: DataFrame
 
 
-def _read(spark: SparkSession, path: str, names: Sequence[str], sep: str, header: bool) -> Parsed:
-    # positions stand in for the names, which may repeat
-    slots = [f"c{i}" for i in range(len(names))]
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*slots, REJECT]])
-    lines = (
-        spark.read.schema(schema)
-        .options(
-            sep=sep,
-            header=header,
-            quote="",
-            mode="PERMISSIVE",
-            columnNameOfCorruptRecord=REJECT,
-            # the field count of a line can only be checked when all of it is parsed
-            columnPruning=False,
-        )
-        .csv(path)
+def _heads(spark: SparkSession, path: str) -> dict[str, int]:
+    """The distinct first lines of the files, with the number of files that begin with each."""
+    place = F.col("_metadata.file_block_start")
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), place.alias("place"), F.monotonically_increasing_id().alias("id")
     )
-    trimmed = [F.coalesce(V.trimmed(F.col(c)), F.lit("")).alias(n) for c, n in zip(slots, names)]
-    # Spark refuses to read the reject column alone, so both conditions name a field as well
-    any_field = F.coalesce(F.length(slots[0]), F.lit(0)) >= 0
+    first = lines.groupBy("file").agg(F.min_by("value", F.struct("place", "id")).alias("value"))
+    return {r.value: r.n for r in first.groupBy("value").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
+def _body(spark: SparkSession, path: str, names: list[str], split: Callable[[str], list[str]]) -> DataFrame:
+    """The lines without the header lines."""
+    lines, heads = spark.read.text(path).select("value"), _heads(spark, path)
+    for head in heads:
+        if split(head) != names:
+            raise ValueError(f"headers differ in {path}: {names} and {split(head)}")
+    n_heads = F.coalesce(*[F.when(F.col("value") == h, F.lit(n)) for h, n in heads.items()])
+    more = lines.where(F.col("value").isin(*heads)).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    copies = F.sequence(F.lit(1).cast("bigint"), F.col("n") - n_heads)
+    more = more.where(F.col("n") > n_heads).select("value", F.explode(copies)).select("value")
+    return lines.where(~F.col("value").isin(*heads)).unionAll(more)
+
+
+def _split(lines: DataFrame, names: Sequence[str], sep: str) -> Parsed:
+    fields = lines.select("value", F.split("value", re.escape(sep), -1).alias("f"))
+    whole = F.size("f") == len(names)
     return Parsed(
-        good=lines.where(F.col(REJECT).isNull() & any_field).select(*trimmed),
-        rejects=lines.where(F.col(REJECT).isNotNull() & any_field).select(
-            F.col(REJECT).alias("line")
-        ),
+        good=fields.where(whole).select(*[V.trimmed(F.col("f")[i]).alias(n) for i, n in enumerate(names)]),
+        rejects=fields.where(~whole).select(F.col("value").alias("line")),
     )
 
 
@@ -75,15 +83,18 @@ def read_comma(spark: SparkSession, path: str, n_columns: int = -1) -> Parsed:
 
     A line is judged against the whole header, also when only some columns are kept.
     """
-    names = [n.strip() for n in _first_line(spark, path).split(",")]
-    parsed = _read(spark, path, _unique(names), ",", header=True)
+    def split(line: str) -> list[str]:
+        return [n.strip() for n in line.split(",")]
+
+    names = split(_first_line(spark, path))
+    parsed = _split(_body(spark, path, names, split), _unique(names), ",")
     return Parsed(first_n_columns(parsed.good, n_columns), parsed.rejects)
 
 
 def read_tab(spark: SparkSession, path: str, n_columns: int = -1) -> Parsed:
     """Tab-separated text; the header line is split on any whitespace."""
     names = _first_line(spark, path).split()
-    parsed = _read(spark, path, _unique(names), "\t", header=True)
+    parsed = _split(_body(spark, path, names, str.split), _unique(names), "\t")
     return Parsed(first_n_columns(parsed.good, n_columns), parsed.rejects)
 
 
@@ -93,7 +104,7 @@ PERSON_COLUMNS = ("Age", "Name", "Job", "Country")
 
 def read_fixed(spark: SparkSession, path: str, names: Sequence[str] = PERSON_COLUMNS, sep: str = ",") -> Parsed:
     """Headerless text with known column names."""
-    return _read(spark, path, list(names), sep, header=False)
+    return _split(spark.read.text(path).select("value"), list(names), sep)
 
 
 def first_n_columns(df: DataFrame, n: int) -> DataFrame:

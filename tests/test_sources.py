@@ -50,6 +50,33 @@ def test_repeated_names(spark, tmp_path):
     assert parsed.good.columns == ["a0", "a1", "b"]
 
 
+def test_blank_lines(spark, tmp_path):
+    one = delimited.read_comma(spark, write(tmp_path, "a\nx\n\ny\n\nz\n"))
+    assert rows(one.good) == [("",), ("",), ("x",), ("y",), ("z",)] and one.rejects.count() == 0
+    assert keyloom.minimal_keys(one.good).count() == 0
+    (tmp_path / "two").mkdir()
+    two = delimited.read_comma(spark, write(tmp_path / "two", "a,b\n1,2\n\n  \n3,4\n\n"))
+    assert rows(two.good) == [("1", "2"), ("3", "4")]
+    assert rows(two.rejects) == [("",), ("",), ("  ",)]
+    (tmp_path / "tab").mkdir()
+    tab = delimited.read_tab(spark, write(tmp_path / "tab", "a b\n\t\n\n1\t2\n"))
+    assert rows(tab.good) == [("", ""), ("1", "2")] and rows(tab.rejects) == [("",)]
+
+
+def test_headers_of_further_files(spark, tmp_path):
+    with pytest.raises(ValueError):
+        delimited.read_comma(spark, write(tmp_path, "a,b\n1,2\n", "b,a\n3,4\n"))
+    (tmp_path / "same").mkdir()
+    same = write(tmp_path / "same", "a,b\n1,2\na,b\n", " a , b\n3,4\n", "", "a,b\na,b\n a , b\n")
+    assert rows(delimited.read_comma(spark, same).good) == [("1", "2"), ("3", "4"), *[("a", "b")] * 3]
+
+
+def test_many_columns(spark, tmp_path):
+    wide = ",".join(f"c{i}" for i in range(21_000))
+    parsed = delimited.read_comma(spark, write(tmp_path, f"a,b\n1,2\n{wide}\n"))
+    assert rows(parsed.good) == [("1", "2")] and rows(parsed.rejects) == [(wide,)]
+
+
 def test_tab_reader(spark, tmp_path):
     parsed = delimited.read_tab(spark, write(tmp_path, "id name  city\n1\tann lee\t x \n2\tbob\n"))
     assert parsed.good.columns == ["id", "name", "city"]
