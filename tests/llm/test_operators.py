@@ -341,6 +341,21 @@ def test_near_dedup(spark, awkward, empty, monkeypatch):
     assert near_dedup.groups(empty).collect() == []
 
 
+def test_near_dedup_reach():
+    rng = np.random.default_rng(6)
+    assert near_dedup.REACH < 2 * len(near_dedup.chunk_ends())
+    for _ in range(200):
+        a = rng.integers(0, 2**16, near_dedup.MINIMA).astype(np.uint16)
+        b = a.copy()
+        # 27 errors in the worst places: two in a chunk, as far as they go
+        spots = [rng.choice(np.arange(lo, hi), 2, replace=False) for lo, hi in near_dedup.chunk_ends()]
+        first = list(np.concatenate(rng.permutation(spots)))
+        rest = list(rng.permutation(np.setdiff1d(np.arange(near_dedup.MINIMA), first)))
+        b[(first + rest)[:27]] += 1
+        own = near_dedup._entries([a.tobytes(), b.tobytes()])
+        assert set(own[0].tolist()) & set(own[1].tolist())
+
+
 def test_licenses(spark, empty):
     texts = [(1, "first words here\nReleased under the MIT License.\nand others follow"), (2, "licensed under the apache license version 2 0"), (3, None), (4, "MIT")]
     got = {r.doc_id: (r.n_lines, r.n_matches, r.licenses) for r in licenses.scan(spark.createDataFrame(rows_of(texts), SCHEMA)).collect()}
