@@ -14,14 +14,18 @@ from keyloom.llm import (
     line_dedup,
     mixing,
     near_dedup,
+    packing,
+    prefix_trie,
     quality,
     suffix_dedup,
     token_counts,
     token_store,
+    whitening,
 )
 from keyloom.staging import Stage
 
 VOCABULARY = "word_bpe_49k.json"  # of the public tokenizers
+BYTE_VOCABULARY = "byte_bpe_50k.json"
 
 
 def vocabulary(name: str = VOCABULARY) -> str:
@@ -30,7 +34,6 @@ def vocabulary(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -78,6 +81,18 @@ def op10_line_dedup(spark, sf_dir):
     return line_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_best_fit_packing(spark, sf_dir):
+    return packing.digest(table(spark, sf_dir, "documents"), vocabulary(BYTE_VOCABULARY))
+
+
+def op12_prefix_trie(spark, sf_dir):
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_whitening(spark, sf_dir):
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
@@ -90,6 +105,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_store": op8_token_store,
         "op9_license_scan": op9_license_scan,
         "op10_line_dedup": op10_line_dedup,
+        "op11_best_fit_packing": op11_best_fit_packing,
+        "op12_prefix_trie": op12_prefix_trie,
+        "op13_whitening": op13_whitening,
     }
 
 
@@ -238,10 +256,44 @@ SELECT doc_id, count(*) AS n_lines, count(f.k) AS n_dropped,
 FROM keyed LEFT JOIN frequent f ON f.k = keyed.k GROUP BY doc_id"""
 
 
+# CRC-32 of a text, bit by bit.
+_CRC = (
+    "xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), "
+    "list_transform(range(1, len({0}) + 1), lambda i: CAST(ord({0}[i]) AS BIGINT))), "
+    "lambda a, c: list_reduce([xor(a, c), 0, 0, 0, 0, 0, 0, 0, 0], "
+    "lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"
+)
+
+
+def sql_prefix_trie() -> str:
+    return f"""
+WITH own AS (SELECT conv_id, list({{'r': coalesce(role, ''), 'x': coalesce(text, '')}}
+    ORDER BY turn NULLS FIRST) AS w FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+taken AS (SELECT *, {_CRC.format("CAST(conv_id AS VARCHAR)")} % 9 AS h, conv_id - conv_id % 5 AS origin
+    FROM own),
+built AS (SELECT t.conv_id, list_concat(coalesce(o.w, [])[1:t.h], t.w[t.h + 1:]) AS path
+    FROM taken t LEFT JOIN own o ON o.conv_id = t.origin),
+prefixes AS (SELECT conv_id, path, unnest(range(len(path) + 1)) AS d FROM built),
+nodes AS MATERIALIZED (SELECT d, path[1:d] AS pre, min(conv_id) AS low, count(*) AS n,
+    string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len(path) = d) AS ends
+    FROM prefixes GROUP BY ALL),
+kids AS (SELECT d - 1 AS d, pre[1:d - 1] AS pre, count(*) AS k FROM nodes WHERE d > 0 GROUP BY ALL),
+full_nodes AS (SELECT nodes.*, coalesce(k, 0) AS k FROM nodes LEFT JOIN kids USING (d, pre)),
+above AS (SELECT *, unnest(range(d + 1)) AS a FROM full_nodes),
+sums AS (SELECT a AS d, pre[1:a] AS pre, sum(CAST(k = 0 AS BIGINT)) AS leaves,
+    sum(CASE WHEN d > 0 THEN (n - 1) * strlen(pre[d].x) ELSE 0 END) AS saved FROM above GROUP BY ALL)
+SELECT f.low AS conv_id, f.d AS depth, p.low AS parent_conv_id, f.n AS n_convs, f.k AS n_children,
+    CAST(s.leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens,
+    sha256(coalesce(f.ends, '')) AS ends_sha256
+FROM full_nodes f JOIN sums s ON s.d = f.d AND s.pre = f.pre
+LEFT JOIN nodes p ON p.d = f.d - 1 AND p.pre = f.pre[1:f.d - 1]"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_decontaminate": f"WITH {_ctes(sql_decontaminate())}\nSELECT * FROM d_rows",
         "op3_quality_rules": f"WITH {_ctes(sql_quality())}\nSELECT * FROM q_rows",
         "op9_license_scan": sql_licenses(),
         "op10_line_dedup": sql_line_dedup(),
+        "op12_prefix_trie": sql_prefix_trie(),
     }
