@@ -318,7 +318,7 @@ def brute_groups(rows, size=4, percent=80):
 
 def test_near_dedup(spark, awkward, empty, monkeypatch):
     monkeypatch.setattr(near_dedup, "TILE", 4)
-    monkeypatch.setattr(near_dedup, "SLICE", 3)
+    monkeypatch.setattr(near_dedup, "SLICE_BITS", 1)
     rng = np.random.default_rng(2)
     vocabulary = [f"w{k}" for k in range(5000)]
     texts = []
