@@ -210,9 +210,9 @@ def digest(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that no window occurs in, with all their columns."""
-    dirty = hits(docs, items, **options)[0].select(
-        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")
-    )
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
-    return docs.join(dirty.distinct(), same, "left_anti")
+    """The rows of ``docs`` that no window occurs in, with all their columns, whatever their names. Rows
+    without words stay, a null id is an id like any other, and without rows or items ``docs`` stays."""
+    dirty = hits(docs, items, **options)[0].select("doc_id", "text_hash").distinct()
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    same = F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.xxhash64("row.text") == F.col("text_hash"))
+    return whole.join(dirty, same, "left_anti").select("row.*")

@@ -151,6 +151,8 @@ class _Named:
         self.size = self.linked = 0  # of its text
         self.articles = 0  # size of the text of articles opened in it
         self.beside = 0  # size of the text in an article and in none or the named elements around only
+# A slash that closes the element: after a blank or a quote, not at the end of an unquoted address.
+_CLOSED = re.compile(r"""(?:^|[\s"'])/$""")
 
 
 def _names(attributes: str) -> dict[str, str]:
@@ -277,7 +279,7 @@ def blocks_of(html: str) -> list[_Block]:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(html, at)
             at = end.end() if end else n
             continue
-        if attributes.endswith("/"):
+        if _CLOSED.search(attributes):
             continue
         if tag == "p" or tag == "li":  # closed by the next of its kind
             for k in range(len(stack) - 1, -1, -1):

@@ -278,30 +278,24 @@ def taken(docs: DataFrame, **options) -> DataFrame:
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix: every drawn copy with all columns of ``docs`` and epoch, shard and place."""
+    """The mix: every drawn copy with all columns of ``docs``, whatever their names, in ``row``, and its
+    epoch, shard and place. Null texts, sources and ids are drawn like any other."""
     drawn = draws(docs, **options)[1]
-    copies = drawn.dropDuplicates(["doc_id", "source", "mark", "epoch"]).select(
-        F.col("doc_id").alias("_id"),
-        F.col("source").alias("_s"),
-        F.col("mark").alias("_m"),
-        "epoch",
-        "shard",
-        "place",
-    )
-    kept = docs.drop("epoch", "shard", "place", "_id", "_s", "_m")
+    key = ["doc_id", "source", "mark"]
+    copies = drawn.dropDuplicates([*key, "epoch"]).select(*key, "epoch", "shard", "place")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     mark = F.xxhash64(F.lit(options.get("seed", SEED)), "doc_id", "source", "text")
+    kept = docs.select(row.alias("row"), mark.alias("own_mark"))
     same = (
-        F.col("doc_id").eqNullSafe(F.col("_id"))
-        & F.col("source").eqNullSafe(F.col("_s"))
-        & (mark == F.col("_m"))
+        F.col("row.doc_id").eqNullSafe(F.col("doc_id"))
+        & F.col("row.source").eqNullSafe(F.col("source"))
+        & (F.col("own_mark") == F.col("mark"))
     )
-    return kept.join(copies, same).drop("_id", "_s", "_m")
+    return kept.join(copies, same).select("row", "epoch", "shard", "place")
 
 
 def shuffled(docs: DataFrame, **options) -> DataFrame:
-    """The mix with the columns of ``docs``: shards one after the other in the partitions, rows in
-    the order of their place."""
+    """The mix with the columns of ``docs`` and their values: shards one after the other in the
+    partitions, rows in the order of their place. An empty table gives an empty one."""
     mix = mixed(docs, **options)
-    return mix.repartition("shard").sortWithinPartitions("shard", "place").select(
-        *[F.col(f"`{c}`") for c in docs.columns]
-    )
+    return mix.repartition("shard").sortWithinPartitions("shard", "place").select("row.*")

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyloom.llm import encoder
@@ -36,12 +36,20 @@ END_ID = 1
 SHARDS = "shard bigint, doc_id array<bigint>, ends binary, n_ids bigint, planes array<binary>"
 
 
-def in_order(docs: DataFrame, shard_bytes: int) -> DataFrame:
-    """doc_id, text: partitions of ascending ranges of doc_id, sorted."""
-    d = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string").alias("text"))
-    size = d.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+def in_order(docs: DataFrame, shard_bytes: int, order: Column | None = None) -> DataFrame:
+    """doc_id, text: partitions of ascending ranges of doc_id, or of ``order``, sorted."""
+    own = [F.col("doc_id").cast("bigint"), F.col("text").cast("string").alias("text")]
+    size = docs.agg(F.sum(F.octet_length(own[1])).alias("n")).first().n or 0
     n = max(1, -(-int(size) // shard_bytes))
-    return d.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    if order is None:
+        return docs.select(*own).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    d = docs.select(*own, order.alias("place"))
+    return d.repartitionByRange(n, "place").sortWithinPartitions("place", "doc_id").select("doc_id", "text")
+
+
+def shuffle_order(seed: int = 1) -> Column:
+    """An order in which copies of a document stand apart: a hash of every row's place in its table."""
+    return F.xxhash64(F.lit(seed), F.monotonically_increasing_id())
 
 
 def encoded(
@@ -70,8 +78,9 @@ def write_shards(
     end: int = END_ID,
     shard_bytes: int = SHARD_BYTES,
     shard_ids: int = SHARD_IDS,
+    order: Column | None = None,
 ) -> DataFrame:
-    """Write the shards and return the table that reads them."""
+    """Write the shards, by doc_id or in ``order``, and return the table that reads them."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 24
@@ -100,7 +109,7 @@ def write_shards(
         if names:
             yield shard()
 
-    return stage.put(in_order(docs, shard_bytes).mapInArrow(pack, SHARDS), "token-shards")
+    return stage.put(in_order(docs, shard_bytes, order).mapInArrow(pack, SHARDS), "token-shards")
 
 
 def read_documents(shards: DataFrame) -> DataFrame:

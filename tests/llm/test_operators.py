@@ -405,7 +405,7 @@ def test_pipeline(spark):
     docs = queries.table(spark, SF_DIR, "documents")
     before = {r.doc_id: r for r in docs.collect()}
     kept = {r.doc_id for r in quality.judge(docs).collect() if r.kept}
-    rooms = brute_groups([(i, before[i].text) for i in kept])
+    rooms = brute_groups([(i, before[i].text) for i in kept], size=5)
     single = {i for i, (_, c) in rooms.items() if i == c}
     dirty = {r.doc_id for r in queries.op2_decontaminate(spark, SF_DIR).collect() if r.contaminated}
     left = single - dirty
@@ -416,3 +416,43 @@ def test_pipeline(spark):
     assert abs(drawn - sum(size.values())) < 0.1 * sum(size.values())
     starts = sorted((r.start, r.n_tokens) for r in rows)
     assert all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:]))
+
+
+def test_pipeline_on_awkward_rows(spark, empty):
+    """Columns with the names that the operators use, nulls, repeated rows and long texts; no rows."""
+    words = [f"w{k}" for k in range(400)]
+    rng = np.random.default_rng(9)
+    texts = [(i, " ".join(rng.choice(words, 80)) + ". The end of the day and of the world.") for i in range(30)]
+    texts += [(30, texts[0][1]), (31, None), (None, texts[5][1]), (7, texts[7][1]), (32, ""), (33, texts[9][1] * 300)]
+    schema = SCHEMA + ", _id int, _hash string, place bigint, epoch int, row string, mark int, digest string"
+    docs = spark.createDataFrame([(*r, 9, "h", 9, 9, "r", 9, "d") for r in rows_of(texts)], schema)
+    for start in (docs, docs.limit(0)):
+        now = Stage(spark).put(start, "docs")
+        for _, step in corpus_pipeline.STAGES[:-1]:
+            now = Stage(spark).put(step(spark, now, SF_DIR), "docs")
+            assert now.columns == docs.columns
+            assert {(r._id, r._hash, r.place, r.epoch, r.shard, r.row) for r in now.collect()} <= {(9, "h", 9, 9, 2, "r")}
+        left = now.select("doc_id").collect()
+        rows = corpus_pipeline.STAGES[-1][1](spark, now, SF_DIR).collect()
+        assert sorted(str(r.doc_id) for r in rows) == sorted(str(r.doc_id) for r in left)
+        assert bool(left) == (start is docs)
+
+
+def test_shuffled_token_shards(spark):
+    docs = spark.createDataFrame([(i // 3, f"text {i // 3}") for i in range(300)], "doc_id bigint, text string")
+    docs = Stage(spark).put(docs.repartition(3), "docs")
+    path = queries.vocabulary()
+    shards = token_store.write_shards(docs, Stage(spark), path, shard_bytes=500, order=token_store.shuffle_order())
+    rows = sorted(token_store.read_documents(shards).collect(), key=lambda r: r.start)
+    assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in docs.collect())
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(rows, rows[1:]))
+    assert sum(a.doc_id == b.doc_id for a, b in zip(rows, rows[1:])) < 20
+    ordered = token_store.read_documents(token_store.write_shards(docs, Stage(spark), path)).collect()
+    assert {(r.doc_id, r.ids_crc32) for r in rows} == {(r.doc_id, r.ids_crc32) for r in ordered}
+
+
+def test_html_unquoted_addresses():
+    text = html_text.main_text
+    page = "<div class=sidebar><a href=http://x.org/>Menu one</a> <a href=/b/>two</a></div><article><p>{}</p></article>"
+    long = "The words of the article are many and they are here for all to read and to see. " * 3
+    assert text(page.format(long)) == text(page.replace("=http://x.org/", '="http://x.org/"').replace("=/b/", '="/b/"').format(long)) == long.strip()
