@@ -7,7 +7,6 @@ GROUPING SETS and reads keys, non-keys and their borders off the counts.
 from __future__ import annotations
 
 from collections.abc import Callable
-from importlib.util import find_spec
 from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,12 +21,16 @@ from keyloom.plans.hitting import hitting_sets
 from keyloom.sources import delimited, prepare, report
 from keyloom.staging import Stage
 
-# The training-data operators may be taken away as a whole (subpackage llm and the pipeline).
-if find_spec("keyloom.llm") and find_spec("keyloom.llm.queries"):
+# The training-data operators may be taken away as a whole (subpackage llm and the pipeline), or lack
+# a library that they need.
+try:
     from keyloom.llm import queries as llm
-else:
+except ImportError:
     llm = None
-pipeline = __import__("corpus_pipeline") if llm and find_spec("corpus_pipeline") else None
+try:
+    import corpus_pipeline as pipeline
+except ImportError:
+    pipeline = None
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 

@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir), where docs is what the stage before kept, and returns
 the documents that go on, with their columns; the last returns what it read back from its files.
+
+In every stage a null or empty text is a document without words, a null id is a document of its own,
+rows that repeat an id stay apart unless a stage says otherwise, columns of any name keep their
+values, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -14,13 +18,14 @@ from keyloom.staging import Stage
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go, with them those without words."""
     return quality.keep(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return near_dedup.dedup(docs)
+    """One document of each group of near copies stays: those that share four fifths of their runs of
+    five words. Rows with the id of a document that goes go with it."""
+    return near_dedup.dedup(docs, shingle=5)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +39,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids are written, and every copy's place, length and checksum are read back."""
-    return token_store.read_documents(token_store.write_shards(docs, Stage(spark), vocabulary()))
+    """Token ids are written in shuffled order, and every copy's place, length and checksum are read
+    back. (The mix is reread from Parquet, which has no order, so it is shuffled here.)"""
+    order = token_store.shuffle_order()
+    return token_store.read_documents(token_store.write_shards(docs, Stage(spark), vocabulary(), order=order))
 
 
 STAGES = [
