@@ -168,6 +168,31 @@ def _intersect_three(spark, sf_dir):
     return L.intersect(two, m.where("col_idx = 0")).select("cluster_id", "n")
 
 
+def _same_clusters(spark, sf_dir):
+    """Pairs of columns of ``customer``, and one beside the same split under another name."""
+    df = table(spark, sf_dir, "customer").withColumn("segment_code", F.xxhash64("c_mktsegment"))
+    pairs = [("c_mktsegment", "segment_code"), ("c_mktsegment", "c_nationkey"), ("c_acctbal", "c_name")]
+    out = None
+    for a, b in pairs:
+        members = [L.membership_of_combo(df, "c_custkey", [c]) for c in (a, b)]
+        one = L.same_clusters(*members).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _cells_of_maps(spark, sf_dir):
+    """Equal maps with their entries in another order, nested zeros of either sign."""
+    o = table(spark, sf_dir, "orders")
+    status, zero = F.col("o_orderstatus"), F.lit(0.0) * F.when(F.col("o_orderkey") % 2 == 0, 1).otherwise(-1)
+    turned = F.when(F.col("o_orderkey") % 3 == 0, F.create_map(F.lit("z"), zero, status, F.lit(1.0)))
+    maps = F.coalesce(turned, F.create_map(status, F.lit(1.0), F.lit("z"), zero))
+    return L.clusters(L.cells(o.select("o_orderkey", maps.alias("m"), F.array(zero).alias("a")), "o_orderkey"))
+
+
+def _minimal_keys_tolerant_lineitem(spark, sf_dir):
+    return _keys(D.minimal_keys(table(spark, sf_dir, "lineitem"), tolerance=TOLERANCE))
+
+
 def _key_error(spark, sf_dir):
     return K.single_columns(table(spark, sf_dir, "lineitem")).select(
         "col_idx", "col_name", "n_clusters", "key_error"
@@ -532,6 +557,9 @@ def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "minimal_keys_evidence": _minimal_keys_evidence,
         "maximal_nonkeys_evidence": _maximal_nonkeys_evidence,
         "minimal_keys_tolerant": _minimal_keys_tolerant,
+        "minimal_keys_tolerant_lineitem": _minimal_keys_tolerant_lineitem,
+        "same_clusters": _same_clusters,
+        "cells_of_maps": _cells_of_maps,
         "minimal_keys_first_n": _minimal_keys_first_n,
         "minimal_keys_filtered": _minimal_keys_filtered,
         "minimal_keys_nulls_distinct": _minimal_keys_nulls_distinct,
@@ -601,6 +629,23 @@ def _sql_keys(source: str, columns: list[str], k: int = 0, extra: str = "") -> s
     )
 
 
+def _sql_same(a: str, b: str) -> str:
+    def members(c: str) -> str:
+        return (
+            f"(SELECT * FROM (SELECT c_custkey, min(c_custkey) OVER (PARTITION BY {c}) AS k, "
+            f"count(*) OVER (PARTITION BY {c}) AS n FROM "
+            "(SELECT *, hash(c_mktsegment) AS segment_code FROM customer)) WHERE n > 1)"
+        )
+
+    return (
+        f"SELECT '{a}' AS a, '{b}' AS b, count(x.c_custkey) AS n_a, count(y.c_custkey) AS n_b, "
+        "count(*) FILTER (x.k IS DISTINCT FROM y.k) = 0 AS same_signature, "
+        "count(*) FILTER (x.k IS DISTINCT FROM y.k) AS n_other, "
+        "count(*) FILTER (x.k IS DISTINCT FROM y.k) = 0 AS same "
+        f"FROM {members(a)} x FULL JOIN {members(b)} y USING (c_custkey)"
+    )
+
+
 def _sql_nonkeys(source: str, columns: list[str], k: int = 0) -> str:
     return _with(
         _counts(source, columns), f"SELECT combo, mask, size FROM e u WHERE {_maximal_where(k)}"
@@ -849,6 +894,15 @@ def own_sql() -> dict[str, str]:
         "minimal_keys_evidence": _sql_keys("orders", orders),
         "maximal_nonkeys_evidence": _sql_nonkeys("part", part),
         "minimal_keys_tolerant": _sql_keys("orders", orders, TOLERANCE),
+        "minimal_keys_tolerant_lineitem": _sql_keys("lineitem", COLUMNS["lineitem"], TOLERANCE),
+        "same_clusters": " UNION ALL ".join(
+            _sql_same(*pair)
+            for pair in [("c_mktsegment", "segment_code"), ("c_mktsegment", "c_nationkey"), ("c_acctbal", "c_name")]
+        ),
+        "cells_of_maps": """
+SELECT 0 AS col_idx, 'm' AS col_name, '{"' || o_orderstatus || '":1.0,"z":0.0}' AS value,
+    min(o_orderkey) AS cluster_id, count(*) AS n FROM orders GROUP BY o_orderstatus HAVING count(*) > 1
+UNION ALL SELECT 1, 'a', '[0.0]', min(o_orderkey), count(*) FROM orders HAVING count(*) > 1""",
         "minimal_keys_first_n": _sql_keys("lineitem", lineitem[:6]),
         "minimal_keys_filtered": _sql_keys("part", part, extra="AND (mask & 1) = 0"),
         "minimal_keys_nulls_distinct": _with(

@@ -33,9 +33,25 @@ def is_fixed_width(dtype: T.DataType) -> bool:
 
 
 def canonical(col: Column, dtype: T.DataType) -> Column:
-    """Fold -0.0 into 0.0 so that text and codes agree with grouping equality."""
+    """One form of equal values, at any depth: -0.0 becomes 0.0 and a map's entries are sorted, so that
+    text and codes agree with grouping equality."""
     if isinstance(dtype, (T.FloatType, T.DoubleType)):
         return (col + F.lit(0.0)).cast(dtype)
+    if isinstance(dtype, T.ArrayType):
+        return F.transform(col, lambda x: canonical(x, dtype.elementType))
+    if isinstance(dtype, T.StructType):
+        parts = [canonical(col[f.name], f.dataType).alias(f.name) for f in dtype.fields]
+        return F.when(col.isNotNull(), F.struct(*parts))
+    if isinstance(dtype, T.MapType):
+        entries = F.transform(
+            F.map_keys(col),
+            lambda k: F.struct(
+                canonical(k, dtype.keyType).alias("key"), canonical(F.element_at(col, k), dtype.valueType).alias("value")
+            ),
+        )
+        # Keys differ, so the order never asks for values, which may have none.
+        by_key = lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)
+        return F.map_from_entries(F.array_sort(entries, by_key))
     return col
 
 
@@ -48,7 +64,7 @@ def as_text(col: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, T.BinaryType):
         return F.hex(col)
     if isinstance(dtype, (T.ArrayType, T.StructType, T.MapType)):
-        return F.to_json(col)
+        return F.to_json(canonical(col, dtype))
     return canonical(col, dtype).cast("string")
 
 
@@ -75,7 +91,7 @@ def seeded_hash(col: Column, dtype: T.DataType, seed: int) -> Column:
             ),
         )
         return F.xxhash64(head, F.size(col), pairs)
-    return F.xxhash64(head, col)
+    return F.xxhash64(head, canonical(col, dtype))
 
 
 def without_nulls(df: DataFrame, names: list[str]) -> DataFrame:

@@ -145,6 +145,39 @@ def intersect_membership(a: DataFrame, b: DataFrame) -> DataFrame:
     return joined.select("r.row_id", "g.cluster_id")
 
 
+def same_clusters(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row: ``n_a, n_b`` (rows in clusters), ``same_signature, n_other, same``: whether two given
+    memberships split the rows into the same clusters.
+
+    A cluster is named by its smallest row, so equal partitions have equal memberships, row by row.
+    The signatures (sum and xor of a hash over row and cluster) need no order and no shuffle of rows;
+    the full outer join behind them is exact, and counts the rows that lie in other clusters.
+    """
+    def side(rows: DataFrame, name: str) -> DataFrame:
+        return rows.select("row_id", F.col("cluster_id").alias(name))
+
+    def signature(rows: DataFrame, name: str) -> DataFrame:
+        mark = F.xxhash64("row_id", "cluster_id")
+        return rows.agg(
+            F.count(F.lit(1)).alias("n"),
+            F.sum(mark.cast("decimal(38,0)")).alias("total"),
+            F.bit_xor(mark).alias("mixed"),
+        ).select(F.lit(1).alias("one"), F.struct("n", "total", "mixed").alias(name))
+
+    other = (
+        side(a, "x").join(side(b, "y"), "row_id", "full").where(~F.col("x").eqNullSafe(F.col("y")))
+        .agg(F.count(F.lit(1)).alias("n_other"), F.lit(1).alias("one"))
+    )
+    both = signature(a, "s").join(signature(b, "t"), "one").join(other, "one")
+    return both.select(
+        F.col("s.n").alias("n_a"),
+        F.col("t.n").alias("n_b"),
+        F.col("s").eqNullSafe(F.col("t")).alias("same_signature"),
+        "n_other",
+        (F.col("n_other") == 0).alias("same"),
+    )
+
+
 def _scope(member_rows: DataFrame) -> list[str]:
     return [c for c in ("col_idx", "col_name", "cluster_id") if c in member_rows.columns]
 

@@ -2,9 +2,10 @@
 
 Every frame has ``cols array<int>`` (sorted); results carry ``combo, cols, mask, size``.
 
-Containment is an equi-join: each superset is listed once per member column and a
-subset looks it up under its first column, so Spark hashes on a column position and
-checks the rest of the set as a residual condition. No candidate meets all others.
+Containment is an equi-join on two members at once: each superset is listed under every pair of
+its members, and a subset looks it up under its own two rarest ones, rare among the supersets.
+Sets that tie choose by a hash of set and member, so not all sets meet under the same pair; the
+rest of the set is a residual condition. Sets of one column look up that column.
 """
 
 from __future__ import annotations
@@ -139,27 +140,54 @@ def complement(sets: DataFrame, universe: Column) -> DataFrame:
 # --- containment ------------------------------------------------------------------
 
 
-def _by_member(sets: DataFrame, name: str) -> DataFrame:
-    return sets.select(F.col("cols").alias(name), F.explode("cols").alias("pivot"))
+def _rarity(tops: DataFrame) -> Column:
+    """Map of each column to the number of sets that have it: one small row, asked when needed."""
+    counts = tops.select(F.explode("cols").alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n"))
+    listed = counts.agg(F.map_from_entries(F.collect_list(F.struct("c", "n"))).alias("m"))
+    return listed.scalar()
+
+
+def with_own_pair(sets: DataFrame, tops: DataFrame) -> DataFrame:
+    """``own_pair``: the two members of each set that are rarest among ``tops``, as a text; an only one
+    twice, none for the empty set."""
+    rows = sets.withColumn("rarity", _rarity(tops))
+    pair = _own_pair(F.col("cols"), F.col("rarity"))
+    return rows.withColumn("own_pair", F.when(F.size("cols") > 0, pair)).drop("rarity")
+
+
+def _own_pair(cols: Column, rarity: Column) -> Column:
+    ranked = F.array_sort(
+        F.transform(cols, lambda c: F.struct(
+            F.coalesce(rarity[c], F.lit(0)).alias("n"), F.xxhash64(cs.combo_text(cols), c).alias("h"), c.alias("c")))
+    )
+    a, b = F.get(ranked, 0)["c"], F.coalesce(F.get(ranked, 1)["c"], F.get(ranked, 0)["c"])
+    return F.concat_ws(",", F.least(a, b), F.greatest(a, b))
+
+
+def all_pairs(cols: Column) -> Column:
+    """Every pair of members of a set, and every member twice, as texts."""
+    return F.flatten(
+        F.transform(cols, lambda a: F.transform(F.filter(cols, lambda b: b >= a), lambda b: F.concat_ws(",", a, b)))
+    )
 
 
 def below(sets: DataFrame, tops: DataFrame, how: str, proper: bool = False) -> DataFrame:
     """Sets that are (``left_semi``) or are not (``left_anti``) inside one of ``tops``."""
-    top = _by_member(tops, "top")
-    inside = (F.col("cols")[0] == F.col("pivot")) & cs.is_subset(F.col("cols"), F.col("top"))
+    top = tops.select(F.col("cols").alias("top"), F.explode(all_pairs(F.col("cols"))).alias("pair"))
+    inside = (F.col("own_pair") == F.col("pair")) & cs.is_subset(F.col("cols"), F.col("top"))
     if proper:
         inside = inside & (F.size("top") > F.size("cols"))
-    return sets.join(top, inside, how)
+    return with_own_pair(sets, tops).join(top, inside, how).drop("own_pair")
 
 
 def above(sets: DataFrame, bases: DataFrame, how: str, proper: bool = False) -> DataFrame:
     """Sets that do or do not contain one of ``bases``."""
-    base = bases.select(F.col("cols").alias("base"))
-    inside = (F.col("pivot") == F.col("base")[0]) & cs.is_subset(F.col("base"), F.col("cols"))
+    base = with_own_pair(bases, sets).select(F.col("cols").alias("base"), "own_pair")
+    inside = (F.col("pair") == F.col("own_pair")) & cs.is_subset(F.col("base"), F.col("cols"))
     if proper:
         inside = inside & (F.size("cols") > F.size("base"))
     hits = (
-        sets.select("combo", "cols", F.explode("cols").alias("pivot"))
+        sets.select("combo", "cols", F.explode(all_pairs(F.col("cols"))).alias("pair"))
         .join(base, inside, "left_semi")
         .select("combo")
         .distinct()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from keyloom.functions import colsets as cs
 from keyloom.operators import combos as C
 from keyloom.plans import evidence, levelwise
-from keyloom.plans.encode import Codes, encode
+from keyloom.plans.encode import encode
 from keyloom.staging import Stage
 
 
@@ -28,21 +28,12 @@ def _columns(df: DataFrame, columns: Sequence[str] | None) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in columns])
 
 
-# Up to this size counting all undecided sets takes fewer jobs than gathering evidence.
-FEW_COLUMNS = 8
-FEW_ROWS = 1_000_000
+METHODS = ("evidence", "levels")
 
 
-def _check_method(method: str | None, tolerance: int) -> None:
-    if method not in (None, "evidence", "levels"):
+def _check_method(method: str) -> None:
+    if method not in METHODS:
         raise ValueError(f"unknown method {method!r}")
-    if method == "evidence" and tolerance:
-        raise ValueError("a tolerance needs method='levels'")
-
-
-def _method(codes: Codes, tolerance: int) -> str:
-    few = codes.width <= FEW_COLUMNS and codes.n_rows <= FEW_ROWS
-    return "levels" if tolerance or few else "evidence"
 
 
 def verdicts(df: DataFrame, tolerance: int = 0, nulls_equal: bool = True,
@@ -62,40 +53,39 @@ def verdicts(df: DataFrame, tolerance: int = 0, nulls_equal: bool = True,
 
 def minimal_keys(df: DataFrame, tolerance: int = 0, nulls_equal: bool = True,
                  columns: Sequence[str] | None = None, max_size: int | None = None,
-                 exclude: Column | None = None, method: str | None = None) -> DataFrame:
+                 exclude: Column | None = None, method: str = "evidence") -> DataFrame:
     """Minimal sets of columns that identify every row but at most ``tolerance``.
 
     ``combo, cols, mask, size, names, key_error``. ``exclude`` is a condition on
     ``combo, cols, mask, size`` for sets not to consider; it must also hold for every
-    superset of a set it holds for. ``method`` is ``"evidence"`` or ``"levels"`` (the only
-    one for a tolerance); both give the same keys, and without a choice small tables with
-    few columns take the second.
+    superset of a set it holds for. ``method`` is ``"evidence"``, or ``"levels"`` to count
+    every set below the keys; both give the same keys.
     """
     df = _columns(df, columns)
-    _check_method(method, tolerance)
+    _check_method(method)
     stage = Stage(df.sparkSession)
     codes = encode(df, stage, nulls_equal)
-    method = method or _method(codes, tolerance)
+    if not codes.n_rows:
+        return _named(C.combo_frame(df.sparkSession, []), df.columns,
+                      F.lit(0).cast("bigint").alias("key_error"))
     if method == "evidence":
-        if not codes.n_rows:
-            return _named(C.combo_frame(df.sparkSession, []), df.columns,
-                          F.lit(0).cast("bigint").alias("key_error"))
-        found = evidence.run(codes, stage, max_size, exclude).keys
-        return _named(found, df.columns, F.lit(0).cast("bigint").alias("key_error"))
-    found = levelwise.run(codes, stage, tolerance, max_size, True, exclude)
-    return _named(found.where("is_key"), df.columns, "key_error")
+        found = evidence.run(codes, stage, max_size, exclude, tolerance=tolerance).keys
+    else:
+        found = levelwise.run(codes, stage, tolerance, max_size, True, exclude).where("is_key")
+    return _named(found, df.columns, "key_error")
 
 
 def maximal_nonkeys(df: DataFrame, tolerance: int = 0, nulls_equal: bool = True,
-                    columns: Sequence[str] | None = None, method: str | None = None) -> DataFrame:
+                    columns: Sequence[str] | None = None, method: str = "evidence") -> DataFrame:
     """Largest sets of columns that still leave more than ``tolerance`` rows unidentified."""
-    _check_method(method, tolerance)
+    _check_method(method)
     df = _columns(df, columns)
     stage = Stage(df.sparkSession)
     codes = encode(df, stage, nulls_equal)
-    method = method or _method(codes, tolerance)
-    if method == "evidence" and codes.n_rows:
-        found = evidence.run(codes, stage).nonkeys
+    if not codes.n_rows:
+        return _named(C.combo_frame(df.sparkSession, []), df.columns)
+    if method == "evidence":
+        found = evidence.run(codes, stage, tolerance=tolerance).nonkeys
     else:
         found = C.maximal(levelwise.run(codes, stage, tolerance).where("not is_key"))
     return _named(found, df.columns)

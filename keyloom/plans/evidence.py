@@ -1,4 +1,4 @@
-"""Evidence-driven discovery of exact keys: the path for large tables.
+"""Evidence-driven discovery of keys, exact or with a tolerance.
 
 1. Start from what is known to fail (at first only the empty set).
 2. The candidates are the minimal sets that leave every known non-key.
@@ -12,11 +12,19 @@ The loop first runs on a sample of the rows, then on larger ones, at last on the
 table. A sample can only refute: two rows that agree in it agree in the table. Every
 reported key has been counted over all rows, so the result does not depend on the
 sample; it only decides how many candidates ever reach the full table.
+
+With a tolerance, a candidate fails when its key error is larger, also in a sample, because
+errors only grow with rows. No two rows are evidence then; instead a failed set is grown:
+columns are added along a chain of supersets, counted together, as long as the error stays
+too large. What it ends in is a largest failing set of that rung and takes the place of an
+agree set. Candidates, non-keys and passed sets are rows of staged tables in either case; the
+driver sees one batch at a time.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,11 +41,12 @@ from keyloom.staging import Stage, spread
 FIRST_SAMPLE = 10_000
 SAMPLE_STEP = 8
 BATCH = 64
+GROWN = 6  # failed sets that are grown together
 
 
 @dataclass
 class Found:
-    keys: DataFrame  # combo, cols
+    keys: DataFrame  # combo, cols, key_error
     nonkeys: DataFrame  # combo, cols
     tested: dict[str, int]  # candidates tested per rung
     rounds: int
@@ -115,33 +124,97 @@ def _test(codes: Codes, batch: list[P.Combo], stage: Stage, seen: P.Repeats) ->
     return agree, passed
 
 
+def _errors(codes: Codes, sets: list[P.Combo]) -> dict[P.Combo, int]:
+    """Key errors of one round's sets."""
+    if not sets:
+        return {}
+    counted = K.count_errors(codes.rows, codes.fields, sets, codes.nulls_equal)
+    return {tuple(int(x) for x in r.combo.split(",")): r.key_error for r in counted.collect()}
+
+
+def _with(combo: P.Combo, more) -> P.Combo:
+    return tuple(sorted({*combo, *more}))
+
+
+def _grown(codes: Codes, failing: list[P.Combo], tolerance: int) -> set[P.Combo]:
+    """Largest failing sets above the failing ones, one for each.
+
+    Chains start at another column for each set, so that several sets end in several places.
+    A column that stops a chain stops it for every larger set, too, so it is asked once.
+    """
+    width = codes.width
+    turn = [[(k + i) % width for i in range(width)] for k in range(len(failing))]
+    todo = {c: [x for x in t if x not in c] for c, t in zip(failing, turn)}
+    done: set[P.Combo] = set()
+    while todo:
+        chains = {c: [_with(c, rest[: k + 1]) for k in range(len(rest))] for c, rest in todo.items()}
+        errors = _errors(codes, sorted({s for chain in chains.values() for s in chain}))
+        following: dict[P.Combo, list[int]] = {}
+        for combo, chain in chains.items():
+            n = next((k for k, s in enumerate(chain) if errors.get(s, 0) <= tolerance), len(chain))
+            rest = todo[combo]
+            top, left = _with(combo, rest[:n]), rest[n + 1 :]
+            if left:
+                following[top] = [x for x in following.get(top, left) if x in left]
+            else:
+                done.add(top)
+        done |= {c for c, left in following.items() if not left}
+        todo = {c: left for c, left in following.items() if left}
+    return done
+
+
+def _test_tolerant(
+    codes: Codes, batch: list[P.Combo], tolerance: int
+) -> tuple[set[P.Combo], dict[P.Combo, int]]:
+    """Failing sets grown from the batch, and the errors of those that pass."""
+    errors = _errors(codes, batch)
+    # A sample may be empty; then nothing fails in it.
+    passed = {c: errors.get(c, 0) for c in batch if errors.get(c, 0) <= tolerance}
+    grown: set[P.Combo] = set()
+    failing = [c for c in batch if c not in passed]
+    while failing:
+        # What a few end in holds many of the others.
+        grown |= _grown(codes, failing[:GROWN], tolerance)
+        failing = [c for c in failing if not any(set(c) <= set(g) for g in grown)]
+    return grown, passed
+
+
+PASSED = "combo string, key_error bigint"
+
+
 def run(codes: Codes, stage: Stage, max_size: int | None = None, exclude: Column | None = None,
-        first_sample: int = FIRST_SAMPLE, log=None) -> Found:
+        first_sample: int = FIRST_SAMPLE, log=None, tolerance: int = 0) -> Found:
     spark = codes.rows.sparkSession
     state = _State(codes.width, stage, spark, max_size, exclude)
     tested: dict[str, int] = {}
     rounds = 0
     for name, rung in _rungs(codes, stage, first_sample):
+        if tolerance and rung is codes and name != "table":
+            continue  # no sample is smaller than the table
         seen = P.Repeats()
-        at_once = batch_size(rung, BATCH)
+        at_once = batch_size(rung, K.BATCH if tolerance else BATCH)
         passed_path = stage.path("passed")
-        stage.append(state.candidates.limit(0).select("combo"), passed_path)
+        stage.append(spark.createDataFrame([], PASSED), passed_path)
         while True:
-            passed_so_far = spark.read.schema("combo string").parquet(passed_path)
+            passed_so_far = spark.read.schema(PASSED).parquet(passed_path)
             todo = state.candidates.join(passed_so_far, "combo", "left_anti")
             batch = [tuple(r.cols) for r in todo.orderBy(F.size("cols"), "cols").limit(at_once).collect()]
             if not batch:
                 break
             rounds += 1
             tested[name] = tested.get(name, 0) + len(batch)
-            if name == "sample 1":
-                agree, passed = _refute(rung, batch)
+            if tolerance:
+                agree, passed = _test_tolerant(rung, batch, tolerance)
             else:
-                agree, passed = _test(rung, batch, stage, seen)
+                test = _refute if name == "sample 1" else partial(_test, stage=stage, seen=seen)
+                agree, passed = test(rung, batch)
+                passed = dict.fromkeys(passed, 0)
             if log:
                 log(f"{name}: tested {len(batch)}, passed {len(passed)}, agree sets {len(agree)}")
             if passed:
-                stage.append(C.combo_frame(spark, passed).select("combo"), passed_path)
+                texts = [(",".join(map(str, c)), e) for c, e in passed.items()]
+                stage.append(spark.createDataFrame(texts, PASSED), passed_path)
             if agree:
                 state.learn(agree)
-    return Found(state.candidates, state.nonkeys, tested, rounds)
+    keys = state.candidates.join(passed_so_far, "combo").select("combo", "cols", "key_error")
+    return Found(keys, state.nonkeys, tested, rounds)

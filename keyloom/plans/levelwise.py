@@ -7,8 +7,6 @@ column is added.
 
 from __future__ import annotations
 
-from itertools import islice
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -105,8 +103,13 @@ def run(codes: Codes, stage: Stage, tolerance: int = 0, max_size: int | None = N
         if bounds is not None:
             stage.append(_ruled_out(level.where(bounds), "bound"), out)
             level = level.where(~bounds)
-        stream = (tuple(r.cols) for r in level.orderBy("cols").toLocalIterator())
-        while chunk := list(islice(stream, at_once)):
+        # The driver asks for the sets of one batch at a time: they name the plan that counts them.
+        n_batches = -(-level.count() // at_once)
+        number = F.pmod(F.xxhash64("combo"), F.lit(max(n_batches, 1)))
+        for k in range(n_batches):
+            chunk = sorted(tuple(r.cols) for r in level.where(number == k).collect())
+            if not chunk:
+                continue
             if part is not None and size > 1:
                 seen = K.count_errors(part.rows, codes.fields, chunk, codes.nulls_equal, at_once)
                 failed = seen.where(F.col("key_error") > tolerance).select("combo")

@@ -71,11 +71,21 @@ def _first_line(spark: SparkSession, path: str) -> str:
 
 
 def _unique(names: Sequence[str]) -> list[str]:
-    """Column names as Spark can address them: a repeated name gets its position added."""
-    seen: dict[str, int] = {}
+    """Column names as Spark can address them: a repeated name gets its position added, and marks until
+    no name of the header or before it is the same."""
+    count: dict[str, int] = {}
     for n in names:
-        seen[n.lower()] = seen.get(n.lower(), 0) + 1
-    return [n if seen[n.lower()] == 1 else f"{n}{i}" for i, n in enumerate(names)]
+        count[n.lower()] = count.get(n.lower(), 0) + 1
+    taken = {n for n, k in count.items() if k == 1}
+    out = []
+    for i, n in enumerate(names):
+        if count[n.lower()] > 1:
+            n = f"{n}{i}"
+            while n.lower() in taken:
+                n += "_"
+            taken.add(n.lower())
+        out.append(n)
+    return out
 
 
 def read_comma(spark: SparkSession, path: str, n_columns: int = -1) -> Parsed:

@@ -138,3 +138,24 @@ def test_hitting_sets_wide(spark):
     nonkeys = [tuple(i for i in range(width) if i not in (0, 70)), tuple(i for i in range(width) if i != 79)]
     got = sets_of(hitting_sets(C.combo_frame(spark, nonkeys), width))
     assert got == {(0, 79), (70, 79)}
+
+
+def test_containment_has_no_hot_pair(spark):
+    """All sets of 16 columns: every subset looks up its own two rarest members."""
+    from pyspark.sql import functions as F
+
+    sets = spark.range(1, 2**16).select(
+        F.filter(F.sequence(F.lit(0), F.lit(15)), lambda i: F.call_function("shiftright", F.col("id"), i).bitwiseAND(F.lit(1)) == 1).alias("cols")
+    )
+    pairs = C.with_own_pair(sets, sets).groupBy("own_pair").count().collect()
+    assert len(pairs) == 16 + 120
+    assert max(r["count"] for r in pairs) < 0.02 * 2**16
+
+
+def test_rare_members_are_looked_up(spark):
+    tops = C.combo_frame(spark, [(0, 1, k) for k in range(2, 12)])
+    asked = C.combo_frame(spark, [(0, 1, 2), (0, 5), (0, 1), (3,), (0, 2, 3)])
+    found = {r.combo: r.own_pair for r in C.with_own_pair(asked, tops).collect()}
+    assert found["0,1,2"] in ("0,2", "1,2") and found["0,5"] == "0,5" and found["3"] == "3,3" and found["0,2,3"] == "2,3"
+    assert {r.combo for r in C.below(asked, tops, "left_semi").collect()} == {"0,1,2", "0,5", "0,1", "3"}
+    assert {r.combo for r in C.above(tops, asked, "left_anti").collect()} == set()

@@ -65,8 +65,23 @@ def test_tolerance_makes_every_column_a_key(spark):
     found = keyloom.minimal_keys(df, tolerance=1)
     assert {(r.combo, r.key_error) for r in found.collect()} == {("0", 0), ("1", 1), ("2", 1)}
     assert sets_of(keyloom.maximal_nonkeys(df, tolerance=1)) == set()
+    assert sets_of(keyloom.minimal_keys(df, tolerance=1, method="levels")) == {(0,), (1,), (2,)}
     with pytest.raises(ValueError):
-        keyloom.minimal_keys(df, tolerance=1, method="evidence")
+        keyloom.minimal_keys(df, method="guess")
+
+
+@pytest.mark.parametrize("seed, nulls_equal", [(21, True), (22, False), (23, True)])
+def test_tolerant_evidence(spark, seed, nulls_equal):
+    """Samples refute by their counts; failed sets are grown; the errors are those of the table."""
+    rows = random_rows(seed, 300, 6, 4)
+    for tolerance in (2, 25, 290):
+        found = small(spark, frame(spark, rows), nulls_equal, first_sample=40, tolerance=tolerance)
+        errors = {c: brute.key_error(rows, c) for c in brute.all_sets(6)}
+        keys = {c for c, e in errors.items() if e <= tolerance}
+        least = {c for c in keys if not any(set(k) < set(c) for k in keys)}
+        most = {c for c in errors if c not in keys and all(not set(c) < set(d) for d in errors if d not in keys)}
+        assert {(tuple(r.cols), r.key_error) for r in found.keys.collect()} == {(c, errors[c]) for c in least}
+        assert sets_of(found.nonkeys) == most
 
 
 @pytest.mark.parametrize("method", ["evidence", "levels"])

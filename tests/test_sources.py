@@ -159,3 +159,9 @@ def test_command_line(spark, tmp_path):
     assert run("all") == ["ColumnCombinationBitset {0}", "ColumnCombinationBitset {1, 2}"]
     assert run("first", "2") == ["ColumnCombinationBitset {0}"]
     assert run("near", "--tolerance", "1") == [f"ColumnCombinationBitset {{{i}}}" for i in range(3)]
+
+
+def test_names_that_clash_after_numbering():
+    names = delimited._unique(["a", "a", "a0", "A", "b", "a3_"])
+    assert len({n.lower() for n in names}) == 6
+    assert names[2] == "a0" and names[4] == "b" and names[5] == "a3_"
