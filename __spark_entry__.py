@@ -189,8 +189,8 @@ def _cells_of_maps(spark, sf_dir):
     return L.clusters(L.cells(o.select("o_orderkey", maps.alias("m"), F.array(zero).alias("a")), "o_orderkey"))
 
 
-def _minimal_keys_tolerant_lineitem(spark, sf_dir):
-    return _keys(D.minimal_keys(table(spark, sf_dir, "lineitem"), tolerance=TOLERANCE))
+def _minimal_keys_tolerant_part(spark, sf_dir):
+    return _keys(D.minimal_keys(table(spark, sf_dir, "part"), tolerance=TOLERANCE))
 
 
 def _key_error(spark, sf_dir):
@@ -557,7 +557,7 @@ def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "minimal_keys_evidence": _minimal_keys_evidence,
         "maximal_nonkeys_evidence": _maximal_nonkeys_evidence,
         "minimal_keys_tolerant": _minimal_keys_tolerant,
-        "minimal_keys_tolerant_lineitem": _minimal_keys_tolerant_lineitem,
+        "minimal_keys_tolerant_part": _minimal_keys_tolerant_part,
         "same_clusters": _same_clusters,
         "cells_of_maps": _cells_of_maps,
         "minimal_keys_first_n": _minimal_keys_first_n,
@@ -894,7 +894,7 @@ def own_sql() -> dict[str, str]:
         "minimal_keys_evidence": _sql_keys("orders", orders),
         "maximal_nonkeys_evidence": _sql_nonkeys("part", part),
         "minimal_keys_tolerant": _sql_keys("orders", orders, TOLERANCE),
-        "minimal_keys_tolerant_lineitem": _sql_keys("lineitem", COLUMNS["lineitem"], TOLERANCE),
+        "minimal_keys_tolerant_part": _sql_keys("part", part, TOLERANCE),
         "same_clusters": " UNION ALL ".join(
             _sql_same(*pair)
             for pair in [("c_mktsegment", "segment_code"), ("c_mktsegment", "c_nationkey"), ("c_acctbal", "c_name")]
