@@ -2,16 +2,19 @@
 
 A candidate key must leave every known non-key: it has to contain a column outside each
 of them. The minimal such sets are the minimal hitting sets of the non-keys' complements
-("holes"). They are grown one column per step, all at once:
-
-* a set that already leaves every non-key is finished;
-* any other is extended by each column outside one non-key that still contains it (the
-  one with the fewest columns outside, to branch least);
-* a set stays only while each of its columns is needed: dropping it must put the set
-  back inside a non-key. No superset of a set that fails this can be minimal.
-
-The number of steps is the size of the largest minimal set, not the number of non-keys.
-Everything is equi-joins on column positions over frames written to the shared folder.
+("holes"). They are grown one column per step, all at once, beside their *critical lists*: a row
+for each set and each hole that the set misses or hits with one column only. Those rows decide
+everything, and they are all a larger set needs:
+
+* a set that misses no hole is finished;
+* any other is extended by each column of one hole that it misses (the smallest, to branch
+  least), and the new column turns rows of missed holes into hits, or drops rows hit twice;
+* a set stays only while each of its columns is the only hit of some hole. No superset of a set
+  that fails this can be minimal.
+
+So holes are joined with sets once, at the start; a step is one equi-join of the rows with the
+extensions of their own set. The number of steps is the size of the largest minimal set, not the
+number of non-keys. Rows stay in long form: no set's list is collected.
 """
 
 from __future__ import annotations
@@ -24,50 +27,64 @@ from keyloom.operators import combos as C
 from keyloom.staging import Stage
 
 
-def _with_open_hole(sets: DataFrame, nonkeys: DataFrame, width: int) -> DataFrame:
-    """``combo, cols, hole``: the smallest complement the set misses, null when none."""
-    outside = nonkeys.select(
+def first_lists(start: DataFrame, nonkeys: DataFrame, width: int) -> DataFrame:
+    """``combo, cols, out, hit``: for each set the holes it misses (``hit`` null) or hits with one column.
+
+    These are the holes of the non-keys that hold the set but for at most one column, so the rest of the
+    set is looked up. A set of one column has no rest and meets every hole. The empty set is a non-key.
+    """
+    tops = nonkeys.select("cols")
+    none = start.sparkSession.range(1).select(F.array().cast("array<int>").alias("cols"))
+    everyone = F.transform(cs.universe(width), lambda c: F.concat(F.lit("only "), c.cast("string")))
+    holes = tops.unionByName(none).select(
         F.col("cols").alias("top"),
         F.array_sort(F.array_except(cs.universe(width), F.col("cols"))).alias("out"),
-        F.explode("cols").alias("pivot"),
+        F.explode(F.concat(C.all_pairs(F.col("cols")), everyone)).alias("key"),
     )
-    missed = (
-        sets.join(
-            outside,
-            (F.col("cols")[0] == F.col("pivot")) & cs.is_subset(F.col("cols"), F.col("top")),
-            "left",
-        )
-        .groupBy("combo", "cols")
-        .agg(F.min(F.when(F.col("out").isNotNull(), F.struct(F.size("out").alias("s"), "out"))).alias("m"))
+    parts = start.select("combo", F.col("cols").alias("whole"), F.explode("cols").alias("x"))
+    rests = C.with_own_pair(parts.withColumn("cols", cs.drop(F.col("whole"), F.col("x"))), tops)
+    alone = F.concat(F.lit("only "), F.col("x").cast("string"))
+    asked = rests.withColumn("key", F.when(F.size("whole") == 1, alone).otherwise(F.col("own_pair")))
+    missed = F.array_contains("top", F.col("x"))
+    return (
+        asked.join(holes, "key")
+        .where(cs.is_subset(F.col("cols"), F.col("top")) & (~missed | (F.col("x") == F.col("whole")[0])))
+        .select("combo", F.col("whole").alias("cols"), "out", F.when(~missed, F.col("x")).alias("hit"))
     )
-    return missed.select("combo", "cols", F.col("m.out").alias("hole"))
 
 
-def _extend(open_sets: DataFrame) -> DataFrame:
-    grown = open_sets.select("cols", F.explode("hole").alias("x")).select(
-        cs.add(F.col("cols"), F.col("x")).alias("cols")
+def needed_sets(lists: DataFrame) -> DataFrame:
+    """``combo, cols, hole``: the sets whose columns are all needed, with their smallest missed hole, if any."""
+    hole = F.when(F.col("hit").isNull(), F.struct(F.size("out").alias("s"), "out"))
+    return (
+        lists.groupBy("combo", "cols")
+        .agg(F.min(hole).alias("m"), F.size(F.collect_set("hit")).alias("needed"))
+        .where(F.col("needed") == F.size("cols"))
+        .select("combo", "cols", F.col("m.out").alias("hole"))
     )
-    return grown.select(cs.combo_text(F.col("cols")).alias("combo"), "cols").dropDuplicates(["combo"])
 
 
-def _needed(sets: DataFrame, nonkeys: DataFrame) -> DataFrame:
-    """Sets (of two or more columns) in which every column is needed."""
-    parts = sets.select("combo", "cols", F.explode("cols").alias("x")).withColumn(
-        "rest", cs.drop(F.col("cols"), F.col("x"))
+def next_lists(lists: DataFrame, open_sets: DataFrame) -> DataFrame:
+    """The rows of all sets with one column more. Parents of one set have the same rows for it, so one
+    of them hands its own down."""
+    grown = open_sets.select("combo", "cols", F.explode("hole").alias("x")).select(
+        F.col("combo").alias("parent"), cs.add(F.col("cols"), F.col("x")).alias("larger"), "x"
     )
-    top = nonkeys.select(F.col("cols").alias("top"), F.explode("cols").alias("pivot"))
+    heirs = (
+        grown.groupBy("larger")
+        .agg(F.min(F.struct("parent", "x")).alias("by"))
+        .select("larger", F.col("by.parent").alias("combo"), F.col("by.x").alias("x"))
+    )
+    has = F.array_contains("out", F.col("x"))
     return (
-        parts.join(
-            top,
-            (F.col("rest")[0] == F.col("pivot"))
-            & cs.is_subset(F.col("rest"), F.col("top"))
-            & ~F.array_contains("top", F.col("x")),
-            "left_semi",
+        lists.join(heirs, "combo")
+        .where(F.col("hit").isNull() | ~has)
+        .select(
+            cs.combo_text(F.col("larger")).alias("combo"),
+            F.col("larger").alias("cols"),
+            "out",
+            F.coalesce("hit", F.when(has, F.col("x"))).alias("hit"),
         )
-        .groupBy("combo", "cols")
-        .agg(F.count(F.lit(1)).alias("needed"))
-        .where(F.col("needed") == F.size("cols"))
-        .select("combo", "cols")
     )
 
 
@@ -77,13 +94,13 @@ def grow(start: DataFrame, nonkeys: DataFrame, width: int, stage: Stage, max_siz
     if max_size is not None:
         is_open = is_open & (F.size("cols") < max_size)
     finished = []
-    level, n_open = stage.put_counted(_with_open_hole(start, nonkeys, width), "grow", is_open)
+    lists = stage.put(first_lists(start, nonkeys, width), "lists")
     while True:
+        level, n_open = stage.put_counted(needed_sets(lists), "grow", is_open)
         finished.append(level.where(F.col("hole").isNull()).select("combo", "cols"))
         if not n_open:
             break
-        following = _needed(_extend(level.where(is_open)), nonkeys)
-        level, n_open = stage.put_counted(_with_open_hole(following, nonkeys, width), "grow", is_open)
+        lists = stage.put(next_lists(lists, level.where(is_open)), "lists")
     out = finished[0]
     for f in finished[1:]:
         out = out.unionByName(f)

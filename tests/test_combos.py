@@ -132,6 +132,53 @@ def test_hitting_sets_edges(spark):
     assert sets_of(hitting_sets(none, 3)) == {(0,), (1,), (2,)}
 
 
+def test_hitting_sets_of_many_nonkeys(spark):
+    """20 columns, 1,000 random non-keys, beside brute force over all sets as bits."""
+    import numpy as np
+
+    width, rng = 20, random.Random(7)
+    nonkeys = [tuple(sorted(rng.sample(range(width), rng.randint(2, 5)))) for _ in range(1000)]
+    inside = np.zeros(2**width, bool)
+    inside[[sum(1 << c for c in k) for k in nonkeys]] = True
+    masks = np.arange(2**width)
+    for c in range(width):  # what lies inside a larger set lies inside
+        without = masks[(masks >> c) & 1 == 0]
+        inside[without] |= inside[without | 1 << c]
+    minimal = ~inside
+    for c in range(width):
+        having = masks[(masks >> c) & 1 == 1]
+        minimal[having] &= inside[having ^ 1 << c]
+    found = hitting_sets(C.combo_frame(spark, nonkeys), width)
+    assert {sum(1 << c for c in s) for s in sets_of(found)} == set(np.flatnonzero(minimal).tolist())
+
+
+def test_a_level_of_hitting_sets_is_one_join(spark, tmp_path):
+    from keyloom.plans import hitting as H
+
+    nonkeys = C.combo_frame(spark, [(0, 1, 2), (2, 3), (1, 4)]).select("combo", "cols")
+    H.first_lists(H.single_sets(spark, 5), nonkeys, 5).write.parquet(f"{tmp_path}/lists")
+    lists = spark.read.parquet(f"{tmp_path}/lists")
+    H.needed_sets(lists).write.parquet(f"{tmp_path}/sets")
+    following = H.next_lists(lists, spark.read.parquet(f"{tmp_path}/sets").where("hole IS NOT NULL"))
+    plan = following._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
+    assert H.needed_sets(lists)._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 0
+
+
+def test_grow_from_larger_sets(spark):
+    """Start sets of any size: all minimal sets above them, none whose columns are not all needed."""
+    from keyloom.plans import hitting as H
+    from keyloom.staging import Stage
+
+    rng = random.Random(3)
+    nonkeys = list({tuple(sorted(rng.sample(range(WIDTH), rng.randint(1, 4)))) for _ in range(7)})
+    every = minimal_hitting_sets(nonkeys, WIDTH)
+    top = C.maximal(C.combo_frame(spark, nonkeys)).select("combo", "cols")
+    for start in ([(0,), (1, 2)], [(0, 3), (1, 2, 4)], [(2,), (2, 3), (0, 1, 5)]):
+        got = sets_of(H.grow(C.combo_frame(spark, start).select("combo", "cols"), top, WIDTH, Stage(spark)))
+        assert got == {k for k in every if any(set(s) <= set(k) for s in start)}
+
+
 def test_hitting_sets_wide(spark):
     """More than 63 columns: positions, not bits."""
     width = 80
