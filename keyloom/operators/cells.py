@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from keyloom.functions import values as V
+from keyloom.operators import collations
 
 # A group is heavy when it holds at least 1/HEAVY_SHARE of its column's rows, so a column
 # has at most HEAVY_SHARE heavy groups: the broadcast list is bounded by the schema.
@@ -21,6 +22,7 @@ SALTS = 32
 def cells(df: DataFrame, row_id: str, columns: list[str] | None = None) -> DataFrame:
     """``row_id, col_idx, col_name, value``: one record per row and column, as text."""
     columns = columns or [c for c in df.columns if c != row_id]
+    df = collations.plain(df.select(*[f"`{c}`" for c in dict.fromkeys([row_id, *columns])]))
     types = {f.name: f.dataType for f in df.schema.fields}
     record = F.array(
         *[

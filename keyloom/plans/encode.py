@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keyloom.functions import values as V
+from keyloom.operators import collations
 from keyloom.staging import Stage, spread
 
 SEEDS = (42, 1013)
@@ -92,7 +93,9 @@ def _collides(df: DataFrame, coded: dict[int, list[Column]]) -> bool:
 
 def encode(df: DataFrame, stage: Stage, nulls_equal: bool = True) -> Codes:
     """Write ``df`` as codes. The source is read once to prove the codes of its wide columns
-    and once to write; the rows are counted while they are written."""
+    and once to write; the rows are counted while they are written. Collated strings become plain
+    ones first."""
+    df = collations.plain(df, stage)
     types = [f.dataType for f in df.schema.fields]
     hashed = [i for i, t in enumerate(types) if not V.is_fixed_width(t)]
     for shift in range(3):

@@ -1,5 +1,6 @@
 """Fixtures with known answers, and random tables against brute force."""
 
+import itertools
 import random
 
 import pytest
@@ -10,6 +11,7 @@ from keyloom.functions import values as V
 from keyloom.operators import combos as C
 from keyloom.operators import fingerprint as P
 from keyloom.operators import keyerror as K
+from keyloom.operators.cells import cells
 from keyloom.plans import evidence, levelwise
 from keyloom.plans.encode import encode
 from keyloom.plans.hitting import hitting_sets
@@ -290,3 +292,35 @@ def test_sample_rules_out(spark):
 def test_level_generation(spark):
     nonkeys = C.combo_frame(spark, [(0, 1), (0, 2), (1, 2), (1, 3)])
     assert sets_of(levelwise.next_level(nonkeys, 4)) == {(0, 1, 2)}
+
+
+COLLATED = """
+    select id, v collate UTF8_LCASE as v, w collate UTF8_LCASE as w, array(v collate UTF8_LCASE) as list,
+           named_struct('x', v collate UTF8_LCASE, 'k1', 0.0D) as pair, map(w collate UTF8_LCASE, id % 2) as m
+    from values (1, 'a', 'p'), (2, 'A', 'P'), (3, 'b', 'q'), (4, 'B', 'r'), (5, 'c', 'Q') as t(id, v, w)
+"""
+
+
+@pytest.mark.parametrize("method", ["evidence", "levels"])
+def test_collated_strings_follow_their_collation(spark, method):
+    """'a' and 'A' are one value, also inside nested values; grouping is the measure."""
+    df = spark.sql(COLLATED).drop("id")
+    found = sets_of(keyloom.minimal_keys(df, method=method))
+    keys = []
+    for size in range(1, 6):
+        for combo in itertools.combinations(range(5), size):
+            if any(set(k) <= set(combo) for k in keys):
+                continue
+            if df.groupBy(*[df.columns[c] for c in combo]).count().where("count > 1").isEmpty():
+                keys.append(combo)
+    assert found == set(keys)
+    assert (0,) not in found and (1,) not in found and (0, 1) not in found
+
+
+def test_collated_cells_and_nulls(spark):
+    df = spark.sql("select id, v collate UTF8_LCASE as v from values (1, 'a'), (2, 'A'), (3, null), (4, 'b') as t(id, v)")
+    got = {r.row_id: r.value for r in cells(df, "id").collect()}
+    assert got == {1: "A", 2: "A", 3: None, 4: "b"}
+    assert sets_of(keyloom.minimal_keys(df.select("v"))) == set()
+    plain = df.select(df.id, df.v.cast("string").alias("v"))
+    assert sets_of(keyloom.minimal_keys(plain.select("v"))) == {(0,)}
