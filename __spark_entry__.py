@@ -281,9 +281,9 @@ def _complement(spark, sf_dir):
     return _sets(C.complement(_pairs(spark, sf_dir, "part", False), cs.universe(6)))
 
 
-def _key_overlap(spark, sf_dir):
-    errors = _errors(spark, sf_dir, "orders", [2])
-    pairs = C.overlapping(errors.where("key_error = 0"), errors.where("key_error > 0"))
+def _key_overlap(spark, sf_dir, at_least=1, sizes=[2]):
+    errors = _errors(spark, sf_dir, "orders", sizes)
+    pairs = C.overlapping(errors.where("key_error = 0"), errors.where("key_error > 0"), at_least)
     both = C.combine(pairs, "a_cols", "b_cols")
     return both.select(
         *[
@@ -296,6 +296,10 @@ def _key_overlap(spark, sf_dir):
     )
 
 
+def _key_overlap_two(spark, sf_dir):
+    return _key_overlap(spark, sf_dir, 2, [2, 3])
+
+
 def _keys_ordered(spark, sf_dir):
     return _sets(C.canonical_order(_errors(spark, sf_dir, "orders").where("key_error = 0")))
 
@@ -549,6 +553,7 @@ def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "maximal_combos": _maximal_combos,
         "complement": _complement,
         "key_overlap": _key_overlap,
+        "key_overlap_two": _key_overlap_two,
         "keys_ordered": _keys_ordered,
         "combo_set_ops": _combo_set_ops,
         "minimal_keys": _minimal_keys("orders"),
@@ -877,6 +882,12 @@ def own_sql() -> dict[str, str]:
             f"{_combo('(k.mask & n.mask)', 6)} AS common, {_combo('(k.mask & (63 - n.mask))', 6)} AS key_only "
             "FROM e k JOIN e n ON k.key_error = 0 AND n.key_error > 0 AND (k.mask & n.mask) <> 0",
         ),
+        "key_overlap_two": _with(
+            _counts("orders", orders, [2, 3]),
+            f"SELECT k.combo AS key, n.combo AS nonkey, {_combo('(k.mask | n.mask)', 6)} AS together, "
+            f"{_combo('(k.mask & n.mask)', 6)} AS common, {_combo('(k.mask & (63 - n.mask))', 6)} AS key_only "
+            "FROM e k JOIN e n ON k.key_error = 0 AND n.key_error > 0 AND bit_count(k.mask & n.mask) >= 2",
+        ),
         "keys_ordered": _with(
             _counts("orders", orders),
             "SELECT combo, mask, size FROM e WHERE key_error = 0 ORDER BY size, combo",

@@ -230,11 +230,31 @@ def combine(pairs: DataFrame, a: str, b: str) -> DataFrame:
     )
 
 
-def overlapping(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Pairs of sets that share a column, found by equi-join on the shared column."""
-    left = a.select(F.col("cols").alias("a_cols"), F.explode("cols").alias("pivot"))
-    right = b.select(F.col("cols").alias("b_cols"), F.explode("cols").alias("pivot"))
-    return left.join(right, "pivot").select("a_cols", "b_cols").distinct()
+def overlapping(a: DataFrame, b: DataFrame, at_least: int = 1) -> DataFrame:
+    """Pairs of sets that share ``at_least`` columns or more: ``a_cols, b_cols``, each pair once.
+
+    Members are ranked by how few sets have them. Two sets with that much in common share a member
+    among all but the last ``at_least - 1`` of each, so only those are joined, and a pair is taken
+    where its first common member meets. Sets that are too small take no part.
+    """
+    if at_least < 1:
+        raise ValueError("sets that share nothing are not found by a join")
+    sets = {side: df.select("cols").dropDuplicates(["cols"]) for side, df in (("a", a), ("b", b))}
+    rarity = _rarity(sets["a"].unionAll(sets["b"]))
+
+    def listed(side: str) -> DataFrame:
+        ranked = F.transform(
+            F.array_sort(F.transform("cols", lambda c: F.struct(F.col("rarity")[c].alias("n"), c.alias("c")))),
+            lambda x: x["c"],
+        )
+        rows = sets[side].where(F.size("cols") >= at_least).withColumn("rarity", rarity)
+        rows = rows.select(F.col("cols").alias(f"{side}_cols"), ranked.alias(f"{side}_ranked"))
+        first = F.slice(f"{side}_ranked", F.lit(1), F.size(f"{side}_ranked") - (at_least - 1))
+        return rows.withColumn("pivot", F.explode(first))
+
+    common = F.array_intersect("a_ranked", "b_ranked")
+    pairs = listed("a").join(listed("b"), "pivot")
+    return pairs.where((F.size(common) >= at_least) & (common[0] == F.col("pivot"))).select("a_cols", "b_cols")
 
 
 def union(a: DataFrame, b: DataFrame) -> DataFrame:

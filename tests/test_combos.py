@@ -108,6 +108,28 @@ def test_algebra(spark, family, other):
         assert (r.union_cols, r.common_cols, r.only_cols) == (sorted(x | y), sorted(x & y), sorted(x - y))
 
 
+@pytest.mark.parametrize("at_least", [1, 2, 3])
+def test_overlap_of_at_least(spark, family, other, at_least):
+    twice = C.combo_frame(spark, [*family, *family])
+    rows = C.overlapping(twice, C.combo_frame(spark, other), at_least).collect()
+    got = [(tuple(r.a_cols), tuple(r.b_cols)) for r in rows]
+    assert len(got) == len(set(got))
+    assert set(got) == {(f, o) for f in family for o in other if len(set(f) & set(o)) >= at_least}
+    assert C.overlapping(C.combo_frame(spark, []), twice, at_least).count() == 0
+
+
+def test_overlap_joins_only_rare_members(spark):
+    """A member that all sets have joins nothing once two must be shared."""
+    from pyspark.sql import functions as F
+
+    sets = C.combo_frame(spark, [(0, k, k + 1) for k in range(1, 200, 2)])
+    pairs = C.overlapping(sets, sets, 2)
+    assert pairs.count() == 100
+    with pytest.raises(ValueError):
+        C.overlapping(sets, sets, 0)
+    assert C.overlapping(sets, sets).where(F.col("a_cols") != F.col("b_cols")).count() == 100 * 99
+
+
 def test_canonical_order(spark, family):
     rows = [tuple(r.cols) for r in C.canonical_order(C.combo_frame(spark, family)).collect()]
     assert rows == sorted(family, key=lambda f: (len(f), f))
