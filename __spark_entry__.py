@@ -338,6 +338,27 @@ def _minimal_keys_evidence(spark, sf_dir):
     return _keys(D.minimal_keys(table(spark, sf_dir, "orders"), method="evidence"))
 
 
+def _maximal_nonkeys_of_two(spark, sf_dir):
+    return _sets(D.maximal_nonkeys(table(spark, sf_dir, "orders"), max_size=2))
+
+
+def _maximal_nonkeys_without(spark, sf_dir):
+    """No set that holds both the customer and the order's date."""
+    both = F.array_contains("cols", 1) & F.array_contains("cols", 4)
+    return _sets(D.maximal_nonkeys(table(spark, sf_dir, "orders"), exclude=both))
+
+
+def _minimal_keys_any_order(spark, sf_dir):
+    """Rows dealt anew and columns from right to left, the result in the table's own positions."""
+    df = table(spark, sf_dir, "part")
+    n = len(df.columns)
+    found = D.minimal_keys(df.repartition(7, "p_size").select(*reversed(df.columns)))
+    own = F.array_sort(F.transform("cols", lambda c: n - 1 - c))
+    named = F.transform("own", lambda c: F.array(*[F.lit(x) for x in df.columns])[c])
+    found = found.select(own.alias("own"), "key_error")
+    return _keys(cs.describe(found.select(F.col("own").alias("cols"), named.alias("names"), "key_error"), "names", "key_error"))
+
+
 def _maximal_nonkeys_evidence(spark, sf_dir):
     return _sets(D.maximal_nonkeys(table(spark, sf_dir, "part"), method="evidence"))
 
@@ -561,6 +582,9 @@ def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "minimal_keys_levels": _minimal_keys_levels,
         "minimal_keys_evidence": _minimal_keys_evidence,
         "maximal_nonkeys_evidence": _maximal_nonkeys_evidence,
+        "maximal_nonkeys_of_two": _maximal_nonkeys_of_two,
+        "maximal_nonkeys_without": _maximal_nonkeys_without,
+        "minimal_keys_any_order": _minimal_keys_any_order,
         "minimal_keys_tolerant": _minimal_keys_tolerant,
         "minimal_keys_tolerant_part": _minimal_keys_tolerant_part,
         "same_clusters": _same_clusters,
@@ -904,6 +928,14 @@ def own_sql() -> dict[str, str]:
         "minimal_keys_levels": _sql_keys("part", part),
         "minimal_keys_evidence": _sql_keys("orders", orders),
         "maximal_nonkeys_evidence": _sql_nonkeys("part", part),
+        "maximal_nonkeys_of_two": _with(
+            _counts("orders", orders, [1, 2]), f"SELECT combo, mask, size FROM e u WHERE {_maximal_where()}"
+        ),
+        "maximal_nonkeys_without": _with(
+            _counts("orders", orders) + ", a AS (SELECT * FROM e WHERE (mask & 18) <> 18)",
+            f"SELECT combo, mask, size FROM a u WHERE {_maximal_where().replace('FROM e ', 'FROM a ')}",
+        ),
+        "minimal_keys_any_order": _sql_keys("part", part),
         "minimal_keys_tolerant": _sql_keys("orders", orders, TOLERANCE),
         "minimal_keys_tolerant_part": _sql_keys("part", part, TOLERANCE),
         "same_clusters": " UNION ALL ".join(

@@ -75,9 +75,30 @@ def minimal_keys(df: DataFrame, tolerance: int = 0, nulls_equal: bool = True,
     return _named(found, df.columns, "key_error")
 
 
+def _within(sets: DataFrame, max_size: int | None, exclude: Column | None, stage: Stage) -> DataFrame:
+    """The largest subsets of ``sets`` that have at most ``max_size`` columns and are not excluded."""
+    if max_size is not None:
+        cut = C.combos_of_size(sets.where(F.col("size") > max_size), max_size)
+        sets = C.union(sets.where(F.col("size") <= max_size), cut).where(F.col("size") > 0)
+    if exclude is None:
+        return sets if max_size is None else C.maximal(stage.put(sets, "within"))
+    out = F.coalesce(exclude, F.lit(False))
+    level, n_out = stage.put_counted(sets.select("combo", "cols", "mask", "size"), "within", out)
+    kept = level.where(~out)
+    while n_out:  # one column less each time
+        level, n_out = stage.put_counted(C.direct_subsets(level.where(out)), "within", out)
+        kept = kept.unionByName(level.where(~out))
+    return C.maximal(kept)
+
+
 def maximal_nonkeys(df: DataFrame, tolerance: int = 0, nulls_equal: bool = True,
-                    columns: Sequence[str] | None = None, method: str = "evidence") -> DataFrame:
-    """Largest sets of columns that still leave more than ``tolerance`` rows unidentified."""
+                    columns: Sequence[str] | None = None, max_size: int | None = None,
+                    exclude: Column | None = None, method: str = "evidence") -> DataFrame:
+    """Largest sets of columns that still leave more than ``tolerance`` rows unidentified.
+
+    With ``max_size`` or ``exclude`` (as in :func:`minimal_keys`), the largest among the sets that they
+    allow. The search itself is complete: the allowed sets are cut from the whole border.
+    """
     _check_method(method)
     df = _columns(df, columns)
     stage = Stage(df.sparkSession)
@@ -88,6 +109,8 @@ def maximal_nonkeys(df: DataFrame, tolerance: int = 0, nulls_equal: bool = True,
         found = evidence.run(codes, stage, tolerance=tolerance).nonkeys
     else:
         found = C.maximal(levelwise.run(codes, stage, tolerance).where("not is_key"))
+    if max_size is not None or exclude is not None:
+        found = _within(cs.describe(found), max_size, exclude, stage)
     return _named(found, df.columns)
 
 

@@ -324,3 +324,22 @@ def test_collated_cells_and_nulls(spark):
     assert sets_of(keyloom.minimal_keys(df.select("v"))) == set()
     plain = df.select(df.id, df.v.cast("string").alias("v"))
     assert sets_of(keyloom.minimal_keys(plain.select("v"))) == {(0,)}
+
+
+def test_nonkeys_within_limits(spark):
+    rng = random.Random(11)
+    rows = [tuple(rng.randint(0, 2) for _ in range(5)) for _ in range(24)]
+    df = frame(spark, rows)
+    failing = [c for c in brute.all_sets(5) if brute.key_error(rows, c)]
+
+    def largest(allowed):
+        rest = [c for c in failing if allowed(c)]
+        return {k for k in rest if not any(set(o) > set(k) for o in rest)}
+
+    for n in (1, 2, 4):
+        assert sets_of(keyloom.maximal_nonkeys(df, max_size=n)) == largest(lambda c: len(c) <= n)
+    assert keyloom.maximal_nonkeys(df, max_size=0).count() == 0
+    out = F.array_contains("cols", 0) & F.array_contains("cols", 2)
+    assert sets_of(keyloom.maximal_nonkeys(df, exclude=out)) == largest(lambda c: not {0, 2} <= set(c))
+    got = sets_of(keyloom.maximal_nonkeys(df, max_size=3, exclude=out, method="levels"))
+    assert got == largest(lambda c: len(c) <= 3 and not {0, 2} <= set(c))
