@@ -15,6 +15,7 @@ def column(spark, values):
 
 def test_worked_example(spark):
     """Values a a b c b c give the clusters (0,1) (2,4) (3,5)."""
+    # The worked example of the definitions, rows and clusters as given there.
     cells = L.cells(column(spark, "aabcbc"), "id")
     shown = L.cluster_rows(L.membership(cells)).collect()
     assert sorted(tuple(r.rows) for r in shown) == [(0, 1), (2, 4), (3, 5)]
