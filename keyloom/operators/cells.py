@@ -12,11 +12,13 @@ from pyspark.sql import Window as W
 
 from keyloom.functions import values as V
 from keyloom.operators import collations
+from keyloom.staging import Stage
 
-# A group is heavy when it holds at least 1/HEAVY_SHARE of its column's rows, so a column
-# has at most HEAVY_SHARE heavy groups: the broadcast list is bounded by the schema.
-HEAVY_SHARE = 64
-SALTS = 32
+# A task is meant to take a SHARE-th of a column's rows; a larger group is dealt to as many tasks as it has
+# such parts. At most SHARE groups of a column are larger: the broadcast list is bounded by the schema.
+SHARE = 1024
+# A group of so few rows is not worth dealing out.
+LEAST_ROWS = 10_000
 
 
 def cells(df: DataFrame, row_id: str, columns: list[str] | None = None) -> DataFrame:
@@ -48,45 +50,33 @@ def clusters(cell_rows: DataFrame, nulls_equal: bool = True) -> DataFrame:
     )
 
 
-def _label_rows(rows: DataFrame, groups: DataFrame, keys: list[str], scope: list[str]) -> DataFrame:
-    """Equi-join ``rows`` to their group on ``keys`` (null-safe), salted where a group is heavy.
+def _label_rows(rows: DataFrame, groups: DataFrame, keys: list[str], scope: list[str], stage: Stage,
+                least_rows: int = LEAST_ROWS) -> DataFrame:
+    """Equi-join ``rows`` to their group on ``keys`` (null-safe); a large group is dealt to several tasks.
 
-    The heavy groups are listed by a fixed-width hash and broadcast (at most HEAVY_SHARE
-    per ``scope``). Rows of a heavy group get a salt from their row id and the group is
-    repeated once per salt, so no task receives the group whole. The hash only places
-    rows; the join itself compares the keys, and both sides consult the same list.
+    The groups are written once, and their own counts say how many parts each needs: its rows over the
+    rows that a task should take (a ``SHARE``-th of the rows per ``scope``, but at least ``least_rows``).
+    Groups of two parts or more, at most ``SHARE`` per ``scope``, are listed by a fixed-width hash and
+    broadcast. Their rows get a part from the row id and the group is repeated once per part. The hash
+    only places rows; the join itself compares the keys, and both sides consult the same list.
     """
-    groups = groups.withColumn("fp", F.xxhash64(*keys))
-    totals = groups.groupBy(*scope).agg((F.sum("n") / HEAVY_SHARE).alias("floor"))
+    groups = stage.put(groups.withColumn("fp", F.xxhash64(*keys)), "groups")
+    per_task = F.greatest(F.sum("n") / SHARE, F.lit(float(least_rows)))
+    totals = groups.groupBy(*scope).agg(per_task.alias("per_task"))
     if scope:
         # one total per column; the clusters themselves must not be shuffled by column
-        heavy = groups.select(*scope, "fp", "n").join(F.broadcast(totals), scope).where("n >= floor")
+        sized = groups.select(*scope, "fp", "n").join(F.broadcast(totals), scope)
     else:
-        floor = F.lit(totals.scalar())
-        heavy = groups.select("fp", "n").where(F.col("n") >= floor)
-    heavy = F.broadcast(heavy.select(*scope, "fp").distinct().withColumn("heavy", F.lit(True)))
-
-    rows = (
-        rows.withColumn("fp", F.xxhash64(*keys))
-        .join(heavy, [*scope, "fp"], "left")
-        .withColumn(
-            "salt",
-            F.when(F.col("heavy"), F.pmod(F.xxhash64("row_id"), F.lit(SALTS)).cast("int")).otherwise(0),
-        )
-        .drop("heavy", "fp")
-    )
-    groups = (
-        groups.join(heavy, [*scope, "fp"], "left")
-        .withColumn(
-            "salt",
-            F.explode(
-                F.when(F.col("heavy"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(
-                    F.array(F.lit(0))
-                )
-            ),
-        )
-        .drop("heavy", "fp")
-    )
+        sized = groups.select("fp", "n").withColumn("per_task", F.lit(totals.scalar()))
+    parts = sized.where("n > per_task").groupBy(*scope, "fp")
+    parts = F.broadcast(parts.agg(F.ceil(F.max(F.col("n") / F.col("per_task"))).alias("parts")))
+
+    part = F.pmod(F.xxhash64("row_id"), F.coalesce("parts", F.lit(1).cast("bigint")))
+    rows = rows.withColumn("fp", F.xxhash64(*keys)).join(parts, [*scope, "fp"], "left")
+    rows = rows.withColumn("salt", part).drop("parts", "fp")
+    copies = F.sequence(F.lit(0).cast("bigint"), F.coalesce("parts", F.lit(1).cast("bigint")) - 1)
+    groups = groups.join(parts, [*scope, "fp"], "left")
+    groups = groups.withColumn("salt", F.explode(copies)).drop("parts", "fp")
     on = F.col("r.salt") == F.col("g.salt")
     for k in keys:
         on = on & F.col(f"r.{k}").eqNullSafe(F.col(f"g.{k}"))
@@ -95,9 +85,8 @@ def _label_rows(rows: DataFrame, groups: DataFrame, keys: list[str], scope: list
 
 def membership(cell_rows: DataFrame, nulls_equal: bool = True) -> DataFrame:
     """``col_idx, col_name, row_id, cluster_id`` of every row that shares its value."""
-    joined = _label_rows(
-        cell_rows, clusters(cell_rows, nulls_equal), ["col_idx", "value"], ["col_idx"]
-    )
+    stage = Stage(cell_rows.sparkSession)
+    joined = _label_rows(cell_rows, clusters(cell_rows, nulls_equal), ["col_idx", "value"], ["col_idx"], stage)
     return joined.select("r.col_idx", "r.col_name", "r.row_id", "g.cluster_id")
 
 
@@ -119,18 +108,18 @@ def membership_of_combo(df: DataFrame, row_id: str, combo: list[str], nulls_equa
         *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(combo)],
     )
     keys = [f"k{i}" for i in range(len(combo))]
-    joined = _label_rows(rows, clusters_of_combo(rows, "row_id", keys), keys, [])
+    joined = _label_rows(rows, clusters_of_combo(rows, "row_id", keys), keys, [], Stage(df.sparkSession))
     return joined.select("r.row_id", "g.cluster_id")
 
 
-def intersect(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Clusters of two memberships taken together: ``cluster_a, cluster_b, cluster_id, n``.
-
-    Rows alone in either index are absent from it, so the inner join drops them.
-    """
-    both = a.select("row_id", F.col("cluster_id").alias("cluster_a")).join(
+def _both(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows alone in either index are absent from it, so the inner join drops them."""
+    return a.select("row_id", F.col("cluster_id").alias("cluster_a")).join(
         b.select("row_id", F.col("cluster_id").alias("cluster_b")), "row_id"
     )
+
+
+def _joint(both: DataFrame) -> DataFrame:
     return (
         both.groupBy("cluster_a", "cluster_b")
         .agg(F.min("row_id").alias("cluster_id"), F.count(F.lit(1)).alias("n"))
@@ -138,12 +127,16 @@ def intersect(a: DataFrame, b: DataFrame) -> DataFrame:
     )
 
 
+def intersect(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Clusters of two memberships taken together: ``cluster_a, cluster_b, cluster_id, n``."""
+    return _joint(_both(a, b))
+
+
 def intersect_membership(a: DataFrame, b: DataFrame) -> DataFrame:
-    """``row_id, cluster_id`` of the intersection, to intersect further."""
-    both = a.select("row_id", F.col("cluster_id").alias("cluster_a")).join(
-        b.select("row_id", F.col("cluster_id").alias("cluster_b")), "row_id"
-    )
-    joined = _label_rows(both, intersect(a, b), ["cluster_a", "cluster_b"], [])
+    """``row_id, cluster_id`` of the intersection, to intersect further. The two indexes are joined once."""
+    stage = Stage(a.sparkSession)
+    both = stage.put(_both(a, b), "both")
+    joined = _label_rows(both, _joint(both), ["cluster_a", "cluster_b"], [], stage)
     return joined.select("r.row_id", "g.cluster_id")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from keyloom.operators import cells as L
 from keyloom.operators import keyerror as K
+from keyloom.staging import Stage
 
 
 def column(spark, values):
@@ -124,3 +125,42 @@ def test_whole_clusters(spark):
     assert rows[0, 0] == list(range(1000)) and rows[1, 7] == [7, 507]
     long = [(r.col_idx, r.cluster_id, r.row_id) for r in L.cluster_members(members).collect()]
     assert long == sorted((i, c, r) for (i, c), own in rows.items() for r in own)
+
+
+def test_a_value_of_a_hundredth_of_the_rows_is_dealt_out(spark):
+    rows = spark.range(20_000).select(F.col("id").alias("row_id"), (F.col("id") % 100).alias("v"))
+    groups = L.clusters_of_combo(rows, "row_id", ["v"])
+    dealt = L._label_rows(rows, groups, ["v"], [], Stage(spark), least_rows=25)
+    got = dealt.groupBy("g.v").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("r.row_id").alias("ids"), F.countDistinct("r.salt").alias("parts"),
+        F.max("g.cluster_id").alias("first"),
+    ).collect()
+    assert len(got) == 100
+    assert all((r.n, r.ids, r.parts, r.first) == (200, 200, 8, r.v) for r in got)
+
+
+def test_parts_follow_the_rows_of_a_group(spark):
+    size = F.when(F.col("id") < 6_000, 0).when(F.col("id") < 6_500, 1).otherwise(F.col("id"))
+    rows = spark.range(9_000).select(F.col("id").alias("row_id"), F.nullif(size, F.lit(1)).alias("v"))
+    groups = L.clusters_of_combo(rows, "row_id", ["v"])
+    dealt = L._label_rows(rows, groups, ["v"], [], Stage(spark), least_rows=100)
+    got = {r.v: (r.n, r.parts) for r in dealt.groupBy("g.v").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("r.salt").alias("parts")).collect()}
+    assert got == {0: (6_000, 60), None: (500, 5)}
+
+
+def test_clusters_are_found_once(spark, tmp_path):
+    """The source is read once for the groups and once for the labels, and the groups are not found again."""
+    def read_in(df, what):
+        return df._jdf.queryExecution().optimizedPlan().toString().count(what)
+
+    path = str(tmp_path / "t")
+    spark.range(100).select("id", (F.col("id") % 7).alias("v"), (F.col("id") % 3).alias("w")).write.parquet(path)
+    df = spark.read.parquet(path)
+    one = L.membership(L.cells(df, "id"))
+    two = [L.membership_of_combo(df, "id", [c]) for c in ("v", "w")]
+    for m in (one, *two):
+        assert read_in(m, "Relation [id#") == 1
+    both = L.intersect_membership(*two)
+    assert read_in(both, "Relation [id#") == 0
+    assert {r.row_id: r.cluster_id for r in both.collect()} == {i: i % 21 for i in range(100)}
