@@ -3,8 +3,10 @@
 Discovery reads the same rows many times but only ever asks whether values are equal.
 So the table is written once as codes: values of at most eight bytes as they are, wider
 ones as two 64-bit hashes. The hash codes of each wide column are then *proved* to be
-one-to-one on this table, in one job, so every later count on codes is exact. Each
-candidate batch reads only the code columns it needs.
+one-to-one on this table, in one job, so every later count on codes is exact. Texts stay where
+they are in that job: up to 31 bytes are compared themselves, longer ones by their SHA-256 digest
+(two texts could only pass as one if they broke SHA-256). Each candidate batch reads only the
+code columns it needs.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from keyloom.operators import collations
 from keyloom.staging import Stage, spread
 
 SEEDS = (42, 1013)
+DIGEST_BYTES = 32  # of SHA-256
 ROW_ID = "rid"
 
 # A staged table of at most this many rows is left in the few files it came in.
@@ -61,34 +64,44 @@ def _codes(col: Column, dtype, i: int, shift: int) -> list[Column]:
     ]
 
 
-def _collides(df: DataFrame, coded: dict[int, list[Column]]) -> bool:
-    """Whether some code of a hashed column stands for two values.
+def _proof(value: Column) -> Column:
+    """At most 32 bytes that stand for a string or binary value: itself if it has less, else its digest."""
+    plain = value.cast("binary")
+    return F.when(F.octet_length(plain) < DIGEST_BYTES, plain).otherwise(F.unhex(F.sha2(plain, 8 * DIGEST_BYTES)))
+
 
-    One job, and one scan for all string columns together. Equal values fold map-side, so a
-    frequent value travels once per split.
+def _code_proofs(df: DataFrame, coded: dict[int, list[Column]]) -> DataFrame:
+    """``col_idx, a, b``: one row for each code of a hashed column and each value behind it.
+
+    One scan for all string and binary columns together, and no whole text in the shuffle. Equal values
+    fold map-side, so a frequent value travels once per split.
     """
     types = [f.dataType for f in df.schema.fields]
     value = {i: F.col(f"`{df.columns[i]}`") for i in coded}
-    text = [i for i in coded if type(types[i]) is T.StringType]
+    text = [i for i in coded if isinstance(types[i], (T.StringType, T.BinaryType))]
 
     def distinct_codes(rows: DataFrame) -> DataFrame:
         # grouping, unlike distinct(), also takes maps
         return rows.groupBy("col_idx", "a", "b", "v").count().select("col_idx", "a", "b")
 
+    def record(i: int, v: Column) -> list[Column]:
+        return [F.lit(i).alias("col_idx"), coded[i][0].alias("a"), coded[i][1].alias("b"), v.alias("v")]
+
     parts = []
     if text:
-        record = [
-            F.struct(F.lit(i).alias("col_idx"), coded[i][0].alias("a"), coded[i][1].alias("b"), value[i].alias("v"))
-            for i in text
-        ]
-        parts.append(distinct_codes(df.select(F.inline(F.array(*record)))))
+        records = F.array(*[F.struct(*record(i, _proof(value[i]))) for i in text])
+        parts.append(distinct_codes(df.select(F.inline(records))))
     for i in sorted(set(coded) - set(text)):
-        rows = df.select(F.lit(i).alias("col_idx"), coded[i][0].alias("a"), coded[i][1].alias("b"), value[i].alias("v"))
-        parts.append(distinct_codes(rows))
+        parts.append(distinct_codes(df.select(*record(i, value[i]))))
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
-    return not found.groupBy("col_idx", "a", "b").count().where("count > 1").isEmpty()
+    return found
+
+
+def _collides(df: DataFrame, coded: dict[int, list[Column]]) -> bool:
+    """Whether some code of a hashed column stands for two values."""
+    return not _code_proofs(df, coded).groupBy("col_idx", "a", "b").count().where("count > 1").isEmpty()
 
 
 def encode(df: DataFrame, stage: Stage, nulls_equal: bool = True) -> Codes:

@@ -12,6 +12,7 @@ from keyloom.operators import combos as C
 from keyloom.operators import fingerprint as P
 from keyloom.operators import keyerror as K
 from keyloom.operators.cells import cells
+from keyloom.plans import encode as E
 from keyloom.plans import evidence, levelwise
 from keyloom.plans.encode import encode
 from keyloom.plans.hitting import hitting_sets
@@ -343,3 +344,40 @@ def test_nonkeys_within_limits(spark):
     assert sets_of(keyloom.maximal_nonkeys(df, exclude=out)) == largest(lambda c: not {0, 2} <= set(c))
     got = sets_of(keyloom.maximal_nonkeys(df, max_size=3, exclude=out, method="levels"))
     assert got == largest(lambda c: len(c) <= 3 and not {0, 2} <= set(c))
+
+
+def exchanged(spark, df):
+    """The types of all columns that the plan of ``df`` sends through a shuffle."""
+    def below(node):
+        yield node
+        for i in range(node.children().size()):
+            yield from below(node.children().apply(i))
+
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = [n for n in below(df._jdf.queryExecution().executedPlan()) if n.nodeName() == "Exchange"]
+        return [n.output().apply(i).dataType().simpleString() for n in found for i in range(n.output().size())]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def test_no_text_is_shuffled_to_prove_codes(spark):
+    texts = ["", "x" * 31, "x" * 32, "y" * 100_000, "ä" * 16, None]
+    df = spark.createDataFrame([(t, (t or "").encode()) for t in texts], "t string, b binary")
+    df = spark.createDataFrame(df.toArrow())
+    coded = {i: E._codes(F.col(c), f.dataType, i, 0) for i, (c, f) in enumerate(zip(df.columns, df.schema.fields))}
+    types = exchanged(spark, E._code_proofs(df, coded))
+    assert types and "string" not in types
+    sizes = df.select(F.octet_length(E._proof(F.col("t"))).alias("n")).collect()
+    assert [r.n for r in sizes] == [0, 31, 32, 32, 32, None]
+    assert not E._collides(df, coded)
+
+
+@pytest.mark.parametrize("pair", [("a", "b"), ("x" * 50, "x" * 49 + "y"), ("x" * 31, "x" * 32), ("", None)])
+def test_codes_of_two_values_are_found_out(spark, pair):
+    one = [F.lit(1).cast("bigint").alias("a0"), F.lit(2).cast("bigint").alias("b0")]
+    for dtype, rows in (("string", pair), ("binary", [None if p is None else p.encode() for p in pair])):
+        df = spark.createDataFrame([(v,) for v in [*rows, *rows]], f"v {dtype}")
+        assert E._collides(df, {0: one})
+        assert not E._collides(df.where(F.col("v") == F.lit(rows[0])), {0: one})
