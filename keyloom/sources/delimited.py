@@ -31,27 +31,45 @@ class Parsed:
     rejects: DataFrame
 
 
-def _heads(spark: SparkSession, path: str) -> dict[str, int]:
-    """The distinct first lines of the files, with the number of files that begin with each."""
-    place = F.col("_metadata.file_block_start")
-    lines = spark.read.text(path).select(
-        "value", F.col("_metadata.file_path").alias("file"), place.alias("place"), F.monotonically_increasing_id().alias("id")
-    )
-    first = lines.groupBy("file").agg(F.min_by("value", F.struct("place", "id")).alias("value"))
-    return {r.value: r.n for r in first.groupBy("value").agg(F.count(F.lit(1)).alias("n")).collect()}
-
+def _heads(spark: SparkSession, path: str, known: str, check: Callable[[str], None]) -> dict[str, tuple[int, int]]:
+    """The distinct first lines of the files: how many files begin with each, and how many lines are equal to it.
 
-def _body(spark: SparkSession, path: str, names: list[str], split: Callable[[str], list[str]]) -> DataFrame:
-    """The lines without the header lines."""
-    lines, heads = spark.read.text(path).select("value"), _heads(spark, path)
-    for head in heads:
+    One scan, in which the lines equal to the ``known`` header are counted, too; files whose header is
+    written in another way cost a second one. ``check`` may raise at any first line; no more are fetched then.
+    """
+    lines = spark.read.text(path)
+    same, place = F.col("value") == F.lit(known), F.col("_metadata.file_block_start")
+    near = lines.select(
+        "value", F.col("_metadata.file_path").alias("file"), place.alias("place"), F.monotonically_increasing_id().alias("id")
+    ).where((F.col("place") == 0) | same)
+    first = near.groupBy("file").agg(F.min_by("value", F.struct("place", "id")).alias("value"), F.count_if(same).alias("same"))
+    begins, n_known = {}, 0
+    for r in first.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.sum("same").alias("same")).toLocalIterator():
+        check(r.value)
+        begins[r.value] = r.n
+        n_known += r.same
+    count = {known: n_known}
+    if others := [h for h in begins if h != known]:
+        found = lines.where(F.col("value").isin(*others)).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+        count |= {r.value: r.n for r in found.collect()}
+    return {h: (n, count[h]) for h, n in begins.items()}
+
+
+def _body(spark: SparkSession, path: str, first_line: str, split: Callable[[str], list[str]]) -> DataFrame:
+    """The lines without the header lines, in one scan. Further lines that are equal to a header are
+    made again from their number."""
+    names = split(first_line)
+
+    def check(head: str) -> None:
         if split(head) != names:
             raise ValueError(f"headers differ in {path}: {names} and {split(head)}")
-    n_heads = F.coalesce(*[F.when(F.col("value") == h, F.lit(n)) for h, n in heads.items()])
-    more = lines.where(F.col("value").isin(*heads)).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
-    copies = F.sequence(F.lit(1).cast("bigint"), F.col("n") - n_heads)
-    more = more.where(F.col("n") > n_heads).select("value", F.explode(copies)).select("value")
-    return lines.where(~F.col("value").isin(*heads)).unionAll(more)
+
+    heads = _heads(spark, path, first_line, check)
+    body = spark.read.text(path).select("value").where(~F.col("value").isin(*heads))
+    for head, (n_files, n_lines) in heads.items():
+        if n_lines > n_files:
+            body = body.unionAll(spark.range(n_lines - n_files).select(F.lit(head).alias("value")))
+    return body
 
 
 def _split(lines: DataFrame, names: Sequence[str], sep: str) -> Parsed:
@@ -96,15 +114,15 @@ def read_comma(spark: SparkSession, path: str, n_columns: int = -1) -> Parsed:
     def split(line: str) -> list[str]:
         return [n.strip() for n in line.split(",")]
 
-    names = split(_first_line(spark, path))
-    parsed = _split(_body(spark, path, names, split), _unique(names), ",")
+    first = _first_line(spark, path)
+    parsed = _split(_body(spark, path, first, split), _unique(split(first)), ",")
     return Parsed(first_n_columns(parsed.good, n_columns), parsed.rejects)
 
 
 def read_tab(spark: SparkSession, path: str, n_columns: int = -1) -> Parsed:
     """Tab-separated text; the header line is split on any whitespace."""
-    names = _first_line(spark, path).split()
-    parsed = _split(_body(spark, path, names, str.split), _unique(names), "\t")
+    first = _first_line(spark, path)
+    parsed = _split(_body(spark, path, first, str.split), _unique(first.split()), "\t")
     return Parsed(first_n_columns(parsed.good, n_columns), parsed.rejects)
 
 

@@ -165,3 +165,19 @@ def test_names_that_clash_after_numbering():
     names = delimited._unique(["a", "a", "a0", "A", "b", "a3_"])
     assert len({n.lower() for n in names}) == 6
     assert names[2] == "a0" and names[4] == "b" and names[5] == "a3_"
+
+
+def test_blank_lines_under_a_header_in_one_scan(spark, tmp_path):
+    path = write(tmp_path, "a,b\n\n1,2\n\na,b\n", "a,b\na,b\n\n3,\n")
+    parsed = delimited.read_comma(spark, path)
+    assert rows(parsed.good) == [("1", "2"), ("3", ""), ("a", "b"), ("a", "b")]
+    assert rows(parsed.rejects) == [("",)] * 3
+    for df in (parsed.good, parsed.rejects):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Relation [") == 1 and "Aggregate" not in plan
+
+
+def test_files_without_a_header_are_refused(spark, tmp_path):
+    path = write(tmp_path, "a,b\n1,2\n", *[f"{i},x\n" for i in range(30)])
+    with pytest.raises(ValueError, match="headers differ"):
+        delimited.read_comma(spark, path)
