@@ -43,6 +43,7 @@ MAX_EPOCHS = 3
 BLOCK_WORDS = 20_000
 SHARD_BLOCKS = 64
 SEED = 20_240_601
+GENERATOR_LIMIT = 1_000_000_000  # of NumPy's hypergeometric draws
 
 
 def size_of(text: Column) -> Column:
@@ -244,12 +245,26 @@ def split_counts(rng: np.random.Generator, have: np.ndarray, share: int) -> np.n
 def _hypergeometric(rng: np.random.Generator, good: int, bad: int, sample: int) -> int:
     if good == 0 or sample == 0:
         return 0
-    if good + bad < 1_000_000_000:  # the generator's own limit
+    if max(good, bad) < GENERATOR_LIMIT:
         return int(rng.hypergeometric(good, bad, sample))
-    share = good / (good + bad)
-    spread = (sample * share * (1 - share) * (good + bad - sample) / (good + bad - 1)) ** 0.5
-    drawn = round(rng.normal(sample * share, spread))
-    return min(max(drawn, sample - bad, 0), good, sample)
+    return _by_inversion(rng.random(), good, bad, sample)
+
+
+def _by_inversion(u: float, good: int, bad: int, sample: int) -> int:
+    """A hypergeometric draw of any size by its distribution function, from ratios of neighbouring
+    probabilities. Numbers further than 12 standard deviations from the mean, together less likely
+    than a double can tell from 0, are left out."""
+    total = good + bad
+    mean = sample * good / total
+    spread = (mean * (bad / total) * ((total - sample) / max(total - 1, 1))) ** 0.5
+    reach = int(12 * spread) + 40
+    low = max(0, sample - bad, int(mean) - reach)
+    high = min(good, sample, int(mean) + reach)
+    k = np.arange(low, high, dtype=np.float64)
+    steps = np.log((good - k) / (k + 1)) + np.log((sample - k) / (bad - sample + k + 1))
+    logs = np.concatenate([[0.0], np.cumsum(steps)])
+    below = np.cumsum(np.exp(logs - logs.max()))
+    return low + min(int(np.searchsorted(below, u * below[-1], side="right")), high - low)
 
 
 def taken(docs: DataFrame, **options) -> DataFrame:

@@ -1,6 +1,7 @@
 """The operators beside brute force, on small tables with every awkward case."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import defaultdict
@@ -456,3 +457,25 @@ def test_html_unquoted_addresses():
     page = "<div class=sidebar><a href=http://x.org/>Menu one</a> <a href=/b/>two</a></div><article><p>{}</p></article>"
     long = "The words of the article are many and they are here for all to read and to see. " * 3
     assert text(page.format(long)) == text(page.replace("=http://x.org/", '="http://x.org/"').replace("=/b/", '="/b/"').format(long)) == long.strip()
+
+
+@pytest.mark.parametrize("good,bad,sample", [(5, 7, 6), (40, 3, 20), (1, 90, 45), (60, 60, 1), (30, 50, 80)])
+def test_large_draws_follow_the_exact_law(good, bad, sample):
+    """Equal steps of the random number give every count its share of all choices."""
+    law = [math.comb(good, k) * math.comb(bad, sample - k) if k <= sample else 0 for k in range(good + 1)]
+    n = 20_000
+    drawn = [mixing._by_inversion((i + 0.5) / n, good, bad, sample) for i in range(n)]
+    for k, ways in enumerate(law):
+        assert abs(drawn.count(k) - n * ways / math.comb(good + bad, sample)) <= 1.01
+
+
+def test_draws_beyond_the_generators_limit():
+    rng = np.random.default_rng(1)
+    good, bad, sample = 3_000_000_000, 1_500_000_000, 2_250_000_000
+    drawn = np.array([mixing._hypergeometric(rng, good, bad, sample) for _ in range(200)])
+    spread = (sample * (2 / 3) * (1 / 3) / 2) ** 0.5
+    assert abs(drawn.mean() - 1.5e9) < 5 * spread / 200**0.5 and 0.8 < drawn.std() / spread < 1.2
+    assert mixing._hypergeometric(rng, good, 0, sample) == sample
+    assert mixing._hypergeometric(rng, 2, 4_000_000_000, 4_000_000_002) == 2
+    left = mixing.split_counts(rng, np.array([good, 7, bad]), sample)
+    assert left.sum() == sample and (left <= [good, 7, bad]).all()
