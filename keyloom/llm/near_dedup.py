@@ -411,9 +411,11 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> D
     classes = _classes(named, stage)
     held = stage.put(buckets(classes, percent), "buckets")
     pairs = stage.put(stars(held), "stars")
-    nodes = pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct()
+    # Every class of a bucket counts: two that are alone in neighbouring bands meet in no star.
+    nodes = held.select("id").distinct()
     members = stage.put(classes.join(nodes, "id").select("id", "low", "sig", "n_shingles", "digest"), "members")
-    sets = stage.put(_word_sets(docs, members, shingle), "sets")
+    starred = pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).distinct()
+    sets = stage.put(_word_sets(docs, members.join(starred, "id", "left_semi"), shingle), "sets")
 
     shared = _shared_ids(named, classes)
     links = stage.put(confirmed(pairs, sets.select("id", "words"), percent, stage).unionAll(shared), "links")
@@ -421,6 +423,9 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> D
     placed = held.select("key", "id").join(rooted.select("id", "root"), "id")
     tiles = _tiles(stage.put(placed, "placed")).join(rooted.select("id", "sig", "n_shingles"), "id")
     near = stage.put(_members_of_pairs(tiles, percent), "near")
+    others = near.select("id").distinct().join(starred, "id", "left_anti")
+    others = _word_sets(docs, members.join(others, "id", "left_semi"), shingle)
+    sets = sets.unionByName(stage.put(others, "more-sets"))
     near = near.join(sets.select("id", "cells"), "id")
     near = stage.put(_members_of_pairs(near, percent), "nearer")
     sets = sets.select("id", "words")

@@ -64,6 +64,16 @@ def test_chains_of_near_copies(spark):
     assert {r.component_id for r in rows} == {71}
 
 
+def test_two_texts_in_neighbouring_bands_are_linked(spark):
+    """Sets of 100 and 83 shingles lie in two bands of size, where neither has another member."""
+    rows = []
+    for p in range(8):
+        text = words(50 + p, 103)
+        rows += [(2 * p, " ".join(text)), (2 * p + 1, " ".join(text[:86]))]
+    found = near_dedup.groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {(r.doc_id, r.component_id) for r in found} == {(i, i - i % 2) for i in range(16)}
+
+
 def test_bounds_lose_no_link():
     rng = np.random.default_rng(3)
     import pyarrow as pa
