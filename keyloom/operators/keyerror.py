@@ -218,10 +218,10 @@ def _pivot_errors(rows: DataFrame, fields: list[list[str]], pivot: int, combos:
     return counted.unionByName(none)
 
 
-def _frequent(rows: DataFrame, own: list[str], n_rows: int) -> DataFrame | None:
-    """The values of a pivot that many rows have: at most SAMPLE / FREQUENT or so."""
+def _frequent(rows: DataFrame, own: list[str], n_rows: int, often: int = FREQUENT) -> DataFrame | None:
+    """The values of a pivot that many rows have: at most SAMPLE / often or so."""
     part = rows.select(*own).sample(fraction=min(1.0, SAMPLE / n_rows), seed=SAMPLE)
-    found = part.groupBy(*own).count().where(F.col("count") >= FREQUENT).drop("count")
+    found = part.groupBy(*own).count().where(F.col("count") >= often).drop("count")
     listed = found.toArrow()
     return rows.sparkSession.createDataFrame(listed) if listed.num_rows else None
 

@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.functions import colsets as cs
+from keyloom.operators import agreement as A
 from keyloom.operators import combos as C
 from keyloom.operators import fingerprint as P
 from keyloom.operators import keyerror as K
@@ -41,6 +42,7 @@ from keyloom.staging import Stage, spread
 FIRST_SAMPLE = 10_000
 SAMPLE_STEP = 8
 BATCH = 64
+DEALT = 512  # candidates of a batch that share their shuffles
 GROWN = 6  # failed sets that are grown together
 
 
@@ -106,6 +108,29 @@ def _refute(codes: Codes, batch: list[P.Combo]) -> tuple[set[P.Combo], list[P.Co
     return agree, passed
 
 
+def _test_dealt(codes: Codes, batch: list[P.Combo], stage: Stage, seen: P.Repeats,
+                pivots: A.Pivots) -> tuple[set[P.Combo], list[P.Combo]]:
+    """Exact test over all rows of a large table: a shuffle for each pivot, not for each candidate."""
+    agree: set[P.Combo] = set()
+    for pivot, combos in pivots.deal(batch).items():
+        if pivot is None:
+            agree |= _records(codes, combos, stage, seen)
+            continue
+        rows, frequent = pivots.split(pivot)
+        agree |= A.agree_sets(codes, rows, pivot, combos)
+        if frequent is not None:
+            many, n_many = stage.put_counted(frequent, "frequent", F.lit(True))
+            agree |= _records(codes.over(many, n_many), combos, stage, P.Repeats()) if n_many else set()
+    return agree, [c for c in batch if not any(set(c) <= set(a) for a in agree)]
+
+
+def _records(codes: Codes, combos: list[P.Combo], stage: Stage, seen: P.Repeats) -> set[P.Combo]:
+    at_once, agree = batch_size(codes, BATCH), set()
+    for k in range(0, len(combos), at_once):
+        agree |= _test(codes, combos[k : k + at_once], stage, seen)[0]
+    return agree
+
+
 def _test(codes: Codes, batch: list[P.Combo], stage: Stage, seen: P.Repeats) -> tuple[set[P.Combo], list[P.Combo]]:
     """Exact test over all rows of ``codes``."""
     screened = P.screen(codes, batch, stage, seen)
@@ -192,7 +217,9 @@ def run(codes: Codes, stage: Stage, max_size: int | None = None, exclude: Column
         if tolerance and rung is codes and name != "table":
             continue  # no sample is smaller than the table
         seen = P.Repeats()
-        at_once = batch_size(rung, K.BATCH if tolerance else BATCH)
+        large = not tolerance and rung.n_rows > A.DEAL_ABOVE
+        pivots = A.Pivots(rung)
+        at_once = DEALT if large else batch_size(rung, K.BATCH if tolerance else BATCH)
         passed_path = stage.path("passed")
         stage.append(spark.createDataFrame([], PASSED), passed_path)
         while True:
@@ -206,7 +233,8 @@ def run(codes: Codes, stage: Stage, max_size: int | None = None, exclude: Column
             if tolerance:
                 agree, passed = _test_tolerant(rung, batch, tolerance)
             else:
-                test = _refute if name == "sample 1" else partial(_test, stage=stage, seen=seen)
+                test = partial(_test_dealt, pivots=pivots) if large else _test
+                test = _refute if name == "sample 1" else partial(test, stage=stage, seen=seen)
                 agree, passed = test(rung, batch)
                 passed = dict.fromkeys(passed, 0)
             if log:
