@@ -111,13 +111,13 @@ def _refute(codes: Codes, batch: list[P.Combo]) -> tuple[set[P.Combo], list[P.Co
 def _test_dealt(codes: Codes, batch: list[P.Combo], stage: Stage, seen: P.Repeats,
                 pivots: A.Pivots) -> tuple[set[P.Combo], list[P.Combo]]:
     """Exact test over all rows of a large table: a shuffle for each pivot, not for each candidate."""
-    agree: set[P.Combo] = set()
-    for pivot, combos in pivots.deal(batch).items():
+    agree, rest = pivots.narrowed(batch)
+    for pivot, combos in pivots.deal(rest).items():
         if pivot is None:
             agree |= _records(codes, combos, stage, seen)
             continue
-        rows, frequent = pivots.split(pivot)
-        agree |= A.agree_sets(codes, rows, pivot, combos)
+        found, frequent = pivots.test(pivot, combos, stage)
+        agree |= found
         if frequent is not None:
             many, n_many = stage.put_counted(frequent, "frequent", F.lit(True))
             agree |= _records(codes.over(many, n_many), combos, stage, P.Repeats()) if n_many else set()
