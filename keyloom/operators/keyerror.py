@@ -42,7 +42,7 @@ FOLDED = 150_000
 # A pivot needs this many values to spread the rows. They are dealt into parts of about PART_RECORDS rows
 # times combos, of which SLICE at most are counted in one loop.
 PIVOT_VALUES = 1_000
-PART_RECORDS = 1_000_000
+PART_RECORDS = 500_000
 SLICE = 16
 
 # A value is very frequent when this many of a sample's rows have it.
