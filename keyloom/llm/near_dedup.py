@@ -44,6 +44,7 @@ from pyspark.sql import functions as F
 from keyloom.llm import word_hashes as H
 from keyloom.llm.blocks import pieces, text_bytes
 from keyloom.llm.components import components
+from keyloom.llm.key_filter import having, lacking
 from keyloom.staging import Stage
 
 SHINGLE = 4
@@ -56,7 +57,6 @@ TILE = 512  # members of a tile
 HOT = 64  # a class of at least a 64th of all rows is salted
 SALTS = 32
 CELLS = 256  # of a set's histogram
-FILTER_BUCKETS = 1024  # of 32768 bits: 4 MB
 SPARE_IDS = 2**62  # of further classes of an id that stands for several
 PIECE_BYTES = 2_000_000
 SIGNED = "doc_id bigint, n_shingles bigint, digest binary, sig binary"
@@ -371,7 +371,7 @@ def _tile_links(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         a, b = [pa.array([pair[k] for pair in out], pa.int64()) for k in (0, 1)]
         return pa.table([a, b], names=["a", "b"])
 
-    dealt = near.join(sets, "id").repartition(*PLACE)
+    dealt = near.join(having(sets, "id", near.select("id")), "id").repartition(*PLACE)
     return dealt.groupBy(*PLACE).applyInArrow(confirm, "a bigint, b bigint")
 
 
@@ -460,16 +460,8 @@ def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _texts_of(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """doc_id, text of the members. A bitmap of fixed size, of hashes of their ids, keeps most other
-    texts from travelling to the join; where it is full, it only keeps fewer."""
-    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(32768 * FILTER_BUCKETS)) + 1
-    bits = members.select(spot("low").alias("x")).groupBy(F.bitmap_bucket_number("x").alias("bucket"))
-    bits = F.broadcast(bits.agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits")))
-    texts = _id_text(docs).withColumn("x", spot("doc_id")).withColumn("bucket", F.bitmap_bucket_number("x"))
-    byte = F.expr("CAST(conv(hex(substring(bits, CAST(bitmap_bit_position(x) DIV 8 AS INT) + 1, 1)), 16, 10) AS INT)")
-    maybe = F.expr("CAST(pow(2, bitmap_bit_position(x) % 8) AS INT)").bitwiseAND(byte) > 0
-    texts = texts.join(bits, "bucket").where(maybe).select("doc_id", "text")
-    return texts.join(members.select(F.col("low").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    """doc_id, text of the members."""
+    return having(_id_text(docs), "doc_id", members.select("low"))
 
 
 def _word_sets(docs: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
@@ -493,6 +485,5 @@ def _word_sets(docs: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
 def dedup(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that stay: one document of each group, with all columns, whatever their
     names. Rows with an empty text or a null id stay; an empty table gives an empty one."""
-    gone = groups(docs, shingle, percent).where(~F.col("kept")).select("doc_id").distinct()
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    return whole.join(gone, F.col("row.doc_id").cast("bigint") == F.col("doc_id"), "left_anti").select("row.*")
+    gone = groups(docs, shingle, percent).where(~F.col("kept")).select("doc_id")
+    return lacking(docs, F.col("doc_id").cast("bigint"), gone)

@@ -97,3 +97,22 @@ def test_texts_of_members(spark):
     found = {r.doc_id for r in near_dedup._texts_of(docs, members).collect()}
     assert found == set(range(0, 2000, 7))
     assert near_dedup._texts_of(docs, members.limit(0)).count() == 0
+
+
+def test_key_filter(spark):
+    from keyloom.llm.key_filter import having, lacking
+
+    rows = spark.createDataFrame([*((i, f"t{i}") for i in range(300)), (None, "n"), (7, "again")], "doc_id bigint, row string")
+    keys = spark.createDataFrame([(i,) for i in [*range(0, 300, 7), 7, 999, None]], "k bigint")
+    held = [r for r in rows.collect() if r.doc_id is not None and r.doc_id % 7 == 0]
+    assert sorted(having(rows, "doc_id", keys).collect()) == sorted(held)
+    left = lacking(rows, rows.doc_id, keys)
+    assert sorted(left.collect(), key=str) == sorted(set(rows.collect()) - set(held), key=str) and left.columns == rows.columns
+    assert lacking(rows, rows.doc_id, keys.limit(0)).count() == 302 and having(rows, "doc_id", keys.limit(0)).count() == 0
+    # The bitmap is joined below the join by key: Spark must not move the latter to the whole rows.
+    for asked in (near_dedup._texts_of(rows.toDF("doc_id", "text"), keys.toDF("low")), left):
+        plan = asked._jdf.queryExecution().optimizedPlan().toString().split("\n")
+        joins = [line for line in plan if "Join " in line]
+        assert any("_bucket" in line for line in joins)
+        top = [line for line in joins if "_bucket" not in line]
+        assert top and plan.index(top[-1]) < plan.index([line for line in joins if "_bucket" in line][-1])
