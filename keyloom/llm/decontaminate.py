@@ -25,6 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from keyloom.llm.key_filter import lacking
 from keyloom.llm.quality import let
 from keyloom.staging import Stage
 
@@ -212,7 +213,6 @@ def digest(docs: DataFrame, items: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that no window occurs in, with all their columns, whatever their names. Rows
     without words stay, a null id is an id like any other, and without rows or items ``docs`` stays."""
-    dirty = hits(docs, items, **options)[0].select("doc_id", "text_hash").distinct()
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    same = F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.xxhash64("row.text") == F.col("text_hash"))
-    return whole.join(dirty, same, "left_anti").select("row.*")
+    # A struct is never null, and nulls in it equal each other.
+    dirty = hits(docs, items, **options)[0].select(F.struct("doc_id", "text_hash").alias("key"))
+    return lacking(docs, F.struct("doc_id", F.xxhash64("text").alias("text_hash")), dirty)
