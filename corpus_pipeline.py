@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from keyloom.llm import decontaminate, mixing, near_dedup, quality, token_store
+from keyloom.llm.encoder import SMALL_TABLE
 from keyloom.llm.queries import table, vocabulary
 from keyloom.staging import Stage
 
@@ -42,7 +43,8 @@ def token_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Token ids are written in shuffled order, and every copy's place, length and checksum are read
     back. (The mix is reread from Parquet, which has no order, so it is shuffled here.)"""
     order = token_store.shuffle_order()
-    return token_store.read_documents(token_store.write_shards(docs, Stage(spark), vocabulary(), order=order))
+    shards = token_store.write_shards(docs, Stage(spark), vocabulary(), order=order, table_bytes=SMALL_TABLE)
+    return token_store.read_documents(shards)
 
 
 STAGES = [

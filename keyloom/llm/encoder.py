@@ -4,7 +4,8 @@ For tokenizers that drop white space and lower-case (word-end BPE), a text's ids
 chunks between ASCII white space, one after the other, and a mark after a letter at the end of a
 chunk is a chunk of its own. Chunks are looked up in a table; new ones go to the library, plain
 words many in one string, because every one of them ends with a word-end token. The table is
-emptied when it holds ``MAX_CHUNKS``.
+emptied when it holds about ``table_bytes``, whatever the number and length of its chunks; a smaller
+table encodes common chunks anew more often.
 """
 
 from __future__ import annotations
@@ -16,7 +17,9 @@ import types
 
 import numpy as np
 
-MAX_CHUNKS = 1_000_000
+TABLE_BYTES = 300_000_000
+SMALL_TABLE = 64_000_000  # where a worker's memory counts for more than its time
+ENTRY_BYTES = 256  # of a chunk besides its bytes and ids, about
 JOINED = 500  # plain words of one string
 # Words of a-z and the letters of U+00C0 to U+00FF: one piece for every splitter by letters.
 _PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
@@ -34,20 +37,21 @@ class _Numbers(dict):
 
 
 class Encoder:
-    def __init__(self, path: str, special_as_text: bool = False):
+    def __init__(self, path: str, special_as_text: bool = False, table_bytes: int = TABLE_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
         self.specials = not special_as_text
+        self.table_bytes = table_bytes
         vocabulary = self.tokenizer.get_vocab()
         self.word_end = np.zeros(max(vocabulary.values()) + 1, bool)
         self.word_end[[i for name, i in vocabulary.items() if name.endswith("</w>")]] = True
         self._empty()
 
     def _empty(self) -> None:
-        self.numbers = _Numbers()
+        self.numbers, self.held = _Numbers(), 0
         self.starts, self.lengths = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.flat, self.n_flat = np.zeros(4096, np.uint32), 0
 
@@ -64,6 +68,7 @@ class Encoder:
         first = np.concatenate([[0], ends[:-1]])
         self.starts[places], self.lengths[places] = self.n_flat + first, ends - first
         self.n_flat += total
+        self.held += 4 * total
 
     def _learn(self) -> None:
         fresh, n = self.numbers.fresh, len(self.numbers)
@@ -84,11 +89,12 @@ class Encoder:
             parts = self._call([fresh[i] for i in rest.tolist()])
             ends = np.cumsum([len(p) for p in parts])
             self._add(base + rest, np.array([i for p in parts for i in p], np.uint32), ends)
+        self.held += ENTRY_BYTES * len(fresh) + sum(map(len, fresh))
         fresh.clear()
 
     def encode(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ends): the ids of all texts, each followed by ``end``, and where each ends."""
-        if len(self.numbers) > MAX_CHUNKS:
+        if self.held > self.table_bytes:
             self._empty()
         chunks: list[bytes] = []
         borders = np.empty(len(texts) + 1, np.int64)
@@ -118,10 +124,10 @@ def _room(array: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate([array, np.zeros(max(n, 2 * len(array)) - len(array), array.dtype)])
 
 
-def of_worker(path: str, special_as_text: bool = False) -> Encoder:
+def of_worker(path: str, special_as_text: bool = False, table_bytes: int = TABLE_BYTES) -> Encoder:
     """The worker's encoder: made once in a Python process, whatever number of tasks it runs."""
     kept = sys.modules.setdefault("_keyloom_encoders", types.ModuleType("_keyloom_encoders"))
-    key = f"{path}|{special_as_text}"
+    key = f"{path}|{special_as_text}|{table_bytes}"
     if key not in kept.__dict__:
-        kept.__dict__[key] = Encoder(path, special_as_text)
+        kept.__dict__[key] = Encoder(path, special_as_text, table_bytes)
     return kept.__dict__[key]

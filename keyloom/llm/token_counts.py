@@ -5,9 +5,10 @@ id, cut into blocks of ``BLOCK_IDS`` ids wherever they fall; nothing says where
 :func:`write_files` makes such files from a table where its rows are, without a shuffle: each split
 of the table becomes files of about ``FILE_BYTES``, which hold whole documents.
 
-:func:`scan` looks for the end id in each block at once and keeps the positions. What a block
+:func:`scan` looks for the end id in each block and joins neighbouring blocks of a task to runs of
+about ``RUN_IDS``; blocks are small because Spark and Parquet hold rows by number. What a run
 cannot know, how many ids and documents came before it and where the document began that is open
-at its start, comes from a prefix scan over the blocks of the file (one small row each). A document
+at its start, comes from a prefix scan over the runs of the file (one small row each). A document
 may span any number of blocks.
 
 Defined results: a null or empty text is a document of one id; ids without a closing end id at the
@@ -26,11 +27,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from keyloom.llm.encoder import SMALL_TABLE
 from keyloom.llm.token_store import encoded
 from keyloom.staging import Stage
 
 END_ID = 49407
-BLOCK_IDS = 65_536
+BLOCK_IDS = 1_024  # 4 KB: the batches that readers and Python get have thousands of rows
+RUN_IDS = 65_536
 PIECE_BYTES = 1_000_000  # of text that are encoded at a time
 FILE_BYTES = 16_000_000  # of ids; the file ends with the texts that are being encoded
 FILES = "file bigint, block bigint, ids binary, doc_id array<bigint>"
@@ -66,7 +69,7 @@ def write_files(
                 yield rows([rest.tobytes()], [block], [None])
             yield rows([None], [-1], [names])
 
-        for known, more, _ in encoded(batches, path, end, True, PIECE_BYTES):
+        for known, more, _ in encoded(batches, path, end, True, PIECE_BYTES, SMALL_TABLE):
             names += known
             rest = np.concatenate([rest, more.astype("<u4")])
             full = len(rest) // block_ids
@@ -90,20 +93,26 @@ def scan(files: DataFrame, end: int = END_ID) -> DataFrame:
     """file, number (of the document in the file), start, n_tokens, closed."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, following, n, ends = None, None, 0, []  # of the run that is open
+
+        def found(rows):
+            columns = [pa.array([r[i] for r in rows], pa.int64()) for i in range(3)]
+            columns.append(pa.array([r[3] for r in rows], pa.list_(pa.int64())))
+            return pa.record_batch(columns, names=["file", "block", "n_ids", "ends"])
+
         for batch in batches:
-            spots = [
-                (np.frombuffer(x, "<u4"), np.flatnonzero(np.frombuffer(x, "<u4") == end))
-                for x in batch.column(2).to_pylist()
-            ]
-            yield pa.record_batch(
-                [
-                    batch.column(0),
-                    batch.column(1),
-                    pa.array([len(ids) for ids, _ in spots], pa.int64()),
-                    pa.array([s.tolist() for _, s in spots], pa.list_(pa.int64())),
-                ],
-                names=["file", "block", "n_ids", "ends"],
-            )
+            rows = []
+            for file, block, body in zip(*[c.to_pylist() for c in batch.columns[:2]], batch.column(2)):
+                if (file, block) != following or n >= RUN_IDS:
+                    if at:
+                        rows.append((*at, n, ends))
+                    at, n, ends = (file, block), 0, []
+                ids = np.frombuffer(body.as_buffer(), "<u4")
+                ends += (np.flatnonzero(ids == end) + n).tolist()
+                n, following = n + len(ids), (file, block + 1)
+            yield found(rows)
+        if at:
+            yield found([(*at, n, ends)])
 
     cut = files.mapInArrow(search, "file bigint, block bigint, n_ids bigint, ends array<bigint>")
     order = Window.partitionBy("file").orderBy("block")

@@ -58,9 +58,10 @@ def encoded(
     end: int,
     special_as_text: bool = False,
     piece_bytes: int = PIECE_BYTES,
+    table_bytes: int = encoder.TABLE_BYTES,
 ) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
     """(doc_ids, ids, ends) of a few megabytes of text at a time."""
-    coder = encoder.of_worker(path, special_as_text)
+    coder = encoder.of_worker(path, special_as_text, table_bytes)
     for batch in batches:
         data, borders = text_bytes(batch.column(1))
         known = batch.column(0).to_pylist()
@@ -79,6 +80,7 @@ def write_shards(
     shard_bytes: int = SHARD_BYTES,
     shard_ids: int = SHARD_IDS,
     order: Column | None = None,
+    table_bytes: int = encoder.TABLE_BYTES,
 ) -> DataFrame:
     """Write the shards, by doc_id or in ``order``, and return the table that reads them."""
 
@@ -99,7 +101,7 @@ def write_shards(
                 names=["shard", "doc_id", "ends", "n_ids", "planes"],
             )
 
-        for known, more, borders in encoded(batches, path, end):
+        for known, more, borders in encoded(batches, path, end, table_bytes=table_bytes):
             if n and n + len(more) > shard_ids:
                 yield shard()
                 number, names, ids, ends, n = number + 1, [], [], [], 0

@@ -165,6 +165,34 @@ def test_separator_scan_over_blocks(spark):
         assert got == [(0, 0, 2, True), (1, 2, 3, True), (2, 5, 1, True), (3, 6, 6, True), (4, 12, 1, False)]
 
 
+def test_separator_scan_over_runs_of_blocks(spark, monkeypatch):
+    # Token files have small rows; end ids stand at both sides of a run's border, and one block is empty.
+    from keyloom.staging import Stage
+
+    docs = spark.createDataFrame([(1, "some words of a text " * 4_000)], "doc_id bigint, text string")
+    written = token_counts.write_files(docs, Stage(spark), queries.vocabulary())[0]
+    assert max(len(r.ids) for r in written.collect()) <= 4_096
+    monkeypatch.setattr(token_counts, "RUN_IDS", 6)
+    ids = np.full(53, 5, "<u4")
+    ends = [0, 7, 8, 9, 30, 50]
+    ids[ends] = 9
+    cut = [(0, k, bytearray(x.tobytes())) for k, x in enumerate(np.split(ids, [2, 8, 8, 9, 11, 20, 40]))]
+    for parts in (1, 3):
+        files = spark.createDataFrame([*cut, (1, 0, bytearray())], "file bigint, block bigint, ids binary").coalesce(parts)
+        got = sorted((r.file, r.start, r.n_tokens, r.closed) for r in token_counts.scan(files, 9).collect())
+        marks = [*ends, len(ids) - 1]
+        assert got == [(0, a + 1, b - a, b != marks[-1]) for a, b in zip([-1, *marks], marks)]
+
+
+def test_table_of_chunks_is_bounded_in_bytes():
+    from keyloom.llm import encoder
+
+    coder = encoder.Encoder(queries.vocabulary(), True, 2_000_000)
+    for k in range(30):
+        coder.encode([b" ".join(b"%d%s" % (100 * k + i, b"x" * 1_000) for i in range(100))], 1)
+        assert sum(map(len, coder.numbers)) < 2_300_000
+
+
 def test_wavelet_matrix():
     ids = np.random.default_rng(1).integers(0, 70_000, 3_001).astype(np.uint32)
     ids[::7] = 5
