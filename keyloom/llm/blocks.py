@@ -88,6 +88,13 @@ def write_blocks(docs: DataFrame, stage: Stage, block_bytes: int = BLOCK_BYTES)
     return stage.put(rows.mapInArrow(pack, BLOCK_SCHEMA), "blocks")
 
 
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """The blocks of a task, of which one at a time is unpacked."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield from batch.slice(k, 1).to_pylist()
+
+
 def body_of(row: dict) -> bytes:
     return zstandard.decompress(row["body"])
 
@@ -97,29 +104,31 @@ def shard_of(keys: np.ndarray, n_shards: int) -> np.ndarray:
 
 
 def by_shard(
-    blocks: DataFrame, n_shards: int, keys_of: Callable[[dict], tuple[np.ndarray, np.ndarray]]
+    blocks: DataFrame,
+    n_shards: int,
+    keys_of: Callable[[dict], tuple[np.ndarray, np.ndarray]],
+    sent: str = "<u8",
 ) -> DataFrame:
     """shard, block, keys, info. ``keys_of(row)`` gives the block's distinct uint64 keys, sorted,
-    and a uint32 for each."""
+    and a uint32 for each. Keys are sent as numbers of type ``sent``: their low bytes."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                keys, info = keys_of(row)
-                shard = shard_of(keys, n_shards)
-                order = np.argsort(shard, kind="stable")
-                keys, info = keys[order], info[order].astype("<u4")
-                cuts = np.searchsorted(shard[order], np.arange(n_shards + 1))
-                used = np.flatnonzero(np.diff(cuts))
-                yield pa.record_batch(
-                    [
-                        pa.array(used, pa.int64()),
-                        pa.array(np.full(len(used), row["block"]), pa.int64()),
-                        pa.array([keys[cuts[s] : cuts[s + 1]].tobytes() for s in used], pa.binary()),
-                        pa.array([info[cuts[s] : cuts[s + 1]].tobytes() for s in used], pa.binary()),
-                    ],
-                    names=["shard", "block", "keys", "info"],
-                )
+        for row in rows_of(batches):
+            keys, info = keys_of(row)
+            shard = shard_of(keys, n_shards)
+            order = np.argsort(shard, kind="stable")
+            keys, info = keys[order].astype(sent), info[order].astype("<u4")
+            cuts = np.searchsorted(shard[order], np.arange(n_shards + 1))
+            used = np.flatnonzero(np.diff(cuts))
+            yield pa.record_batch(
+                [
+                    pa.array(used, pa.int64()),
+                    pa.array(np.full(len(used), row["block"]), pa.int64()),
+                    pa.array([keys[cuts[s] : cuts[s + 1]].tobytes() for s in used], pa.binary()),
+                    pa.array([info[cuts[s] : cuts[s + 1]].tobytes() for s in used], pa.binary()),
+                ],
+                names=["shard", "block", "keys", "info"],
+            )
 
     return blocks.mapInArrow(ask, "shard bigint, block bigint, keys binary, info binary")
 

@@ -11,9 +11,12 @@
 3. *Suffix array.* A shard sorts the suffixes of its contexts by the difference cover of period
    three (sort sampled triples, recurse on their names, merge the other suffixes), compares the
    50-byte prefixes of neighbours, and finds the smallest ``doc_id`` of each run of equal ones.
+   More than ``PART_BYTES`` of contexts are sorted in parts by a byte of the hash that chose the
+   shard, which equal strings have in common.
 4. A bit per string goes back to its block, which removes what the marked strings cover.
 
-A shard's memory follows its contexts and the number of shards follows the input.
+The number of shards follows the input. A task holds one block, or the contexts of one shard and the
+arrays that sort a part of them, and no stage chains two functions, so a core has one Python worker.
 
 Defined results: a null or empty text has no bytes; texts under 50 bytes lose none; a null id comes
 after all others and rows that share an id do not remove from each other; an empty table gives an
@@ -44,6 +47,7 @@ SPAN = LENGTH - PIECE + 1  # places of an anchor in a string
 HOT = 5_000
 SLICE_BYTES = 200_000
 BLOCK_BYTES = 2_000_000
+PART_BYTES = 1_000_000  # contexts that are sorted at once; the arrays for it take some 40 times as much
 NO_ID = 2**63 - 1
 RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 _A, _B, _C, _D = numbers(4, 401) | np.uint64(1)
@@ -74,6 +78,12 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return where[:n], least[:n]
 
 
+def _spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each run of ``n`` places its ``first`` one and those behind it; they fit 32 bits."""
+    before = (first - (np.cumsum(n) - n)).astype(np.int32)
+    return np.repeat(before, n) + np.arange(n.sum(), dtype=np.int32)
+
+
 def _strings(body: np.ndarray, borders: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
     """Starts of strings (absolute), their anchors' places and hashes, and rows of documents."""
     for a, b in B.pieces(borders, SLICE_BYTES):
@@ -137,21 +147,11 @@ def _answers(group: pa.Table, answers: list[bytes]) -> pa.Table:
 
 def _ask_anchors(blocks: DataFrame, n_shards: int) -> DataFrame:
     """shard, block, keys (the low 32 bits, in the shards' order), info."""
-
-    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = [np.frombuffer(k, "<u8").astype("<u4").tobytes() for k in batch.column(2).to_pylist()]
-            yield pa.record_batch(
-                [batch.column(0), batch.column(1), pa.array(keys, pa.binary()), batch.column(3)],
-                names=["shard", "block", "keys", "info"],
-            )
-
-    schema = "shard bigint, block bigint, keys binary, info binary"
-    return B.by_shard(blocks, n_shards, _anchor_keys).mapInArrow(short, schema)
+    return B.by_shard(blocks, n_shards, _anchor_keys, sent="<u4")
 
 
 def _pieces_of(row: dict, n_shards: int) -> dict[str, np.ndarray]:
-    """The contexts of a block with a shared anchor by shard and id, hot ones cut into strings."""
+    """The contexts of a block with a shared anchor by shard, part and id, hot ones cut into strings."""
     body, _ = _block(row)
     first, end, rows, least = _runs(row)
     keys, place = np.unique(least, return_inverse=True)
@@ -162,7 +162,7 @@ def _pieces_of(row: dict, n_shards: int) -> dict[str, np.ndarray]:
     kind = kinds[place]
     one, many = kind == 1, kind == 2
     count = (end - first)[many]
-    begins = np.repeat(first[many] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+    begins = _spread(first[many], count)
     first, end = np.concatenate([first[one], begins]), np.concatenate([end[one], begins + 1])
     rows = np.concatenate([rows[one], np.repeat(rows[many], count)])
     padded = np.concatenate([body, np.zeros(LENGTH + 16, np.uint8)])
@@ -170,12 +170,14 @@ def _pieces_of(row: dict, n_shards: int) -> dict[str, np.ndarray]:
     for offset in (*range(0, LENGTH - 8, 8), LENGTH - 8):
         words = _words_at(padded, len(body) + 1, offset)
         own = mixed(own * _C + words[begins] * _D)
-    shard = B.shard_of(np.concatenate([least[one], own]), n_shards)
+    chosen_by = np.concatenate([least[one], own])
+    shard, part = B.shard_of(chosen_by, n_shards), chosen_by.astype(np.uint8)
     ids = np.array([NO_ID if i is None else i for i in row["doc_id"]], np.int64)
-    order = np.lexsort((ids[rows], shard))
-    first, end, shard, owner = first[order], end[order], shard[order], ids[rows[order]]
+    order = np.lexsort((ids[rows], part, shard))
+    first, end, shard, part, owner = first[order], end[order], shard[order], part[order], ids[rows[order]]
     same, copied = _distinct(body.tobytes(), first, end, shard, owner)
-    return {"first": first, "size": end - first, "shard": shard, "same": same, "copied": copied, "owner": owner}
+    found = {"first": first, "size": end - first, "shard": shard, "part": part}
+    return found | {"same": same, "copied": copied, "owner": owner}
 
 
 def _distinct(body: bytes, first, end, shard, owner) -> tuple[np.ndarray, np.ndarray]:
@@ -188,24 +190,74 @@ def _distinct(body: bytes, first, end, shard, owner) -> tuple[np.ndarray, np.nda
     return same, owner > owner[same]
 
 
-# What is kept of the pieces next to their block.
-PIECES = {"first": "<i4", "size": "<i4", "shard": "<i4", "same": "<i4", "copied": "?", "owner": "<i8"}
+# What is kept of the pieces next to their block, compressed.
+PIECES = {"first": "<i4", "size": "<i4", "shard": "<i4", "part": "u1", "same": "<i4", "copied": "?", "owner": "<i8"}
+
+
+def _packed(found: dict[str, np.ndarray]) -> list[bytes]:
+    return [zstandard.compress(found[c].astype(kind).tobytes(), 1) for c, kind in PIECES.items()]
 
 
 def _pieces(row: dict) -> dict[str, np.ndarray]:
-    return {c: np.frombuffer(row[c], kind).astype(np.int64) for c, kind in PIECES.items()}
+    return {
+        c: np.frombuffer(zstandard.decompress(row[c]), kind).astype(np.int64)
+        for c, kind in PIECES.items()
+    }
+
 
+CONTEXTS = "shard bigint, block bigint, ids binary, sizes binary, parts binary, body binary"
 
-CONTEXTS = "shard bigint, block bigint, ids binary, sizes binary, body binary"
+
+def _messages(row: dict, n_shards: int) -> pa.RecordBatch:
+    """A row for each shard that gets contexts of the block, equal ones once."""
+    found, body = _pieces(row), B.body_of(row)
+    chosen = _first_ones(found)
+    cuts = np.searchsorted(found["shard"][chosen], np.arange(n_shards + 1))
+    used = np.flatnonzero(np.diff(cuts))
+    packer = zstandard.ZstdCompressor(level=9)
+    ids, sizes, parts, texts = [], [], [], []
+    for s in used.tolist():
+        k = chosen[cuts[s] : cuts[s + 1]]
+        ids.append(found["owner"][k].astype("<i8").tobytes())
+        sizes.append(found["size"][k].astype("<i4").tobytes())
+        parts.append(found["part"][k].astype(np.uint8).tobytes())
+        spans = zip(found["first"][k].tolist(), found["size"][k].tolist())
+        texts.append(packer.compress(b"".join(body[x : x + n + LENGTH - 1] for x, n in spans)))
+    return pa.record_batch(
+        [
+            pa.array(used, pa.int64()),
+            pa.array(np.full(len(used), row["block"]), pa.int64()),
+            *(pa.array(x, pa.binary()) for x in (ids, sizes, parts, texts)),
+        ],
+        names=[c.split()[0] for c in CONTEXTS.split(", ")],
+    )
 
 
 def _mark(group: pa.Table) -> pa.Table:
     """A bit per string of each block: it starts in a document with a smaller id too."""
-    ids = [np.frombuffer(x, "<i8") for x in group.column("ids").to_pylist()]
     sizes = [np.frombuffer(x, "<i4").astype(np.int64) for x in group.column("sizes").to_pylist()]
-    owner, n = np.concatenate(ids), np.concatenate(sizes)
-    body = b"".join(map(zstandard.decompress, group.column("body").to_pylist()))
-    end = np.cumsum(n + LENGTH - 1)
+    owner = np.concatenate([np.frombuffer(x, "<i8") for x in group.column("ids").to_pylist()])
+    part = np.concatenate([np.frombuffer(x, np.uint8) for x in group.column("parts").to_pylist()])
+    body = b"".join(map(zstandard.ZstdDecompressor().decompress, group.column("body").to_pylist()))
+    n = np.concatenate(sizes)
+    end, at = np.cumsum(n + LENGTH - 1), np.cumsum(n) - n
+    marks = np.zeros(int(n.sum()), bool)
+    for k in _parts(part, n + LENGTH - 1):
+        marks[_spread(at[k], n[k])] = _marks_of(body, end[k], n[k], owner[k])
+    cuts = np.cumsum([0, *(int(x.sum()) for x in sizes)]).tolist()
+    return _answers(group, [np.packbits(marks[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:])])
+
+
+def _parts(part: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """The contexts that are sorted together: about PART_BYTES, where one value of ``part`` has less."""
+    held = np.bincount(part, size, 256)
+    number = ((np.cumsum(held) - held) // PART_BYTES)[part]
+    order = np.argsort(number, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(number[order])) + 1)
+
+
+def _marks_of(body: bytes, end: np.ndarray, n: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """For each string of contexts of n strings each that end in ``body`` before ``end``."""
     # Equal contexts of different blocks are sorted once, as the one with the smallest id.
     by_owner = np.argsort(owner, kind="stable")
     seen: dict[bytes, int] = {}
@@ -214,20 +266,19 @@ def _mark(group: pa.Table) -> pa.Table:
     for k, (a, b) in zip(by_owner.tolist(), spans):
         same[k] = seen.setdefault(body[a:b], k)
     chosen = np.fromiter(seen.values(), np.int64, len(seen))
-    marked = _marked(np.frombuffer(b"".join(seen), np.uint8), n[chosen], owner[chosen])
+    text = np.frombuffer(b"".join(seen), np.uint8)
+    del seen
+    marked = _marked(text, n[chosen], owner[chosen])
     offset = np.zeros(len(n), np.int64)
     offset[chosen] = np.cumsum(n[chosen]) - n[chosen]
-    spot = np.repeat(offset[same] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    marks = marked[spot] | np.repeat(owner > owner[same], n)
-    cuts = np.cumsum([0, *(int(x.sum()) for x in sizes)]).tolist()
-    return _answers(group, [np.packbits(marks[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:])])
+    return marked[_spread(offset[same], n)] | np.repeat(owner > owner[same], n)
 
 
 def _marked(text: np.ndarray, n: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """For each string of distinct contexts of n strings each, by the suffix array of their text:
     whether a run of equal 50-byte prefixes has a smaller id."""
     begin = np.cumsum(n + LENGTH - 1) - (n + LENGTH - 1)
-    starts = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    starts = _spread(begin, n)
     number = np.full(len(text), -1, np.int32)
     number[starts] = np.arange(len(starts))
     owner = np.repeat(ids, n)
@@ -267,18 +318,16 @@ def _cut_blocks(docs: DataFrame, stage: Stage, block_bytes: int) -> tuple[DataFr
     )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                found = _pieces_of(row, n_shards)
-                packed = [found[c].astype(kind).tobytes() for c, kind in PIECES.items()]
-                yield pa.record_batch(
-                    [
-                        pa.array([row["block"]], pa.int64()),
-                        pa.array([row["doc_id"]], pa.list_(pa.int64())),
-                        *(pa.array([x], pa.binary()) for x in (row["ends"], row["body"], *packed)),
-                    ],
-                    names=["block", "doc_id", "ends", "body", *PIECES],
-                )
+        for row in B.rows_of(batches):
+            packed = _packed(_pieces_of(row, n_shards))
+            yield pa.record_batch(
+                [
+                    pa.array([row["block"]], pa.int64()),
+                    pa.array([row["doc_id"]], pa.list_(pa.int64())),
+                    *(pa.array([x], pa.binary()) for x in (row["ends"], row["body"], *packed)),
+                ],
+                names=["block", "doc_id", "ends", "body", *PIECES],
+            )
 
     # Answers and blocks meet here; what comes of it is written next to the block.
     schema_cut = B.BLOCK_SCHEMA + "".join(f", {c} binary" for c in PIECES)
@@ -295,28 +344,7 @@ def removed(docs: DataFrame, kept, schema: str, block_bytes: int = BLOCK_BYTES)
     _release(docs.sparkSession)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                found, body = _pieces(row), B.body_of(row)
-                chosen = _first_ones(found)
-                cuts = np.searchsorted(found["shard"][chosen], np.arange(n_shards + 1))
-                used = np.flatnonzero(np.diff(cuts))
-                ids, sizes, texts = [], [], []
-                for s in used.tolist():
-                    k = chosen[cuts[s] : cuts[s + 1]]
-                    ids.append(found["owner"][k].astype("<i8").tobytes())
-                    sizes.append(found["size"][k].astype("<i4").tobytes())
-                    spans = zip(found["first"][k].tolist(), found["size"][k].tolist())
-                    text = b"".join(body[x : x + n + LENGTH - 1] for x, n in spans)
-                    texts.append(zstandard.compress(text, 9))
-                yield pa.record_batch(
-                    [
-                        pa.array(used, pa.int64()),
-                        pa.array(np.full(len(used), row["block"]), pa.int64()),
-                        *(pa.array(x, pa.binary()) for x in (ids, sizes, texts)),
-                    ],
-                    names=["shard", "block", "ids", "sizes", "body"],
-                )
+        return (_messages(row, n_shards) for row in B.rows_of(batches))
 
     contexts = blocks.mapInArrow(send, CONTEXTS)
     marks = contexts.groupBy("shard").applyInArrow(_mark, B.ANSWERS)
@@ -327,17 +355,16 @@ def removed(docs: DataFrame, kept, schema: str, block_bytes: int = BLOCK_BYTES)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = pa.schema([("doc_id", pa.int64())])
-        for batch in batches:
-            for row in batch.to_pylist():
-                body, borders = _block(row)
-                gone = _gone(row, len(body), n_shards)
-                rows = []
-                for k, i in enumerate(row["doc_id"]):
-                    a, b = int(borders[k]), int(borders[k + 1])
-                    rows.append((i, *kept(body[a:b], gone[a:b])))
-                arrays = [pa.array([r[0] for r in rows], types.field(0).type)]
-                arrays += [pa.array([r[c] for r in rows]) for c in range(1, len(names))]
-                yield pa.record_batch(arrays, names=names)
+        for row in B.rows_of(batches):
+            body, borders = _block(row)
+            gone = _gone(row, len(body), n_shards)
+            rows = []
+            for k, i in enumerate(row["doc_id"]):
+                a, b = int(borders[k]), int(borders[k + 1])
+                rows.append((i, *kept(body[a:b], gone[a:b])))
+            arrays = [pa.array([r[0] for r in rows], types.field(0).type)]
+            arrays += [pa.array([r[c] for r in rows]) for c in range(1, len(names))]
+            yield pa.record_batch(arrays, names=names)
 
     return blocks.join(listed, "block", "left").mapInArrow(finish, schema)
 
@@ -361,8 +388,8 @@ def _gone(row: dict, n_bytes: int, n_shards: int) -> np.ndarray:
     # Bits of the chosen pieces, spread to all equal ones.
     offset = np.zeros(len(n), np.int64)
     offset[chosen] = np.cumsum(n[chosen]) - n[chosen]
-    spot = np.repeat(offset[same] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    start = np.repeat(found["first"] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    spot = _spread(offset[same], n)
+    start = _spread(found["first"], n)
     hit = start[marked[spot] | np.repeat(copied, n)] if len(spot) else start
     before = np.zeros(n_bytes + 1, np.int32)  # marked starts before each place
     before[hit + 1] = 1
