@@ -47,7 +47,7 @@ SPAN = LENGTH - PIECE + 1  # places of an anchor in a string
 HOT = 5_000
 SLICE_BYTES = 200_000
 BLOCK_BYTES = 2_000_000
-PART_BYTES = 1_000_000  # contexts that are sorted at once; the arrays for it take some 40 times as much
+PART_BYTES = 200_000  # contexts that are sorted at once: their arrays fit a cache
 NO_ID = 2**63 - 1
 RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 _A, _B, _C, _D = numbers(4, 401) | np.uint64(1)
@@ -61,21 +61,20 @@ def _words_at(data: np.ndarray, n: int, offset: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each place of ``data``: where the anchor of the string that starts there is, and its
-    hash. Only places with LENGTH bytes left in their document mean something."""
+    """For each place of ``data``: where the anchor of the string that starts there is, and the hash
+    of the piece at the place. Only places with LENGTH bytes left in their document mean something.
+    Pieces are compared by the upper half of their hashes, then by place: both are in one number."""
     n = len(data)
     padded = np.concatenate([data, np.zeros(LENGTH + 16, np.uint8)])
-    least = mixed(_words_at(padded, n + LENGTH, 0) * _A + mixed(_words_at(padded, n + LENGTH, 8) * _B))
-    where = np.arange(len(least), dtype=np.int32)
+    words = _words_at(padded, n + LENGTH + 8, 0).copy()
+    hashes = mixed(words[:-8] * _A + mixed(words[8:] * _B))
+    least = (hashes >> np.uint64(32) << np.uint64(32)) | np.arange(len(hashes), dtype=np.uint64)
     done = 1
     while done < SPAN:  # windows of ``done`` places; the left one wins ties
         step = min(done, SPAN - done)
-        other = least[step:]
-        right = other < least[: len(other)]
-        where = np.where(right, where[step:], where[: len(other)])
-        least = np.where(right, other, least[: len(other)])
+        least = np.minimum(least[step:], least[:-step])
         done += step
-    return where[:n], least[:n]
+    return least[:n].astype(np.uint32).astype(np.int64), hashes
 
 
 def _spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -84,17 +83,6 @@ def _spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(before, n) + np.arange(n.sum(), dtype=np.int32)
 
 
-def _strings(body: np.ndarray, borders: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """Starts of strings (absolute), their anchors' places and hashes, and rows of documents."""
-    for a, b in B.pieces(borders, SLICE_BYTES):
-        low, high = int(borders[a]), int(borders[b])
-        where, least = anchors(body[low:high])
-        left = np.repeat(borders[a + 1 : b + 1], np.diff(borders[a : b + 1])) - np.arange(low, high)
-        fit = np.flatnonzero(left >= LENGTH)
-        rows = np.repeat(np.arange(a, b), np.diff(borders[a : b + 1]))[fit]
-        yield fit + low, where[fit].astype(np.int64) + low, least[fit], rows
-
-
 def _block(row: dict) -> tuple[np.ndarray, np.ndarray]:
     body = np.frombuffer(B.body_of(row), np.uint8)
     return body, np.concatenate([[0], np.frombuffer(row["ends"], "<i8")])
@@ -102,13 +90,20 @@ def _block(row: dict) -> tuple[np.ndarray, np.ndarray]:
 
 def _runs(row: dict) -> tuple[np.ndarray, ...]:
     """first and one past the last start, document row and anchor hash of each context."""
+    body, borders = _block(row)
     parts = []
-    for starts, where, least, rows in _strings(*_block(row)):
+    for a, b in B.pieces(borders, SLICE_BYTES):
+        low = borders[a]
+        where, hashes = anchors(body[low : borders[b]])
+        n = np.maximum(np.diff(borders[a : b + 1]) - LENGTH + 1, 0)
+        starts = _spread(borders[a:b] - low, n)
         if len(starts):
-            new = np.concatenate([[True], (where[1:] != where[:-1]) | (rows[1:] != rows[:-1])])
-            first = np.flatnonzero(new)
+            at = where[starts]
+            first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
             last = np.append(first[1:], len(starts)) - 1
-            parts.append((starts[first], starts[last] + 1, rows[first], least[first]))
+            begin = low + starts[first]
+            rows = np.searchsorted(borders, begin, side="right") - 1
+            parts.append((begin, low + starts[last] + 1, rows, hashes[at[first]]))
     if not parts:
         none = np.zeros(0, np.int64)
         return none, none, none, np.zeros(0, np.uint64)
