@@ -229,7 +229,7 @@ def _frequent(rows: DataFrame, own: list[str], n_rows: int, often: int = FREQUEN
 def _pivoted_errors(rows: DataFrame, fields: list[list[str]], pivot: int, combos: list[Combo],
                     nulls_equal: bool, batch: int, sizes: _Sizes) -> list[DataFrame]:
     slices = [combos[i : i + SLICE] for i in range(0, len(combos), SLICE)]
-    frequent = _frequent(rows, fields[pivot], sizes.n_rows)
+    frequent = _frequent(rows, fields[pivot], sizes.n_rows, FREQUENT)
     if frequent is None:
         return [_pivot_errors(rows, fields, pivot, s, nulls_equal, sizes) for s in slices]
     listed = F.broadcast(frequent.toDF(*[f"hot_{f}" for f in fields[pivot]]))
